@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import language_id
 from cadence.llm.minhash_dedup import near_duplicates
+from cadence.llm.packing import pack
 from cadence.llm.shared import table
 from cadence.llm.token_counts import count_tokens
 from cadence.llm.url_filter import judge_urls
@@ -24,6 +25,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
