@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(ids) > 1:
             yield done()
 
-    held = cells.join(texts, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
+    held = cells.hint("merge").join(texts, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
     linked = components(held.mapInArrow(verify, "a long, b long"))
     ends = classes.join(linked, classes.rep == linked.node, "left").select("print_a", "print_b", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.where("n_shingles > 0 and doc_id is not null").join(ends, ["print_a", "print_b"]).select("doc_id", "n_shingles", "component_id")
