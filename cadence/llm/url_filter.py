@@ -54,8 +54,9 @@ def trigram_codes(url: Column) -> Column:
     """A code under CLASSES ** 3 for each character with the two before it, and for the end."""
     plain = F.translate(F.lower(F.coalesce(url, F.lit(""))), "123456789", "000000000")
     codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    padded = F.concat(F.array(F.lit(0), F.lit(0)), codes, F.array(F.lit(0)))
-    return F.transform(F.sequence(F.lit(1), F.size(padded) - 2), lambda i: F.element_at(padded, i) * CLASSES**2 + F.element_at(padded, i + 1) * CLASSES + F.element_at(padded, i + 2))
+    padded, n = F.concat(F.array(F.lit(0), F.lit(0)), codes, F.array(F.lit(0))), F.length(plain) + 1
+    two = F.zip_with(F.slice(padded, F.lit(1), n), F.slice(padded, F.lit(2), n), lambda a, b: a * CLASSES**2 + b * CLASSES)
+    return F.zip_with(two, F.slice(padded, F.lit(3), n), lambda x, c: x + c)
 
 
 def _share(count: str, total: str, kinds: str, lower: str) -> Column:
