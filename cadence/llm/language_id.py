@@ -33,16 +33,17 @@ def learned_from(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, words: int = 20000, grams: int = 8000) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, words: int = 20000, grams: int = 8000, languages: int = 1000) -> LanguageModel:
     """Learns from about ``docs_per_language`` labelled rows of each language (chosen by a hash of the id), whole texts.
 
-    Rows without text, language or id are not learned from. The most frequent
-    ``words`` of each language and ``grams`` of each length come to the driver:
-    with L languages at most L * (words + 5 * grams) rows, whatever the input.
+    Rows without text, language or id are not learned from. The ``languages``
+    most frequent labels are learned, of each the most frequent ``words`` and
+    ``grams`` of each length; that bounds the labels that are broadcast and the
+    languages * (words + 5 * grams) rows that come to the driver, whatever the input.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learned_from(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"))
-    chosen = usable.join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.col("rows")) < docs_per_language)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    chosen = usable.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.col("rows")) < docs_per_language)
     counted = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("piece")).groupBy("lang", "piece").agg(F.count("*").alias("n"))
     counted = counted.select("lang", F.lit(0).alias("size"), "piece", "n")
     padded = F.concat(F.lit("^"), "piece", F.lit("$"))
@@ -55,20 +56,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     top = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("size") == 0, words).otherwise(grams)).drop("place")
     rows = top.join(totals, ["lang", "size"]).toPandas()
     found = sizes.toPandas().sort_values("lang")
-    languages = sorted(found["lang"])
-    at = {x: i for i, x in enumerate(languages)}
+    names = sorted(found["lang"])
+    at = {x: i for i, x in enumerate(names)}
     tables, logs = [], []
     for size in range(LONGEST + 1):
         part = rows[rows["size"] == size]
         table = {x: i for i, x in enumerate(sorted(set(part["piece"])))}
-        n = np.zeros((len(table), len(languages)))
-        total = np.ones(len(languages))
+        n = np.zeros((len(table), len(names)))
+        total = np.ones(len(names))
         n[part["piece"].map(table).to_numpy(int), part["lang"].map(at).to_numpy(int)] = part["n"]
         total[part["lang"].map(at).to_numpy(int)] = part["total"]
         tables.append(table)
         logs.append(np.log((n + 0.1) / (total + 0.1 * max(1, len(table)))))
     share = found["rows"].to_numpy(float)
-    return LanguageModel(languages, tables, logs, np.log(share / share.sum()) if len(share) else share)
+    return LanguageModel(names, tables, logs, np.log(share / share.sum()) if len(share) else share)
 
 
 def _word_scores(model: LanguageModel, distinct: list[str]) -> np.ndarray:
