@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,7 +156,33 @@ class Slots:
         return self.sequence[run] + key - self.keys[run], self.offset[run]
 
 
-def token_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class WordIds:
+    """The ids of the words met so far; starts anew beyond ``most`` words, which bounds a task's memory."""
+
+    def __init__(self, tokenizer, most: int = 600_000):
+        self.tokenizer, self.most = tokenizer, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        if len(self.places) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self.places]
+        sizes, flat = [self.sizes], [self.flat]
+        for at in range(0, len(new), 1 << 16):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + (1 << 16)], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+
+
+def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in order and how many each has, for tokenizers that drop white space.
 
     No token of theirs spans white space, so each distinct run of other
@@ -164,14 +191,11 @@ def token_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(texts.fill_null(""))
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    encoded = [e.ids for e in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum()))
+    places = known.find(coded.dictionary.to_pylist())
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    by_word = sizes[codes]
+    by_word = known.sizes[places][codes]
     upto = np.concatenate([[0], np.cumsum(by_word)])
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    ids = flat[np.repeat(starts[codes] - upto[:-1], by_word) + np.arange(upto[-1])]
+    ids = known.flat[np.repeat(known.starts[places][codes] - upto[:-1], by_word) + np.arange(upto[-1])]
     return ids, np.diff(upto[ends])
 
 
@@ -181,11 +205,11 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, task = load_tokenizer(source.value), TaskContext.get().partitionId()
+        known, task = WordIds(load_tokenizer(source.value)), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in byte_slices(batch, "text", 24 << 20):
-                ids, counts = token_ids(tokenizer, part.column("text"))
+            for part in byte_slices(batch, "text", 16 << 20):
+                ids, counts = token_ids(known, part.column("text"))
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 owner, piece, start, length, crc, rank, held = [], [], [], [], [], [], []
                 for i in range(part.num_rows):
