@@ -4,20 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cadence.llm import language_id
+from cadence.llm.line_dedup import dedup_lines
 from cadence.llm.minhash_dedup import near_duplicates
+from cadence.llm.packing import pack
+
+#: Documents whose language has a smaller share than this go, as do those without a letter.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose text is in one of the languages of the labels."""
+    found = language_id.identify(docs, language_id.fit(docs), lang_out="__lang", score_out="__share")
+    return found.where((found["__lang"] != "und") & (found["__share"] >= LEAST_SHARE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, without the lines that an earlier line matches."""
+    return dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id."""
+    """One document of each group of near duplicates stays, the one with the least id; rows without id stay."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("packing", packing),
 ]
+#: SQL has neither the language model nor the tokenizer; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
