@@ -11,6 +11,7 @@ from cadence.llm import language_id
 from cadence.llm.line_dedup import dedup_lines
 from cadence.llm.minhash_dedup import near_duplicates
 from cadence.llm.packing import pack
+from cadence.llm.shared import keep
 
 #: Documents whose language has a smaller share than this go, as do those without a letter.
 LEAST_SHARE = 0.5
@@ -50,6 +51,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
