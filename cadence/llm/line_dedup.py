@@ -19,7 +19,9 @@ PIVOTS = 4
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
+    """(doc, no, line) of the lines that are not blank."""
+    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
+    return lines.where(F.col("line").rlike(r"\S"))
 
 
 def token_hashes(words: Column, size: int) -> Column:
@@ -29,14 +31,18 @@ def token_hashes(words: Column, size: int) -> Column:
 
 
 def hashed(lines: DataFrame, size: int) -> DataFrame:
-    """``lines`` with the column ``hashes``; a blank line has none."""
+    """``lines`` with the column ``hashes``; a blank line has none.
+
+    No filter may stand above that needs ``hashes`` (explode without outer
+    brings one): pushed below, it would split the line anew for each token.
+    """
     words = F.filter(F.split(F.lower("line"), r"\s+"), lambda w: w != "")
     return lines.withColumn("words", words).withColumn("hashes", token_hashes(F.col("words"), size)).drop("words")
 
 
 def rarity_order(lines: DataFrame) -> Column:
     """The place of each class of hashes when classes are sorted by how many tokens of all lines they hold, as one constant array."""
-    counts = lines.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("c")).agg(F.count("*").alias("n"))
+    counts = lines.select(F.explode_outer("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("c")).agg(F.count("*").alias("n"))
     found = {r.c: r.n for r in counts.collect()}  # CLASSES rows at most
     place = [0] * CLASSES
     for i, c in enumerate(sorted(range(CLASSES), key=lambda c: (found.get(c, 0), c))):
@@ -80,13 +86,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     lines = lines_of(docs, id_col, text_col)
     names = (F.xxhash64(F.lower("line")).alias("h1"), F.xxhash64(F.lit(1), F.lower("line")).alias("h2"))
-    plain = lines.where(F.trim("line") != "").select("doc", "no", *names)
+    plain = lines.select("doc", "no", *names)
     heads = plain.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("head"), F.max(F.struct("doc", "no")).alias("tail")).where("head <> tail").drop("tail")
     repeated = plain.join(heads, ["h1", "h2"]).where(F.struct("doc", "no") != F.col("head")).select("doc", "no")
 
     tokens = hashed(lines, words)
     order = rarity_order(tokens)
-    sized = tokens.where(F.size("hashes") > 0).select("doc", "no", *names, ordered_tokens(F.col("hashes"), order).alias("tokens"))
+    sized = tokens.select("doc", "no", *names, ordered_tokens(F.col("hashes"), order).alias("tokens"))
     n = F.size("tokens")
     sized = sized.select("doc", "no", "h1", "h2", n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
     kinds = sized.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
