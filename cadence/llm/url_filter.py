@@ -118,8 +118,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """page_id, host, path, rule, verdict and score for each row of ``pages``.
 
     The longest rule that fits decides. The URLs it allows and blocks, all of
-    them but a fifth (by the CRC of their text) that calibrates the threshold,
-    also train two character models of variable order, whose mean log-likelihood
+    them but three in sixteen (by the MD5 of their text) that calibrate the
+    threshold, also train two character models of variable order, whose mean log-likelihood
     difference judges the URLs without a rule: allow at the threshold or above.
 
     A null url is scored as an empty one; without labelled URLs of both kinds
@@ -132,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     parts = parts.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
     allowed = [r.text for r in rules if r.action == "allow"]
     accepted = F.col("rule").isin(allowed) if allowed else F.lit(False)
-    labelled = parts.where("rule is not null").select("url", accepted.alias("accepted"), trigram_codes(F.col("url")).alias("codes"), (F.crc32("url") % 5 == 0).alias("calibrates"))
+    labelled = parts.where("rule is not null").select("url", accepted.alias("accepted"), trigram_codes(F.col("url")).alias("codes"), (F.md5("url") < "3").alias("calibrates"))
     ratios = keep(log_ratios(labelled.where("not calibrates")), "ratios")
     step = threshold(mean_ratios(labelled.where("calibrates").select("accepted", "codes"), ratios))
     rest = mean_ratios(parts.where("rule is null").select("page_id", "host", "path", "rule", trigram_codes(F.col("url")).alias("codes")), ratios)
