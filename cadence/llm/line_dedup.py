@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import keep
+from cadence.llm.shared import joinable, keep
 
 #: A line's tokens are its shingles of so many words; lines with fewer words are one token.
 WORDS, PERCENT = 5, 75
@@ -24,20 +24,20 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.col("line").rlike(r"\S"))
 
 
-def token_hashes(words: Column, size: int) -> Column:
-    """Of an array column of words; the array has to be a column, as it is used for each token."""
-    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (size - 1))), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(whole)
-
-
 def hashed(lines: DataFrame, size: int) -> DataFrame:
-    """``lines`` with the column ``hashes``; a blank line has none.
+    """``lines`` with the column ``hashes``, those of its shingles in order; the whole line's where it has fewer words, and none where it is blank.
 
     No filter may stand above that needs ``hashes`` (explode without outer
     brings one): pushed below, it would split the line anew for each token.
+    Words are split at single characters and hashed once, which is what the
+    shingles are made of.
     """
-    words = F.filter(F.split(F.lower("line"), r"\s+"), lambda w: w != "")
-    return lines.withColumn("words", words).withColumn("hashes", token_hashes(F.col("words"), size)).drop("words")
+    words = F.array_remove(F.split(F.translate(F.lower("line"), "\t\n\x0b\f\r", "     "), " "), "")
+    each = lines.withColumn("words", words).withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    n, at = F.size("words"), lambda i: F.get("words", i)
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(*(at(i + k) for k in range(size))))
+    whole = F.when(n > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
+    return each.withColumn("hashes", F.when(n >= size, shingles).otherwise(whole)).drop("words")
 
 
 def rarity_order(lines: DataFrame) -> Column:
@@ -102,8 +102,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = keep(shared, "shared")
 
     wanted = shared.groupBy("doc").agg(F.collect_set("no").alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).hint("merge")
-    line = texts.join(wanted, "doc").select("doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("no")).select("doc", "no", F.get("all", F.col("no")).alias("line"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    line = texts.join(joinable(keep(wanted, "wanted")), "doc").select("doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("no")).select("doc", "no", F.get("all", F.col("no")).alias("line"))
     sets = keep(hashed(line, words).select("doc", "no", F.array_distinct("hashes").alias("hashes")).dropDuplicates(["doc", "no"]), "sets")
 
     near = keep(_verified(_prefix_pairs(shared, shared.where(F.col("place") <= PIVOTS), percent), sets, percent), "near")
@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no rows.
     """
     removed = removed_lines(docs, id_col, text_col, words, percent).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(removed, docs[id_col] == removed["__id"], "left")
+    joined = docs.join(joinable(keep(removed, "removed")), docs[id_col] == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), docs[text_col]).otherwise(kept)
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
