@@ -18,11 +18,15 @@ from cadence.llm.shingles import shingle_sets
 BANDS, ROWS = 32, 4
 #: Documents in a block of a large group of candidates; a verifying task holds two blocks.
 BLOCK = 256
+#: Bytes of text whose shingles are made at once.
+SLICE = 8 << 20
 _hashers: dict[tuple[int, int], CirculantMinHash] = {}
 
 
 def _hasher(coordinates: int, seed: int) -> CirculantMinHash:
-    return _hashers.setdefault((coordinates, seed), None) or _hashers.update({(coordinates, seed): CirculantMinHash(coordinates, seed=seed)}) or _hashers[coordinates, seed]
+    if (coordinates, seed) not in _hashers:
+        _hashers[coordinates, seed] = CirculantMinHash(coordinates, seed=seed)
+    return _hashers[coordinates, seed]
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
@@ -30,7 +34,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text", 32 << 20):
+            for part in byte_slices(batch, "text", SLICE):
                 sizes, prints, keys, counts = [], [], [], []
                 for held in shingle_sets(part.column("text"), words):
                     sizes.append(len(held))
@@ -135,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for part in byte_slices(batch, "text", 32 << 20):
+            for part in byte_slices(batch, "text", SLICE):
                 keys = zip(*(part.column(c).to_pylist() for c in ("grp", "lo", "hi")))
                 for key, i, held in zip(keys, part.column("id").to_pylist(), shingle_sets(part.column("text"), words)):
                     if key != cell:

@@ -208,7 +208,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         known, task = WordIds(load_tokenizer(source.value)), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in byte_slices(batch, "text", 16 << 20):
+            for part in byte_slices(batch, "text", 8 << 20):
                 ids, counts = token_ids(known, part.column("text"))
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 owner, piece, start, length, crc, rank, held = [], [], [], [], [], [], []

@@ -30,24 +30,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting to drop an execution's shuffle files once it has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go with the end of the writing, so that a chain of tables needs the
+#: disk of one link at a time; and Arrow batches are small, so that whole texts don't fill the memory beside the heap.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, which cuts the lineage there.
-
-    The shuffle files that made the table go with the end of its writing, so
-    that a chain of tables needs the disk of one link at a time.
-    """
+    """Writes the rows to the shared folder and reads them back, which cuts the lineage there."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
