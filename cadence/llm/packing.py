@@ -20,7 +20,7 @@ from cadence.llm.token_counts import load_tokenizer
 
 CAPACITY = 4096
 #: Lengths are fitted in this many steps of the capacity, by patterns of so many documents at most.
-STEPS, PARTS = 64, 4
+STEPS, PARTS = 64, 3
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -98,12 +98,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
     for j in np.argsort(-fitted, kind="stable").tolist():
         way = ways[j]
         repeats = int(round(fitted[j]))
-        for k in set(way):
-            repeats = min(repeats, int(left[members[k]].sum()) // way.count(k))
-        while repeats > 0:  # runs of equal lengths, the longest of each step first
+        while repeats > 0:  # runs of equal lengths, the longest of each step first; the last is the one that fits best
             taken: list[int] = []
-            for k in way:
-                taken.append(next(int(x) for x in members[k] if left[x] > taken.count(x)))
+            for k in way[:-1]:
+                taken.append(next((int(x) for x in members[k] if left[x] > taken.count(x)), 0))
+            if 0 in taken:
+                break
+            room = capacity - sum(taken)
+            fits = np.flatnonzero(left[: room + 1])
+            last = next((x for x in fits[::-1].tolist() if left[x] > taken.count(x)), 0)
+            if not last:
+                break
+            taken.append(last)
             n = min([repeats, *(int(left[x]) // taken.count(x) for x in set(taken))])
             for x in taken:
                 left[x] -= n

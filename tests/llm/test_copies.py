@@ -136,6 +136,8 @@ def test_line_dedup(spark):
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in got.get(d, []))
         assert kept[d].text == want and kept[d].no == d
     assert dedup_lines(docs.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, base[3]), (None, base[3]), (1, base[3] + "\nend"), (1, base[3] + "\nend")], "doc_id long, text string")
+    assert sorted(r.text for r in dedup_lines(none).collect()) == sorted([base[3], base[3], "end", "end"])
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -117,6 +117,12 @@ def test_plans_hold_the_histogram(histogram, capacity):
     assert sum(n for _, n in planned) <= 2 * total / capacity + 2
 
 
+def test_plans_are_close_to_the_bound():
+    lengths = np.minimum(4096, np.exp(np.random.default_rng(0).normal(6.2, 1.2, 100_000)).astype(int) + 1)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    assert sum(n for _, n in plan(histogram)) <= 1.002 * (lengths.sum() / 4096) + 1
+
+
 def test_nnls_meets_its_optimum():
     rng = np.random.default_rng(0)
     for _ in range(20):
