@@ -47,6 +47,18 @@ def daily_extremes(series: DataFrame, cell: list[str]) -> DataFrame:
     return series.groupBy(*cell, day_of(F.col("time")).alias("day")).agg(F.avg("t").alias("t_mean"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
 
 
+def as_of(times: DataFrame, values: DataFrame, keys: list[str], time: str = "time", value: str = "value") -> DataFrame:
+    """``times`` with the last value of its keys at or before its time; NULL before the first. One window over both, no range join.
+
+    A key with very many rows is one window partition, as its order is what is asked for.
+    """
+    both = times.withColumns({"__value": F.lit(None).cast(values.schema[value].dataType), "__asks": F.lit(True)}).unionByName(
+        values.select(*keys, F.col(time), F.col(value).alias("__value"), F.lit(False).alias("__asks")), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*keys).orderBy(time, "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(value, F.last("__value", ignorenulls=True).over(order)).where("__asks").drop("__value", "__asks")
+
+
 def cell_metrics(series: DataFrame, shapes: DataFrame, cell: list[str]) -> DataFrame:
     """(cell, year, month, n, rmse_base, r2_base, rmse_scaled, r2_scaled) of the series against its own daily means and ranges.
 

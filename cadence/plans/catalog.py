@@ -529,6 +529,32 @@ def _(spark, d):
     return report(here.join(there, "station").select("station", grid.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")))
 
 
+@query("f6_as_of_daily", o.statement((*o.STATION_CHAIN[:2], "dm AS (SELECT station, date_trunc('day', time) AS time, avg(obs) AS value FROM hourly WHERE day(time) % 3 = 1 GROUP BY ALL)"), f"SELECT h.station, strftime(h.time, '%Y-%m-%d %H:%M:%S') AS time, {o.r('value')} AS value FROM hourly h ASOF LEFT JOIN dm ON h.station = dm.station AND h.time >= dm.time"))
+def _(spark, d):
+    hours = a.hourly(spark, d)
+    daily = hours.where(F.dayofmonth("time") % 3 == 1).groupBy("station", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.avg("obs").alias("value"))
+    return report(grid.as_of(hours.select("station", "time"), daily, ["station"]))
+
+
+_DAILY = f"""dmode AS (SELECT station, obs, avg(obs) OVER d + s AS r1, avg(obs) OVER d + CASE WHEN span > 1e-4 THEN (max(obs) OVER d - min(obs) OVER d) / span ELSE 1 END * s AS r2
+  FROM shaped JOIN (SELECT station, month, CAST(CAST(max(s) AS FLOAT) - CAST(min(s) AS FLOAT) AS DOUBLE) AS span FROM shapes GROUP BY ALL) USING (station, month) WINDOW d AS (PARTITION BY station, file_year, day)),
+dlong AS (SELECT station, m.mode, obs, m.r FROM dmode, LATERAL (VALUES ('baseline', r1), ('scaled', r2)) m(mode, r))"""
+
+
+@query("x29_baseline_scaled_scores", o.statement((*o.STATION_CHAIN, _DAILY), f"SELECT station, mode, {o.columns(o.score('obs', 'r'))} FROM dlong GROUP BY station, mode"))
+def _(spark, d):
+    items = F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("rec")) for m in ("baseline", "scaled")))
+    long = modes.daily_modes(a.shaped(spark, d)).select("station", "obs", F.explode(items).alias("x")).select("station", "obs", "x.*")
+    return report(scores.pooled(long, ["station", "mode"], mask=F.lit(True)))
+
+
+@query("f1_template_join", o.statement((*o.STATION_CHAIN[:7], "few AS (SELECT * FROM shapes WHERE station <> 'view' AND NOT (station = 'click' AND month = 2))"), f"SELECT h.station, {o.i('count(*)')} AS n, {o.i('count(s.s)')} AS with_shape FROM hourly h LEFT JOIN few s ON s.station = h.station AND s.month = month(h.time) AND s.hour = hour(h.time) WHERE h.station IN (SELECT station FROM few) GROUP BY h.station"))
+def _(spark, d):
+    hours, _, params = a.station_fit(spark, d)
+    some = fit.templates(params, ["station"]).where("station <> 'view' and not (station = 'click' and month = 2)")
+    return report(modes.with_templates(hours, some, ["station"]).groupBy("station").agg(F.count("*").alias("n"), F.count("s").alias("with_shape")))
+
+
 # Checks and resumption
 
 
