@@ -30,13 +30,15 @@ class AnchorPolicy:
 def with_templates(hourly: DataFrame, templates: DataFrame, cell: list[str]) -> DataFrame:
     """``hourly`` with day, hour, month, the month's 24 shape values s_day, and s at the row's hour.
 
-    Stations without any template go; a station's missing month is NULL. Spark
-    broadcasts the templates where they are under its threshold and merges otherwise.
+    Stations without any template go; a station's missing month is NULL. A
+    station's templates are one row (a map of 12 months at most), so that one
+    join serves both rules; Spark broadcasts them under its threshold and merges
+    otherwise. Two templates of a month raise.
     """
-    known = templates.select(*cell).distinct()
-    dated = hourly.join(known, cell, "left_semi").withColumns({"day": day_of(F.col("time")), "hour": F.hour("time"), "month": F.month("time")})
-    shapes = templates.select(*cell, "month", F.col("s").alias("s_day"))
-    return dated.join(shapes, [*cell, "month"], "left").withColumn("s", F.get("s_day", F.col("hour")).cast("double"))
+    shapes = templates.groupBy(*cell).agg(F.map_from_entries(F.collect_list(F.struct("month", "s"))).alias("by_month"))
+    dated = hourly.withColumns({"day": day_of(F.col("time")), "hour": F.hour("time"), "month": F.month("time")})
+    shaped = dated.join(shapes, cell).withColumn("s_day", F.try_element_at("by_month", F.col("month"))).drop("by_month")
+    return shaped.withColumn("s", F.get("s_day", F.col("hour")).cast("double"))
 
 
 def of_day() -> WindowSpec:
