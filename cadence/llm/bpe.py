@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm.shared import byte_slices, partitions
+from cadence.llm.shared import byte_slices, partitions, returning_memory
 from cadence.llm.token_counts import load_tokenizer
 
 BLOCK_BYTES = 16 << 20
@@ -105,7 +105,7 @@ def word_lists(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) ->
                     numbers = np.concatenate([np.diff(at, prepend=0), pc.binary_length(words).to_numpy()])
                     yield _rows([(name, 0, s, _pack(numbers), zstandard.ZstdCompressor(level=1).compress(flat), [])])
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(returning_memory(run), _ROWS)
 
 
 def encode_lists(lists: DataFrame, source) -> DataFrame:
@@ -131,7 +131,7 @@ def encode_lists(lists: DataFrame, source) -> DataFrame:
                 numbers = np.concatenate([[len(own)], places, sizes, *own])
                 yield _rows([(batch.column("block")[i].as_py(), 0, shard, _pack(numbers), b"", [])])
 
-    return lists.repartition(partitions(lists.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, _ROWS)
+    return lists.repartition(partitions(lists.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(returning_memory(run), _ROWS)
 
 
 def positions(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -149,7 +149,7 @@ def positions(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     yield _rows([(name, 1, 0, _pack(np.concatenate([np.diff(edges[first : end + 1]), codes[edges[first] : edges[end]]])), b"", ids[first:end])])
                     first = end
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(returning_memory(run), _ROWS)
 
 
 def piece_bytes(source: str) -> list[bytes]:
@@ -233,4 +233,4 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     encoded = encode_lists(word_lists(plain, shards, block_bytes), source)
     joined = encoded.union(positions(plain, block_bytes)).repartition(shards, "block").sortWithinPartitions("block", "kind")
-    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", text string" * with_text)
+    return joined.mapInArrow(returning_memory(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", text string" * with_text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import byte_slices
+from cadence.llm.shared import byte_slices, returning_memory, small_batches
 
 LONGEST = 5
 
@@ -133,6 +133,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     the language that sorts first; repeated rows are each returned. The two
     names must differ from those of ``docs``.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see fit()
     names = docs.columns
 
@@ -142,4 +143,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
                 lang, score = _predict(sent.value, part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, lang_out, score_out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))
+    return docs.mapInArrow(returning_memory(run), StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm.circulant import CirculantMinHash
 from cadence.llm.components import components
-from cadence.llm.shared import byte_slices, keep, partitions
+from cadence.llm.shared import byte_slices, keep, partitions, returning_memory
 from cadence.llm.shingles import shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -50,7 +50,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["doc_id", "n_shingles", "print_a", "print_b", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield done()
 
     held = cells.hint("merge").join(texts, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
-    linked = components(held.mapInArrow(verify, "a long, b long"))
+    linked = components(held.mapInArrow(returning_memory(verify), "a long, b long"))
     ends = classes.join(linked, classes.rep == linked.node, "left").select("print_a", "print_b", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.where("n_shingles > 0 and doc_id is not null").join(ends, ["print_a", "print_b"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

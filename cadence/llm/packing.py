@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import byte_slices, keep
+from cadence.llm.shared import byte_slices, keep, returning_memory
 from cadence.llm.token_counts import load_tokenizer
 
 CAPACITY = 4096
@@ -239,7 +239,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -268,4 +268,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     placed = pieces.join(bases.select("task", "length", "base"), ["task", "length"]).select(*names, "place", "base")
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
+    return placed.mapInArrow(returning_memory(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import keep, partitions
+from cadence.llm.shared import keep, partitions, returning_memory
 from cadence.llm.vectors import matrix, usable
 
 TABLES, HASHES, WIDTH, PROBES = 6, 4, 1.2, 40
@@ -165,6 +165,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 yield flush()
         yield flush()
 
-    found = cells.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = cells.mapInArrow(returning_memory(search), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.shared import byte_slices
+from cadence.llm.shared import byte_slices, returning_memory
 
 #: After any of these and before a space, no tokenizer of the public files joins what stands on either side.
 _SAFE = re.compile(r"[!-~](?= )")
@@ -84,4 +84,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 sizes = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.shared import fresh_path, keep, partitions
+from cadence.llm.shared import fresh_path, keep, partitions, returning_memory
 
 CHUNK = 1 << 20
 #: Payloads below this size are stored again rather than referred to.
@@ -92,7 +92,7 @@ def write_archives(chunks: DataFrame, folder: str, date: str = "1970-01-01T00:00
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "records": pa.array([records], pa.int64())})
 
-    return chunks.mapInArrow(run, "path string, records long")
+    return chunks.mapInArrow(returning_memory(run), "path string, records long")
 
 
 class _Members:
@@ -187,7 +187,7 @@ def read_archives(archives: DataFrame, chunk: int = CHUNK, with_data: bool = Tru
                 if rows:
                     yield pack(rows)
 
-    return archives.select("path").mapInArrow(run, CHUNK_SCHEMA)
+    return archives.select("path").mapInArrow(returning_memory(run), CHUNK_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
