@@ -163,29 +163,41 @@ class Slots:
 
 
 class WordIds:
-    """The ids of the words met so far; starts anew beyond ``most`` words, which bounds a task's memory."""
+    """The ids of words. The first ``most`` words that a worker meets, the frequent ones among them, stay known; others are encoded anew for each slice."""
 
-    def __init__(self, tokenizer, most: int = 600_000):
+    def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
-        self.clear()
-
-    def clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def find(self, words: list[str]) -> np.ndarray:
-        if len(self.places) > self.most:
-            self.clear()
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids begin in a table, how many they are, and the table."""
         new = [w for w in words if w not in self.places]
         sizes, flat = [self.sizes], [self.flat]
         for at in range(0, len(new), 1 << 16):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + (1 << 16)], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
-        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        every, table = np.concatenate(sizes), np.concatenate(flat)
+        known = len(self.places)
+        stay = max(0, min(len(new), self.most - known))
+        self.places.update(zip(new[:stay], range(known, known + stay)))
+        passing = dict(zip(new[stay:], range(known + stay, known + len(new))))
+        self.sizes = every[: known + stay]
+        self.flat = table[: int(self.sizes.sum())].copy()
+        at = np.fromiter((i if (i := self.places.get(w)) is not None else passing[w] for w in words), np.int64, len(words))
+        return (np.cumsum(every) - every)[at], every[at], table
+
+
+_known: dict[str, WordIds] = {}
+
+
+def known_words(source: str) -> WordIds:
+    """Of a tokenizer, kept for the life of the worker."""
+    if source not in _known:
+        _known.clear()
+        _known[source] = WordIds(load_tokenizer(source))
+    return _known[source]
 
 
 def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,11 +209,11 @@ def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(texts.fill_null(""))
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    places = known.find(coded.dictionary.to_pylist())
+    starts, sizes, table = known.find(coded.dictionary.to_pylist())
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    by_word = known.sizes[places][codes]
+    by_word = sizes[codes]
     upto = np.concatenate([[0], np.cumsum(by_word)])
-    ids = known.flat[np.repeat(known.starts[places][codes] - upto[:-1], by_word) + np.arange(upto[-1])]
+    ids = table[np.repeat(starts[codes] - upto[:-1], by_word) + np.arange(upto[-1])]
     return ids, np.diff(upto[ends])
 
 
@@ -211,7 +223,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task = WordIds(load_tokenizer(source.value)), TaskContext.get().partitionId()
+        known, task = known_words(source.value), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in byte_slices(batch, "text", 8 << 20):

@@ -97,6 +97,18 @@ def check_packing(rows, texts, capacity):
     return len(held)
 
 
+def test_words_are_known_or_encoded_anew():
+    from cadence.llm.packing import WordIds, token_ids
+
+    t = Tokenizer.from_file(WORDS)
+    known = WordIds(t, most=3)
+    for _ in range(3):
+        texts = ["one two three four", "four  five!", None, "", "two <|endoftext|>x"]
+        ids, counts = token_ids(known, pa.array(texts))
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want] and len(known.places) == 3
+
+
 def test_packing_places_every_piece_once(docs, empty):
     assert check_packing(pack(docs, WORDS, capacity=64).collect(), TEXTS, 64)
     assert pack(empty, WORDS).count() == 0
