@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,19 +172,19 @@ placed AS (SELECT lat_c, lon_c, (SELECT arg_min(x, (abs(x - lat_c / 100.0), x))
 
 
 @query("c22_station_templates", o.statement((*o.GRID_CHAIN[:2], o.GSHAPES, o.FEATURES, _PLACES), f"SELECT lat_c, lon_c, {o.i('month')} AS month, {o.i('hour')} AS hour, round(s, 4) + 0.0 AS s FROM placed JOIN gshapes USING (lat, lon)"))
-def _(spark, d):
+def _(spark, d, features=a.features):
     shapes = fit.templates(_grid_fit(spark, d)[2], CELL)
     axis = shapes.select(*CELL).distinct()
-    found = grid.station_templates(a.features(spark, d), shapes, axis, axis).select("lat_c", "lon_c", "month", F.posexplode_outer("s").alias("hour", "s"))
+    found = grid.station_templates(features(spark, d), shapes, axis, axis).select("lat_c", "lon_c", "month", F.posexplode_outer("s").alias("hour", "s"))
     # a cell's month without a fit has 24 hours without a shape
     hours = found.select("lat_c", "lon_c", "month", F.explode(F.when(F.col("hour").isNull(), F.sequence(F.lit(0), F.lit(23))).otherwise(F.array("hour"))).alias("hour"), "s")
     return hours.select(*(F.col(c).cast("long") for c in ("lat_c", "lon_c", "month", "hour")), tidy(F.col("s").cast("double"), 4).alias("s"))
 
 
 @query("f5_nearest_cell", o.statement((*o.GRID_CHAIN[:2], o.FEATURES), f"SELECT station, (SELECT arg_min(x, (abs(x - lat), x)) FROM (SELECT DISTINCT lat AS x FROM gparams) g(x)) AS nearest_lat, (SELECT arg_min(x, (abs(x - lon), x)) FROM (SELECT DISTINCT lon AS x FROM gparams) g(x)) AS nearest_lon FROM features"))
-def _(spark, d):
+def _(spark, d, features=a.features):
     axis = a.grid_series(spark, d).select(*CELL).distinct()
-    found = grid.nearest_on_axis(grid.nearest_on_axis(a.features(spark, d), "lat", axis, "lat"), "lon", axis, "lon")
+    found = grid.nearest_on_axis(grid.nearest_on_axis(features(spark, d), "lat", axis, "lat"), "lon", axis, "lon")
     return report(found.select("station", "nearest_lat", "nearest_lon"))
 
 
@@ -414,8 +415,8 @@ def _(spark, d):
 # Strata
 
 
-def _strata(spark, d):
-    joined = strata.with_features(a.order_months(spark, d), a.features(spark, d))
+def _strata(spark, d, features):
+    joined = strata.with_features(a.order_months(spark, d), features(spark, d))
     return joined
 
 
@@ -428,18 +429,18 @@ def _stratum_sql(group: str) -> str:
 for _group in ("continent", "koppen", "coast", "elevation", "latitude", "year", "season", "month"):
 
     @query(f"e31_by_{_group}", o.statement(o.STRATA_CHAIN, _stratum_sql(_group)))
-    def _(spark, d, group=_group):
-        return report(strata.stratum_scores(_strata(spark, d), group))
+    def _(spark, d, features=a.features, group=_group):
+        return report(strata.stratum_scores(_strata(spark, d, features), group))
 
 
 @query("f3_join_rate", o.statement(o.STRATA_CHAIN, f"SELECT {o.i('count(*)')} AS rows, {o.i('count(*) FILTER (WHERE known)')} AS joined_rows, {o.r('count(*) FILTER (WHERE known) / count(*)')} AS rate FROM strata"))
-def _(spark, d):
-    return report(strata.join_rate(_strata(spark, d)))
+def _(spark, d, features=a.features):
+    return report(strata.join_rate(_strata(spark, d, features)))
 
 
 @query("m5_ordered_strata", o.statement(o.STRATA_CHAIN, f"SELECT latitude, {o.i("list_position(['60-90S', '30-60S', '0-30S', '0-30N', '30-60N', '60-90N'], latitude)")} AS place, {o.i('count(*)')} AS n FROM strata WHERE latitude IS NOT NULL GROUP BY latitude"))
-def _(spark, d):
-    found = _strata(spark, d).where("latitude is not null").groupBy("latitude").agg(F.count("*").alias("n"))
+def _(spark, d, features=a.features):
+    found = _strata(spark, d, features).where("latitude is not null").groupBy("latitude").agg(F.count("*").alias("n"))
     return report(found.select("latitude", strata.order_of(F.col("latitude"), strata.LATITUDE).alias("place"), "n"))
 
 
@@ -494,9 +495,9 @@ def _(spark, d):
 
 
 @query("e33_f8_map_table", o.statement((o.MONTHS, _MEDIANS, o.FEATURES), f"SELECT mode, station, {o.r('med')} AS station_median_rmse_c, {o.r('lat')} AS lat, {o.r('lon')} AS lon FROM meds LEFT JOIN (SELECT station, median(lat) AS lat, median(lon) AS lon FROM features GROUP BY station) USING (station)"))
-def _(spark, d):
+def _(spark, d, features=a.features):
     medians = inventory.station_medians(a.order_months(spark, d), least=40)
-    return report(medians.join(inventory.median_coordinates(a.features(spark, d)), "station", "left").select("mode", "station", "station_median_rmse_c", "lat", "lon"))
+    return report(medians.join(inventory.median_coordinates(features(spark, d)), "station", "left").select("mode", "station", "station_median_rmse_c", "lat", "lon"))
 
 
 # Gridded validation
@@ -523,8 +524,8 @@ def _(spark, d):
 
 
 @query("x29_haversine", o.statement((o.FEATURES,), f"SELECT x.station, {o.r('2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))))')} AS km FROM features x JOIN features y ON CAST(x.station AS INT) + 1 = CAST(y.station AS INT)"))
-def _(spark, d):
-    here = a.features(spark, d).select("station", "lat", "lon")
+def _(spark, d, features=a.features):
+    here = features(spark, d).select("station", "lat", "lon")
     there = here.select((F.col("station").cast("int") - 1).cast("string").alias("station"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     return report(here.join(there, "station").select("station", grid.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")))
 
@@ -579,5 +580,11 @@ def _(spark, d):
 
 
 @query("i2_distinct_coordinates", o.statement((o.FEATURES,), "SELECT DISTINCT CAST(round_even(lat * 100, 0) AS BIGINT) AS lat_c, CAST(round_even(lon * 100, 0) AS BIGINT) AS lon_c FROM features"))
-def _(spark, d):
-    return report(a.features(spark, d).select(grid.coordinate_key(F.col("lat")).alias("lat_c"), grid.coordinate_key(F.col("lon")).alias("lon_c")).distinct())
+def _(spark, d, features=a.features):
+    return report(features(spark, d).select(grid.coordinate_key(F.col("lat")).alias("lat_c"), grid.coordinate_key(F.col("lon")).alias("lon_c")).distinct())
+
+
+# Every customer as a station: the statements of these queries are given and hold the stations to the first 59
+
+for _name in ("c22_station_templates", "f5_nearest_cell", *(f"e31_by_{g}" for g in ("continent", "koppen", "coast", "elevation", "latitude", "year", "season", "month")), "f3_join_rate", "m5_ordered_strata", "e33_f8_map_table", "x29_haversine", "i2_distinct_coordinates"):
+    query(f"{_name}_all_stations", SQL[_name].replace(o.FEATURES, o.ALL_FEATURES))(partial(QUERIES[_name], features=a.all_features))

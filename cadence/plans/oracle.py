@@ -102,6 +102,9 @@ REPORT_CHAIN = (REPORTS, CLASSED, FILES)
 MONTHS = """months AS (SELECT CAST(o_custkey % 60 AS VARCHAR) AS station, year(o_orderdate) AS year, month(o_orderdate) AS month, 'mode_' || o_orderstatus AS mode, count(*) * 20 AS n, stddev_pop(o_totalprice) / 9973 AS rmse, avg(o_totalprice) / 499979 AS r2 FROM orders GROUP BY ALL)"""
 FEATURES = """features AS (SELECT CAST(c_custkey AS VARCHAR) AS station, c_nationkey * 7.5::DOUBLE - 90 AS lat, c_custkey * 3.0::DOUBLE - 90 AS lon, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey % 2 = 0 END AS coastal_30km, abs(c_acctbal) / 10 AS elev, r_name AS continent, c_mktsegment AS koppen
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 59)"""
+#: FEATURES for every customer.
+ALL_FEATURES = """features AS (SELECT CAST(c_custkey AS VARCHAR) AS station, c_nationkey * 7.5::DOUBLE - 90 AS lat, (c_custkey * 3 + 90) % 360 - 180.0::DOUBLE AS lon, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey % 2 = 0 END AS coastal_30km, abs(c_acctbal) / 10 AS elev, r_name AS continent, c_mktsegment AS koppen
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 STRATA = """strata AS (SELECT m.*, f.continent, f.koppen, f.station IS NOT NULL AS known, CASE WHEN f.coastal_30km THEN 'Coastal (<=30 km)' ELSE 'Inland (>30 km)' END AS coast,
   CASE WHEN elev < 100 THEN '<100 m' WHEN elev < 250 THEN '100-250 m' WHEN elev < 500 THEN '250-500 m' WHEN elev >= 500 THEN '>=500 m' END AS elevation,
   CASE WHEN lat <= -60 THEN '60-90S' WHEN lat <= -30 THEN '30-60S' WHEN lat <= 0 THEN '0-30S' WHEN lat <= 30 THEN '0-30N' WHEN lat <= 60 THEN '30-60N' WHEN lat <= 90 THEN '60-90N' END AS latitude,
