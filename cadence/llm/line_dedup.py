@@ -16,11 +16,19 @@ WORDS, PERCENT = 5, 75
 CLASSES = 1 << 16
 #: Of the lines with a token in their prefix the first few are compared with all others before any others are.
 PIVOTS = 4
+#: What names a line, in the order in which lines come: its document's id, its number there, and the hash of the document's text.
+LINE = ["doc", "no", "of"]
+EARLIER = [f"{c}_" for c in LINE]
+
+
+def text_hash(text_col: str) -> Column:
+    """Tells texts apart that share an id."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, no, line) of the lines that are not blank."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
+    """(doc, of, no, line) of the lines that are not blank; ``of`` is the hash of their text."""
+    lines = docs.select(F.col(id_col).alias("doc"), text_hash(text_col).alias("of"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
     return lines.where(F.col("line").rlike(r"\S"))
 
 
@@ -62,60 +70,60 @@ def _least_overlap(a: str, b: str, percent: int) -> Column:
 
 
 def _prefix_pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix token and may match, were that token the first they share; (doc, no) is the later line, (doc_, no_) the earlier."""
-    other = earlier.select("token", *(F.col(c).alias(f"{c}_") for c in ("doc", "no", "n", "at")))
-    first = F.struct("doc_", "no_") < F.struct("doc", "no")
+    """Pairs that share a prefix token and may match, were that token the first they share; LINE names the later line, with _ after each name the earlier."""
+    other = earlier.select("token", *(F.col(c).alias(f"{c}_") for c in (*LINE, "n", "at")))
+    first = F.struct(*EARLIER) < F.struct(*LINE)
     sizes = (F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent)
     rest = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
-    return later.join(other, "token").where(first & sizes & (rest >= _least_overlap("n", "n_", percent))).select("doc", "no", "doc_", "no_").distinct()
+    return later.join(other, "token").where(first & sizes & (rest >= _least_overlap("n", "n_", percent))).select(*LINE, *EARLIER).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines of pairs that match on their full sets."""
-    a, b = sets.select("doc", "no", F.col("hashes").alias("a")), sets.select(F.col("doc").alias("doc_"), F.col("no").alias("no_"), F.col("hashes").alias("b"))
+    a, b = sets.select(*LINE, F.col("hashes").alias("a")), sets.select(*(F.col(c).alias(f"{c}_") for c in LINE), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    joined = pairs.join(a, ["doc", "no"]).join(b, ["doc_", "no_"])
-    return joined.where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("doc", "no").distinct()
+    joined = pairs.join(a, LINE).join(b, EARLIER)
+    return joined.where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select(*LINE).distinct()
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc, no): the lines, by id and number from 0, that an earlier line matches with Jaccard >= ``percent`` / 100 on their token sets.
+    """(doc, no, of): the lines, by id, number from 0 and hash of the text, that an earlier line matches with Jaccard >= ``percent`` / 100 on their token sets.
 
-    Earlier is by id, then by number. Equal lines are joined by their hash
+    Earlier is by id, then by number, then by that hash. Equal lines are joined by their hash
     first; of each kind of line the first goes on to the similarity join.
     """
     lines = lines_of(docs, id_col, text_col)
     names = (F.xxhash64(F.lower("line")).alias("h1"), F.xxhash64(F.lit(1), F.lower("line")).alias("h2"))
-    plain = lines.select("doc", "no", *names)
-    heads = plain.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("head"), F.max(F.struct("doc", "no")).alias("tail")).where("head <> tail").drop("tail")
-    repeated = plain.join(heads, ["h1", "h2"]).where(F.struct("doc", "no") != F.col("head")).select("doc", "no")
+    plain = lines.select(*LINE, *names)
+    heads = plain.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("head"), F.max(F.struct(*LINE)).alias("tail")).where("head <> tail").drop("tail")
+    repeated = plain.join(heads, ["h1", "h2"]).where(F.struct(*LINE) != F.col("head")).select(*LINE)
 
     tokens = hashed(lines, words)
     order = rarity_order(tokens)
-    sized = tokens.select("doc", "no", *names, ordered_tokens(F.col("hashes"), order).alias("tokens"))
+    sized = tokens.select(*LINE, *names, ordered_tokens(F.col("hashes"), order).alias("tokens"))
     n = F.size("tokens")
-    sized = sized.select("doc", "no", "h1", "h2", n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
-    kinds = sized.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    spread = kinds.select("head.doc", "head.no", "n", F.posexplode("prefix").alias("at", "token"))
-    by_token = Window.partitionBy("token").orderBy("doc", "no")
+    sized = sized.select(*LINE, "h1", "h2", n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
+    kinds = sized.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    spread = kinds.select("head.*", "n", F.posexplode("prefix").alias("at", "token"))
+    by_token = Window.partitionBy("token").orderBy(*LINE)
     shared = spread.withColumns({"place": F.row_number().over(by_token), "next": F.lead("no").over(by_token)}).where("place > 1 or next is not null").drop("next")
     shared = keep(shared, "shared")
 
-    wanted = shared.groupBy("doc").agg(F.collect_set("no").alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    line = texts.join(joinable(keep(wanted, "wanted")), "doc").select("doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("no")).select("doc", "no", F.get("all", F.col("no")).alias("line"))
-    sets = keep(hashed(line, words).select("doc", "no", F.array_distinct("hashes").alias("hashes")).dropDuplicates(["doc", "no"]), "sets")
+    wanted = shared.groupBy("doc", "of").agg(F.collect_set("no").alias("wanted"))
+    texts = docs.select(F.col(id_col).alias("doc"), text_hash(text_col).alias("of"), F.col(text_col).cast("string").alias("text"))
+    line = texts.join(joinable(keep(wanted, "wanted")), ["doc", "of"]).select("doc", "of", F.split("text", "\n").alias("all"), F.explode("wanted").alias("no")).select(*LINE, F.get("all", F.col("no")).alias("line"))
+    sets = keep(hashed(line, words).select(*LINE, F.array_distinct("hashes").alias("hashes")).dropDuplicates(LINE), "sets")
 
     near = keep(_verified(_prefix_pairs(shared, shared.where(F.col("place") <= PIVOTS), percent), sets, percent), "near")
-    rest = shared.join(near, ["doc", "no"], "left_anti")
+    rest = shared.join(near, LINE, "left_anti")
     more = _verified(_prefix_pairs(rest, shared.where(F.col("place") > PIVOTS), percent), sets, percent)
     return repeated.union(near).union(more).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, removed): the numbers of the lines to remove of each document that has such lines, in order."""
+    """(doc_id, removed, text_hash): the numbers of the lines to remove of each document that has such lines, in order, and the hash of its text."""
     found = later_matches(docs, id_col, text_col, words, percent)
-    return found.groupBy(F.col("doc").alias(id_col)).agg(F.sort_array(F.collect_list("no")).alias("removed"))
+    return found.groupBy(F.col("doc").alias(id_col), F.col("of").alias("text_hash")).agg(F.sort_array(F.collect_list("no")).alias("removed")).select(id_col, "removed", "text_hash")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -124,12 +132,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's tokens are its distinct shingles of ``words`` words, lower-cased; a
     line with fewer words is one token, so that only equal ones match it. Tokens
     are compared by 63 bits of their hash. Blank lines stay, a null text stays
-    null, and a text may end up empty; rows that repeat an id count as one
-    document; a null id comes first and such a row keeps its lines; no rows give
-    no rows.
+    null, and a text may end up empty; rows that repeat both id and text count as
+    one document, rows of one id with other texts are documents of their own; a
+    null id comes first and such a row keeps its lines; no rows give no rows.
     """
-    removed = removed_lines(docs, id_col, text_col, words, percent).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(joinable(keep(removed, "removed")), docs[id_col] == F.col("__id"), "left")
+    removed = removed_lines(docs, id_col, text_col, words, percent).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"), F.col("text_hash").alias("__of"))
+    joined = docs.join(joinable(keep(removed, "removed")), (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__of")), "left")
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), docs[text_col]).otherwise(kept)
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadence.llm import language_id
 from cadence.llm.bpe import encode_and_decode
 from cadence.llm.exact_topk import exact_topk
-from cadence.llm.line_dedup import removed_lines
+from cadence.llm.line_dedup import removed_lines, text_hash
 from cadence.llm.minhash_dedup import near_duplicates
 from cadence.llm.packing import pack
 from cadence.llm.pstable import nearest
@@ -36,8 +36,8 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document the number of lines and which of them go, counted from 0."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    found = lines.join(removed_lines(docs), "doc_id", "left")
+    lines = docs.select("doc_id", text_hash("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    found = lines.join(removed_lines(docs), ["doc_id", "text_hash"], "left")
     return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
