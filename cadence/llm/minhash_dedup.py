@@ -30,7 +30,7 @@ def _hasher(coordinates: int, seed: int) -> CirculantMinHash:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, print_a, print_b, bands): the size and 128-bit fingerprint of each row's set and a hash for each band of its signature."""
+    """(doc_id, text_hash, n_shingles, print_a, print_b, bands): the size and 128-bit fingerprint of each row's set and a hash for each band of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,11 +46,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pair = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(keys, np.uint64).view(np.int64)))],
-                    ["doc_id", "n_shingles", "print_a", "print_b", "bands"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(keys, np.uint64).view(np.int64)))],
+                    ["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), "doc_id long, text_hash long, n_shingles long, print_a long, print_b long, bands array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -98,8 +98,8 @@ def _linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 1, with_text_hash: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept; ``with_text_hash`` adds the xxhash64 of its text.
 
     Rows with equal sets form a class, and one of each class goes on. Classes
     that share a band of the signature are candidates; connected candidates form
@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     held = cells.hint("merge").join(texts, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
     linked = components(held.mapInArrow(returning_memory(verify), "a long, b long"))
+    names = ["doc_id", "n_shingles", "component_id", *["text_hash"] * with_text_hash]
     ends = classes.join(linked, classes.rep == linked.node, "left").select("print_a", "print_b", F.coalesce("component", "rep").alias("component_id"))
-    placed = signed.where("n_shingles > 0 and doc_id is not null").join(ends, ["print_a", "print_b"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    placed = signed.where("n_shingles > 0 and doc_id is not null").join(ends, ["print_a", "print_b"]).select(*names)
+    alone = signed.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).select(*names)
     return placed.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadence.llm import language_id
 from cadence.llm.line_dedup import dedup_lines
 from cadence.llm.minhash_dedup import near_duplicates
 from cadence.llm.packing import pack
-from cadence.llm.shared import keep
+from cadence.llm.shared import joinable, keep
 
 #: Documents whose language has a smaller share than this go, as do those without a letter.
 LEAST_SHARE = 0.5
@@ -29,9 +30,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id; rows without id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near duplicates stays, the one with the least id; of rows that repeat both id and text one stays; rows without id stay."""
+    found = near_duplicates(docs, with_text_hash=True).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    found = keep(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("doc_id").isNotNull() & (F.col("copies") > 1)).alias("__repeated")), "kept")
+
+    def rows(kept: DataFrame) -> DataFrame:
+        return docs.join(joinable(kept), docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"]), "left_semi")
+
+    once, repeated = rows(found.where("not __repeated")), found.where("__repeated")
+    return once if repeated.isEmpty() else once.union(rows(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
