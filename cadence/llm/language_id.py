@@ -36,13 +36,17 @@ def learned_from(id_col: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, words: int = 20000, grams: int = 8000, languages: int = 1000) -> LanguageModel:
     """Learns from about ``docs_per_language`` labelled rows of each language (chosen by a hash of the id), whole texts.
 
-    Rows without text, language or id are not learned from. The ``languages``
-    most frequent labels are learned, of each the most frequent ``words`` and
-    ``grams`` of each length; that bounds the labels that are broadcast and the
-    languages * (words + 5 * grams) rows that come to the driver, whatever the input.
+    Rows without text, language or id are not learned from. Every label
+    is learned, of each the most frequent ``words`` and ``grams`` of each length;
+    more than ``languages`` labels raise, which bounds the labels that are
+    broadcast and the languages * (words + 5 * grams) rows that come to the driver.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learned_from(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    found = sizes.limit(languages + 1).toPandas()
+    if len(found) > languages:
+        raise ValueError(f"there are more than {languages} labels to learn")
+    found = found.sort_values("lang")
     chosen = usable.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.col("rows")) < docs_per_language)
     counted = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("piece")).groupBy("lang", "piece").agg(F.count("*").alias("n"))
     counted = counted.select("lang", F.lit(0).alias("size"), "piece", "n")
@@ -55,7 +59,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     top = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("size") == 0, words).otherwise(grams)).drop("place")
     rows = top.join(totals, ["lang", "size"]).toPandas()
-    found = sizes.toPandas().sort_values("lang")
     names = sorted(found["lang"])
     at = {x: i for i, x in enumerate(names)}
     tables, logs = [], []
