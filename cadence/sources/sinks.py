@@ -46,7 +46,9 @@ def report_json(df: DataFrame, rows: int = 1000) -> str:
 
 
 def markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A small report as a table in Markdown."""
-    found = df.limit(rows).collect()
+    """A small report as a table in Markdown; more rows than that raise."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report has more than {rows} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)])
