@@ -531,9 +531,9 @@ def _(spark, d, features=a.features):
 
 
 @query("f6_as_of_daily", o.statement((*o.STATION_CHAIN[:2], "dm AS (SELECT station, date_trunc('day', time) AS time, avg(obs) AS value FROM hourly WHERE day(time) % 3 = 1 GROUP BY ALL)"), f"SELECT h.station, strftime(h.time, '%Y-%m-%d %H:%M:%S') AS time, {o.r('value')} AS value FROM hourly h ASOF LEFT JOIN dm ON h.station = dm.station AND h.time >= dm.time"))
-def _(spark, d):
+def _(spark, d, days="dayofmonth(time) % 3 = 1"):
     hours = a.hourly(spark, d)
-    daily = hours.where(F.dayofmonth("time") % 3 == 1).groupBy("station", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.avg("obs").alias("value"))
+    daily = hours.where(days).groupBy("station", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.avg("obs").alias("value"))
     return report(grid.as_of(hours.select("station", "time"), daily, ["station"]))
 
 
@@ -550,9 +550,9 @@ def _(spark, d):
 
 
 @query("f1_template_join", o.statement((*o.STATION_CHAIN[:7], "few AS (SELECT * FROM shapes WHERE station <> 'view' AND NOT (station = 'click' AND month = 2))"), f"SELECT h.station, {o.i('count(*)')} AS n, {o.i('count(s.s)')} AS with_shape FROM hourly h LEFT JOIN few s ON s.station = h.station AND s.month = month(h.time) AND s.hour = hour(h.time) WHERE h.station IN (SELECT station FROM few) GROUP BY h.station"))
-def _(spark, d):
+def _(spark, d, given="station <> 'view' and not (station = 'click' and month = 2)"):
     hours, _, params = a.station_fit(spark, d)
-    some = fit.templates(params, ["station"]).where("station <> 'view' and not (station = 'click' and month = 2)")
+    some = fit.templates(params, ["station"]).where(given)
     return report(modes.with_templates(hours, some, ["station"]).groupBy("station").agg(F.count("*").alias("n"), F.count("s").alias("with_shape")))
 
 
@@ -588,3 +588,9 @@ def _(spark, d, features=a.features):
 
 for _name in ("c22_station_templates", "f5_nearest_cell", *(f"e31_by_{g}" for g in ("continent", "koppen", "coast", "elevation", "latitude", "year", "season", "month")), "f3_join_rate", "m5_ordered_strata", "e33_f8_map_table", "x29_haversine", "i2_distinct_coordinates"):
     query(f"{_name}_all_stations", SQL[_name].replace(o.FEATURES, o.ALL_FEATURES))(partial(QUERIES[_name], features=a.all_features))
+
+
+# All days and all templates: the given statements leave some out, so that gaps occur
+
+query("f6_as_of_daily_all_days", SQL["f6_as_of_daily"].replace(" WHERE day(time) % 3 = 1", ""))(partial(QUERIES["f6_as_of_daily"], days="true"))
+query("f1_template_join_all_templates", SQL["f1_template_join"].replace(" WHERE station <> 'view' AND NOT (station = 'click' AND month = 2)", ""))(partial(QUERIES["f1_template_join"], given="true"))

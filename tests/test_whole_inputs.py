@@ -1,5 +1,8 @@
 """Queries that take the whole of their tables."""
 
+import datetime as dt
+
+from cadence.operators import grid, modes
 from cadence.plans import adapters
 from cadence.plans.catalog import QUERIES
 
@@ -13,3 +16,22 @@ def test_every_customer_is_a_station(spark):
     assert found.where("lon < -180 or lon >= 180").count() == 0
     assert adapters.features(spark, D).exceptAll(found).count() == 0
     assert QUERIES["f5_nearest_cell_all_stations"](spark, D).count() == customers
+
+
+def test_every_day_and_template_is_taken(spark):
+    hours = adapters.hourly(spark, D)
+    got = QUERIES["f6_as_of_daily_all_days"](spark, D)
+    # with all days no hour is without a value
+    assert got.count() == got.where("value is not null").count() == hours.count()
+    joined = {r.station: (r.n, r.with_shape) for r in QUERIES["f1_template_join_all_templates"](spark, D).collect()}
+    assert joined == {r.station: (r["count"], r["count"]) for r in hours.groupBy("station").count().collect()}
+
+
+def test_gaps(spark):
+    at = lambda d, h: dt.datetime(2020, 1, d, h)
+    times = spark.createDataFrame([("a", at(1, 5)), ("a", at(2, 0)), ("a", at(3, 9)), ("b", at(2, 1))], "station string, time timestamp_ntz")
+    daily = spark.createDataFrame([("a", at(2, 0), 7.0)], "station string, time timestamp_ntz, value double")
+    assert {(r.station, r.time): r.value for r in grid.as_of(times, daily, ["station"]).collect()} == {("a", at(1, 5)): None, ("a", at(2, 0)): 7.0, ("a", at(3, 9)): 7.0, ("b", at(2, 1)): None}
+    hours = spark.createDataFrame([("a", 2020, at(1, 5), 1.0), ("a", 2020, dt.datetime(2020, 2, 1, 5), 1.0), ("b", 2020, at(1, 5), 1.0)], "station string, file_year int, time timestamp_ntz, obs double")
+    shapes = spark.createDataFrame([("a", 1, [0.5] * 24, 0.0)], "station string, month int, s array<float>, shape_range float")
+    assert {(r.station, r.time.month): r.s for r in modes.with_templates(hours, shapes, ["station"]).collect()} == {("a", 1): 0.5, ("a", 2): None}
