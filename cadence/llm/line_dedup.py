@@ -1,24 +1,34 @@
-"""Line dedup as an exact set-similarity join: prefixes of the rarest tokens, positional and length filters, Jaccard; DataFrame functions only."""
+"""Line dedup as an exact set-similarity join: prefixes of the rarest words, length and positional filters, Jaccard; DataFrame functions only.
+
+Each line's words are hashed once, into a table from which all else is read. Of
+equal lines the first goes on. A line's prefix, its rarest words, makes rows
+that meet by word and class of length, the shorter line with the longer; a pair
+is a candidate if its lengths, the places of the word, and a 128-bit sketch of
+both sets allow the similarity, and is verified on the full sets.
+"""
 
 from __future__ import annotations
 
 import json
+import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import joinable, keep
+from cadence.llm.shared import joinable, keep, unused
 
-#: A line's tokens are its shingles of so many words; lines with fewer words are one token.
-WORDS, PERCENT = 5, 75
-#: Tokens are counted in this many classes of their hash; the counts come to the driver.
-CLASSES = 1 << 16
-#: Of the lines with a token in their prefix the first few are compared with all others before any others are.
-PIVOTS = 4
+PERCENT = 75
+#: Words are counted in this many classes of their hash, 2 ** CLASS_BITS; the counts come to the driver.
+CLASS_BITS = 16
+#: Of the lines with a word of a class with more than HEAVY words in their prefix, the first PIVOTS are compared with all others before any others are.
+HEAVY, PIVOTS = 512, 4
+#: Prefixes are joined in so many rounds of words, so that their rows don't all lie on disk at once.
+ROUNDS = 4
 #: What names a line, in the order in which lines come: its document's id, its number there, and the hash of the document's text.
 LINE = ["doc", "no", "of"]
-EARLIER = [f"{c}_" for c in LINE]
+_SIGN = 1 << (CLASS_BITS - 1)
 
 
 def text_hash(text_col: str) -> Column:
@@ -26,118 +36,158 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, of, no, line) of the lines that are not blank; ``of`` is the hash of their text."""
-    lines = docs.select(F.col(id_col).alias("doc"), text_hash(text_col).alias("of"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
-    return lines.where(F.col("line").rlike(r"\S"))
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, no, of, h1, h2, tokens) of the lines that are not blank: the hash of their text, two of the line, and those of its distinct words."""
+    low = docs.select(F.col(id_col).alias("doc"), text_hash(text_col).alias("of"), F.lower(F.col(text_col).cast("string")).alias("low"))
+    spaced = F.when(F.col("low").rlike("[\t\x0b\f\r]"), F.translate("low", "\t\x0b\f\r", "    ")).otherwise(F.col("low"))
+    # outer, as the filter that comes with the other explode would split each text twice
+    lines = low.select("doc", "of", spaced.alias("spaced")).select("doc", "of", F.posexplode_outer(F.split("spaced", "\n")).alias("no", "line")).where((F.ascii("line") > 32) | (F.trim("line") != ""))
+    words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    tokens = F.array_distinct(F.array_remove(words, F.xxhash64(F.lit(""))))
+    return lines.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens.alias("tokens"))
 
 
-def hashed(lines: DataFrame, size: int) -> DataFrame:
-    """``lines`` with the column ``hashes``, those of its shingles in order; the whole line's where it has fewer words, and none where it is blank.
+def class_order(lines: DataFrame) -> tuple[Column, int, int]:
+    """What turns the upper half of a hash into its place by rarity, and two such places: up to the first lie half of all words, from the second on classes of more than HEAVY words.
 
-    No filter may stand above that needs ``hashes`` (explode without outer
-    brings one): pushed below, it would split the line anew for each token.
-    Words are split at single characters and hashed once, which is what the
-    shingles are made of.
+    The class of a hash is its upper bits; a place is the half with the rank of its class among the counts in their stead.
     """
-    words = F.array_remove(F.split(F.translate(F.lower("line"), "\t\n\x0b\f\r", "     "), " "), "")
-    each = lines.withColumn("words", words).withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
-    n, at = F.size("words"), lambda i: F.get("words", i)
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(*(at(i + k) for k in range(size))))
-    whole = F.when(n > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
-    return each.withColumn("hashes", F.when(n >= size, shingles).otherwise(whole)).drop("words")
-
-
-def rarity_order(lines: DataFrame) -> Column:
-    """The place of each class of hashes when classes are sorted by how many tokens of all lines they hold, as one constant array."""
-    counts = lines.select(F.explode_outer("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("c")).agg(F.count("*").alias("n"))
-    found = {r.c: r.n for r in counts.collect()}  # CLASSES rows at most
-    place = [0] * CLASSES
-    for i, c in enumerate(sorted(range(CLASSES), key=lambda c: (found.get(c, 0), c))):
-        place[c] = i
-    return F.from_json(F.lit(json.dumps(place, separators=(",", ":"))), "array<int>")
+    n_classes, low_bits = 1 << CLASS_BITS, 32 - CLASS_BITS
+    counts = [0] * n_classes  # fixed in size, whatever the data
+    for r in lines.select(F.explode("tokens").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("c")).agg(F.count("*").alias("n")).collect():
+        counts[r.c] = r.n
+    signed = lambda x: x - (1 << 32) if x >> 31 else x
+    change, below, half, heavy, every = [0] * n_classes, 0, 0, n_classes - 1, sum(counts)
+    for rank, c in enumerate(sorted(range(n_classes), key=lambda c: (counts[c], c))):
+        change[c] = signed(((rank ^ _SIGN) ^ c) << low_bits)
+        if 2 * below < every:
+            half = rank
+        below += counts[c]
+        if counts[c] > HEAVY:
+            heavy = min(heavy, rank)
+    place = lambda rank: signed((rank ^ _SIGN) << low_bits)
+    return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), place(half), place(heavy)
+
+
+def _least_overlap(total: Column, percent: int) -> Column:
+    """The overlap that two sets of so many elements together need."""
+    return F.ceil(total * percent / (100 + percent))
+
+
+def prefixes(lines: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(id, doc, no, n, s1, s2, prefix) of the lines, and from which place on a prefix's words are heavy.
+
+    The prefix holds the places of the line's rarest words, the rarest first; s1
+    and s2 are sketches of its rarer and its other words, in which each word
+    turns one bit. Places are halves of hashes: two words may fall on one, which
+    adds candidates and never loses one, as both keep a place of their own.
+    """
+    order, half, heavy = class_order(lines)
+    placed = F.transform("tokens", lambda h: F.shiftright(h, 32).cast("int").bitwiseXOR(F.coalesce(F.get(order, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0))))
+    sketch = lambda part: F.expr(f"aggregate({part}, 0L, (a, x) -> a ^ shiftleft(1L, x))")
+    n = F.size("tokens")
+    length = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    ordered = lines.select("id", "doc", "no", n.alias("n"), length.alias("length"), F.sort_array(F.concat(placed, F.array(F.lit(half)))).alias("places"))
+    ordered = ordered.withColumn("cut", F.array_position("places", F.lit(half)).cast("int"))
+    prefix = F.when(F.col("cut") > F.col("length"), F.slice("places", F.lit(1), F.col("length"))).otherwise(F.concat(F.expr("slice(places, 1, cut - 1)"), F.expr("slice(places, cut + 1, length + 1 - cut)")))
+    return ordered.select("id", "doc", "no", "n", sketch("slice(places, 1, cut - 1)").alias("s1"), sketch("slice(places, cut + 1, n + 1 - cut)").alias("s2"), prefix.alias("prefix")), heavy
 
 
-def ordered_tokens(hashes: Column, order: Column) -> Column:
-    """The distinct tokens, the rarest first: 16 bits of the class's place above 47 more bits of the hash."""
-    key = lambda h: F.shiftleft(F.get(order, h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(F.lit((1 << 47) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Whether the length, positional and sketch filters let a pair pass that shares a word at these places."""
+    c = lambda name, side: F.col(f"{side}{name}")
+    total = c("n", a) + c("n", b)
+    apart = F.bit_count(c("s1", a).bitwiseXOR(c("s1", b))) + F.bit_count(c("s2", a).bitwiseXOR(c("s2", b)))
+    return (F.least(c("n", a) - c("at", a), c("n", b) - c("at", b)) * (100 + percent) >= total * percent) & (apart <= total - 2 * _least_overlap(total, percent))
 
 
-def _least_overlap(a: str, b: str, percent: int) -> Column:
-    """The overlap that sets of these sizes need."""
-    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(F.col(c) if c == "key" else F.col(c).alias(side + c) for c in df.columns))
 
 
-def _prefix_pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix token and may match, were that token the first they share; LINE names the later line, with _ after each name the earlier."""
-    other = earlier.select("token", *(F.col(c).alias(f"{c}_") for c in (*LINE, "n", "at")))
-    first = F.struct(*EARLIER) < F.struct(*LINE)
-    sizes = (F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent)
-    rest = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
-    return later.join(other, "token").where(first & sizes & (rest >= _least_overlap("n", "n_", percent))).select(*LINE, *EARLIER).distinct()
+def _octave(n: Column) -> Column:
+    """The number of its binary digits."""
+    return F.length(F.bin(n.cast("long")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The later lines of pairs that match on their full sets."""
-    a, b = sets.select(*LINE, F.col("hashes").alias("a")), sets.select(*(F.col(c).alias(f"{c}_") for c in LINE), F.col("hashes").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    joined = pairs.join(a, LINE).join(b, EARLIER)
-    return joined.where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select(*LINE).distinct()
+def _pivot_pairs(heads: DataFrame, heavy: int, percent: int) -> DataFrame:
+    """(a, b): ids of candidates of which b is among the first of the lines that hold a heavy word in their prefix."""
+    rows = heads.select("id", "doc", "no", "n", "s1", "s2", _octave(F.col("n")).alias("octave"), F.posexplode("prefix").alias("at", "token")).where(F.col("token") >= heavy)
+    rows = rows.withColumn("key", F.xxhash64("token", "octave")).drop("token", "octave")
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc", "no"))).where(F.col("rank") <= PIVOTS).drop("rank")
+    joined = _named(rows, "a_").join(_named(first, "b_"), "key").where((F.col("a_id") != F.col("b_id")) & _may_match("a_", "b_", percent))
+    return joined.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc, no, of): the lines, by id, number from 0 and hash of the text, that an earlier line matches with Jaccard >= ``percent`` / 100 on their token sets.
+def _pairs(heads: DataFrame, part: int, parts: int, percent: int) -> DataFrame:
+    """(a, b): ids of the candidates that share a prefix word of this part of all words, but for those of which both lines are ``done``.
 
-    Earlier is by id, then by number, then by that hash. Equal lines are joined by their hash
-    first; of each kind of line the first goes on to the similarity join.
+    A word of a line meets those of longer lines in the line's octave of
+    lengths and in the octaves above that the place of the word allows.
     """
-    lines = lines_of(docs, id_col, text_col)
-    names = (F.xxhash64(F.lower("line")).alias("h1"), F.xxhash64(F.lit(1), F.lower("line")).alias("h2"))
-    plain = lines.select(*LINE, *names)
-    heads = plain.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("head"), F.max(F.struct(*LINE)).alias("tail")).where("head <> tail").drop("tail")
-    repeated = plain.join(heads, ["h1", "h2"]).where(F.struct(*LINE) != F.col("head")).select(*LINE)
-
-    tokens = hashed(lines, words)
-    order = rarity_order(tokens)
-    sized = tokens.select(*LINE, *names, ordered_tokens(F.col("hashes"), order).alias("tokens"))
-    n = F.size("tokens")
-    sized = sized.select(*LINE, "h1", "h2", n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
-    kinds = sized.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    spread = kinds.select("head.*", "n", F.posexplode("prefix").alias("at", "token"))
-    by_token = Window.partitionBy("token").orderBy(*LINE)
-    shared = spread.withColumns({"place": F.row_number().over(by_token), "next": F.lead("no").over(by_token)}).where("place > 1 or next is not null").drop("next")
-    shared = keep(shared, "shared")
-
-    wanted = shared.groupBy("doc", "of").agg(F.collect_set("no").alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("doc"), text_hash(text_col).alias("of"), F.col(text_col).cast("string").alias("text"))
-    line = texts.join(joinable(keep(wanted, "wanted")), ["doc", "of"]).select("doc", "of", F.split("text", "\n").alias("all"), F.explode("wanted").alias("no")).select(*LINE, F.get("all", F.col("no")).alias("line"))
-    sets = keep(hashed(line, words).select(*LINE, F.array_distinct("hashes").alias("hashes")).dropDuplicates(LINE), "sets")
-
-    near = keep(_verified(_prefix_pairs(shared, shared.where(F.col("place") <= PIVOTS), percent), sets, percent), "near")
-    rest = shared.join(near, LINE, "left_anti")
-    more = _verified(_prefix_pairs(rest, shared.where(F.col("place") > PIVOTS), percent), sets, percent)
-    return repeated.union(near).union(more).distinct()
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    rows = heads.select("id", "n", "s1", "s2", "done", _octave(F.col("n")).alias("octave"), F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(parts)) == part)
+    longest = F.floor((F.col("n") - F.col("at")) * (100 + percent) / F.lit(percent)).cast("int") - F.col("n")
+    above = (-(-100 // percent) - 1).bit_length()
+    more = reduce(Column.__add__, ((longest >= F.expr(f"shiftleft(1L, octave + {i})")).cast("int") for i in range(above)), F.lit(1))
+    shorter = rows.where(longest >= F.col("n")).withColumn("octave", F.explode_outer(F.slice(F.array(*(F.col("octave") + i for i in range(above + 1))), F.lit(1), more)))
+    keyed = lambda df: df.withColumn("key", F.xxhash64("token", "octave")).drop("token", "octave")
+    upward = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    joined = _named(keyed(shorter), "a_").join(_named(keyed(rows), "b_").hint("merge"), "key").where(upward & _may_match("a_", "b_", percent) & ~(F.col("a_done") & F.col("b_done")))
+    return joined.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def _matched(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(doc, no, of, id) of the later lines of pairs that match on their full sets."""
+    wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    sets = keep(lines.select("id", *LINE, "tokens").join(joinable(wanted), "id", "left_semi"), "sets")
+    side = lambda s: sets.select(F.col("id").alias(s), F.struct(*LINE, "id").alias(f"line_{s}"), F.col("tokens").alias(f"set_{s}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent)
+    return joined.select(F.greatest("line_a", "line_b").alias("line")).select("line.*").distinct()
+
+
+def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc, no, of): the lines, by id, number from 0 and hash of the text, that an earlier line matches with Jaccard >= ``percent`` / 100 on their sets of words.
+
+    Earlier is by id, then by number, then by that hash. Of equal lines the first
+    goes on to the similarity join, the others match it.
+    """
+    plain = {"parquet.enable.dictionary": "false"}  # hashes hardly repeat
+    lines = keep(hashed_lines(docs, id_col, text_col).select("*", F.monotonically_increasing_id().alias("id")), "lines", **plain)
+    name = F.struct(*LINE, "id")
+    equal = keep(lines.groupBy("h1", "h2").agg(F.min(name).alias("head"), F.max(name).alias("tail")).where("head.id <> tail.id").drop("tail"), "equal")
+    repeated = keep(lines.select("h1", "h2", *LINE, "id").join(joinable(equal, 200_000), ["h1", "h2"]).where(F.col("id") != F.col("head.id")).select(*LINE, "id", F.struct(*LINE).eqNullSafe(F.struct("head.doc", "head.no", "head.of")).alias("same")), "repeated")
+    found, heavy = prefixes(lines, percent)
+    heads = keep(found.join(joinable(repeated.select("id")), "id", "left_anti"), "heads", **plain)
+
+    near = keep(_matched(keep(_pivot_pairs(heads, heavy, percent), "pairs"), lines, percent), "near")
+    done = near.select("id", F.lit(True).alias("done"))
+    marked = heads.join(joinable(done), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    rounds = [keep(_pairs(marked, part, ROUNDS, percent), "pairs") for part in range(ROUNDS)]
+    more = _matched(reduce(DataFrame.union, rounds).distinct(), lines, percent)
+    return repeated.where("not same").select(*LINE).union(near.select(*LINE)).union(more.select(*LINE)).distinct()
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, removed, text_hash): the numbers of the lines to remove of each document that has such lines, in order, and the hash of its text."""
-    found = later_matches(docs, id_col, text_col, words, percent)
+    found = later_matches(docs, id_col, text_col, percent)
     return found.groupBy(F.col("doc").alias(id_col), F.col("of").alias("text_hash")).agg(F.sort_array(F.collect_list("no")).alias("removed")).select(id_col, "removed", "text_hash")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the same rows and columns, without the lines that an earlier line of any document matches.
 
-    A line's tokens are its distinct shingles of ``words`` words, lower-cased; a
-    line with fewer words is one token, so that only equal ones match it. Tokens
-    are compared by 63 bits of their hash. Blank lines stay, a null text stays
-    null, and a text may end up empty; rows that repeat both id and text count as
-    one document, rows of one id with other texts are documents of their own; a
-    null id comes first and such a row keeps its lines; no rows give no rows.
+    A line's tokens are its distinct words, lower-cased, as runs of characters
+    other than white space of ASCII; they are compared by 64 bits of their hash.
+    Blank lines stay, a null text stays null, and a text may end up empty; rows
+    that repeat both id and text count as one document, rows of one id with
+    other texts are documents of their own; a null id comes first and such a row
+    keeps its lines; other columns are handed on, whatever their names; no rows
+    give no rows.
     """
-    removed = removed_lines(docs, id_col, text_col, words, percent).select(F.col(id_col).alias("__id"), F.col("removed").alias("__removed"), F.col("text_hash").alias("__of"))
-    joined = docs.join(joinable(keep(removed, "removed")), (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__of")), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    text = F.when(F.col("__removed").isNull(), docs[text_col]).otherwise(kept)
+    of, gone, hashed = (unused(docs.columns, x) for x in ("of", "removed", "text_hash"))
+    removed = removed_lines(docs, id_col, text_col, percent).select(F.col(id_col).alias(of), F.col("removed").alias(gone), F.col("text_hash").alias(hashed))
+    joined = docs.join(joinable(keep(removed, "removed"), 100_000), (docs[id_col] == F.col(of)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(hashed)), "left")
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), docs[text_col]).otherwise(kept)
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -30,10 +30,10 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 n AS (SELECT doc_id, coalesce(len(l), 0) AS n_lines, range(len(l)) AS no, l FROM l),
 line AS (SELECT doc_id, unnest(no) AS no, unnest(l) AS line FROM n),
 w AS (SELECT doc_id, no, [x FOR x IN regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+') IF x <> ''] AS w FROM line),
-s AS (SELECT doc_id, no, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) ELSE [array_to_string(w, ' ')] END AS s FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, no, list_sort(list_distinct(w)) AS s FROM w WHERE len(w) > 0),
 kinds AS (SELECT s, min((doc_id, no)) AS first, len(s) AS n, row_number() OVER () AS k FROM s GROUP BY s),
 each AS (SELECT k, first, n, unnest(s) AS x FROM kinds),
-match AS (SELECT DISTINCT k FROM (SELECT b.k FROM each a JOIN each b ON a.x = b.x AND a.first < b.first GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*)))),
+match AS (SELECT DISTINCT k FROM (SELECT b.k FROM each a JOIN each b ON a.x = b.x AND a.first < b.first AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*)))),
 gone AS (SELECT s.doc_id, s.no FROM s JOIN kinds USING (s) WHERE (s.doc_id, s.no) <> first OR k IN (SELECT k FROM match)),
 byd AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed FROM n LEFT JOIN byd USING (doc_id)

@@ -38,15 +38,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, which cuts the lineage there."""
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as far as a column has that name already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back, which cuts the lineage there; ``options`` are those of the Parquet writer."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

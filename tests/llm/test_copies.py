@@ -100,8 +100,7 @@ def test_components(spark):
 
 
 def line_tokens(line):
-    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", line.lower()) if x]
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else (frozenset([tuple(w)]) if w else frozenset())
+    return frozenset(x for x in re.split(r"[ \t\n\x0b\f\r]+", line.lower()) if x)
 
 
 def brute_lines(rows):
