@@ -5,17 +5,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import byte_slices, keep, returning_memory
+from cadence.llm.shared import byte_slices, joinable, keep, returning_memory
 from cadence.llm.token_counts import load_tokenizer
 
 CAPACITY = 4096
@@ -162,31 +162,58 @@ class Slots:
         return self.sequence[run] + key - self.keys[run], self.offset[run]
 
 
+def encode_words(tokenizer, words: list[str], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids; words are encoded ``together`` with spaces between, where no token reaches across, and told apart by offsets."""
+    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for at in range(0, len(words), together * 64):
+        some = words[at : at + together * 64]
+        groups = [some[k : k + together] for k in range(0, len(some), together)]
+        for group, e in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            starts = np.cumsum([0, *(len(w) + 1 for w in group)])[:-1]
+            own = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+            sizes.append(np.bincount(np.searchsorted(starts, own, side="right") - 1, minlength=len(group)))
+            flat.append(np.array(e.ids, np.uint32))
+    return np.concatenate(sizes), np.concatenate(flat)
+
+
 class WordIds:
-    """The ids of words. The first ``most`` words that a worker meets, the frequent ones among them, stay known; others are encoded anew for each slice."""
+    """The ids of words. The first ``most`` words that a worker meets, the frequent ones among them, stay known; others are encoded anew for each slice.
+
+    Known words are found by 64 bits of their hash and then compared, so that
+    two words of one hash are never taken for each other.
+    """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 1_500_000):
         self.tokenizer, self.most = tokenizer, most
-        self.places: dict[str, int] = {}
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each word's ids begin in a table, how many they are, and the table."""
-        new = [w for w in words if w not in self.places]
-        sizes, flat = [self.sizes], [self.flat]
-        for at in range(0, len(new), 1 << 16):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + (1 << 16)], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
-        every, table = np.concatenate(sizes), np.concatenate(flat)
-        known = len(self.places)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.words = pa.array([], pa.string())
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of the distinct words' ids begin in a table, how many they are, and the table."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        place = np.full(len(words), -1, np.int64)
+        if len(self.hashes):
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            same = pc.equal(words.take(pa.array(hit)), self.words.take(pa.array(self.place[at[hit]]))).to_numpy(zero_copy_only=False)
+            place[hit[same]] = self.place[at[hit[same]]]
+        new = np.flatnonzero(place < 0)
+        added = words.take(pa.array(new))
+        sizes, ids = encode_words(self.tokenizer, added.to_pylist())
+        starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        every, table = np.concatenate([self.sizes, sizes.astype(np.int32)]), np.concatenate([self.ids, ids])
+        known = len(self.words)
+        place[new] = known + np.arange(len(new))
         stay = max(0, min(len(new), self.most - known))
-        self.places.update(zip(new[:stay], range(known, known + stay)))
-        passing = dict(zip(new[stay:], range(known + stay, known + len(new))))
-        self.sizes = every[: known + stay]
-        self.flat = table[: int(self.sizes.sum())].copy()
-        at = np.fromiter((i if (i := self.places.get(w)) is not None else passing[w] for w in words), np.int64, len(words))
-        return (np.cumsum(every) - every)[at], every[at], table
+        if stay:
+            self.words = pa.concat_arrays([self.words, added[:stay]])
+            joined, owner = np.concatenate([self.hashes, hashes[new[:stay]]]), np.concatenate([self.place, place[new[:stay]]])
+            order = np.argsort(joined, kind="stable")
+            self.hashes, self.place = joined[order], owner[order]
+            self.starts, self.sizes = starts[: known + stay], every[: known + stay]
+            self.ids = table[: len(self.ids) + int(sizes[:stay].sum())]
+        return starts[place], every[place].astype(np.int64), table
 
 
 _known: dict[str, WordIds] = {}
@@ -209,7 +236,7 @@ def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(texts.fill_null(""))
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    starts, sizes, table = known.find(coded.dictionary.to_pylist())
+    starts, sizes, table = known.find(coded.dictionary)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     by_word = sizes[codes]
     upto = np.concatenate([[0], np.cumsum(by_word)])
@@ -217,6 +244,26 @@ def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.diff(upto[ends])
 
 
+def cut_pieces(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece of documents of so many ids (one at least): the document, the piece's number there, the ids before it, and its length."""
+    pieces = -(-counts // capacity)
+    owner = np.repeat(np.arange(len(counts)), pieces)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    return owner, piece, start, np.minimum(capacity, counts[owner] - start)
+
+
+def ranks(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The rank of each length among its equals, after the ``seen`` ones of each length, which are brought up to date."""
+    order = np.argsort(lengths, kind="stable")
+    of = lengths[order]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    rank = np.empty(len(of), np.int64)
+    rank[order] = np.arange(len(of)) - np.repeat(first, np.diff(np.concatenate([first, [len(of)]]))) + seen[of]
+    seen += np.bincount(lengths, minlength=len(seen))
+    return rank
+
+
 def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and the place of the piece among those of its length in its task."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -228,25 +275,17 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         for batch in batches:
             for part in byte_slices(batch, "text", 8 << 20):
                 ids, counts = token_ids(known, part.column("text"))
-                upto = np.concatenate([[0], np.cumsum(counts)])
-                owner, piece, start, length, crc, rank, held = [], [], [], [], [], [], []
-                for i in range(part.num_rows):
-                    own = np.append(ids[upto[i] : upto[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(own), capacity)):
-                        cut = own[at : at + capacity]
-                        owner.append(i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(len(cut))
-                        crc.append(zlib.crc32(cut))
-                        rank.append(int(seen[len(cut)]))
-                        seen[len(cut)] += 1
-                        if with_ids:
-                            held.append(cut.astype(np.int32))
-                columns = [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(owner), pa.int32()), pa.array(rank, pa.int64())]
+                ends = np.cumsum(counts + 1)
+                every = np.full(int(ends[-1]), end_id, "<u4")
+                every[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                owner, piece, start, length = cut_pieces(counts + 1, capacity)
+                at = (ends - counts - 1)[owner] + start
+                data = memoryview(every).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                columns = [part.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(owner), task, np.int32)), pa.array(ranks(length, seen))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"]
                 if with_ids:
-                    columns.append(pa.array(held, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(every)).astype(np.int32)), pa.array(every.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -278,6 +317,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             sequence, offset = slots.value.find(batch.column("length").to_numpy(), rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    placed = pieces.join(bases.select("task", "length", "base"), ["task", "length"]).select(*names, "place", "base")
+    placed = pieces.join(joinable(bases.select("task", "length", "base"), 200_000), ["task", "length"]).select(*names, "place", "base")
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return placed.mapInArrow(returning_memory(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
