@@ -17,15 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import joinable, keep, unused
+from cadence.llm.shared import discard, joinable, keep, unused
 
 PERCENT = 75
 #: Words are counted in this many classes of their hash, 2 ** CLASS_BITS; the counts come to the driver.
 CLASS_BITS = 16
-#: Of the lines with a word of a class with more than HEAVY words in their prefix, the first PIVOTS are compared with all others before any others are.
-HEAVY, PIVOTS = 512, 4
+#: Of the lines with a heavy word in their prefix, of a class with more than HEAVY words and twice its share, the first PIVOTS are compared with all
+#: others before any others are, so that a large group of near copies does not make all its pairs; one in SAMPLE of such words is enough for that.
+HEAVY, PIVOTS, SAMPLE = 1024, 4, 4
 #: Prefixes are joined in so many rounds of words, so that their rows don't all lie on disk at once.
-ROUNDS = 4
+ROUNDS = 6
 #: What names a line, in the order in which lines come: its document's id, its number there, and the hash of the document's text.
 LINE = ["doc", "no", "of"]
 _SIGN = 1 << (CLASS_BITS - 1)
@@ -43,12 +44,12 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # outer, as the filter that comes with the other explode would split each text twice
     lines = low.select("doc", "of", spaced.alias("spaced")).select("doc", "of", F.posexplode_outer(F.split("spaced", "\n")).alias("no", "line")).where((F.ascii("line") > 32) | (F.trim("line") != ""))
     words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
-    tokens = F.array_distinct(F.array_remove(words, F.xxhash64(F.lit(""))))
+    tokens = F.array_except(words, F.array(F.xxhash64(F.lit(""))))  # distinct, without the empty words between two spaces
     return lines.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens.alias("tokens"))
 
 
 def class_order(lines: DataFrame) -> tuple[Column, int, int]:
-    """What turns the upper half of a hash into its place by rarity, and two such places: up to the first lie half of all words, from the second on classes of more than HEAVY words.
+    """What turns the upper half of a hash into its place by rarity, and two such places: up to the first lie half of all words, from the second on heavy classes.
 
     The class of a hash is its upper bits; a place is the half with the rank of its class among the counts in their stead.
     """
@@ -63,23 +64,29 @@ def class_order(lines: DataFrame) -> tuple[Column, int, int]:
         if 2 * below < every:
             half = rank
         below += counts[c]
-        if counts[c] > HEAVY:
+        if counts[c] > max(HEAVY, 2 * every // n_classes):
             heavy = min(heavy, rank)
     place = lambda rank: signed((rank ^ _SIGN) << low_bits)
     return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), place(half), place(heavy)
 
 
-def _least_overlap(total: Column, percent: int) -> Column:
-    """The overlap that two sets of so many elements together need."""
-    return F.ceil(total * percent / (100 + percent))
+def _size_class(n: Column) -> Column:
+    """Lengths in classes that grow by a half and by a third in turn: of 2 ** k on, and of 3 * 2 ** k on."""
+    digits = F.length(F.bin(n.cast("long")))
+    return 2 * digits + F.when(F.substring(F.bin(n.cast("long")), 2, 1) == "1", 1).otherwise(0)
+
+
+def _class_start(size: str) -> Column:
+    """The least length of a class."""
+    return F.expr(f"cast(ceil(pow(2.0D, ({size}) div 2 - 1) * if(({size}) % 2 = 1, 1.5D, 1.0D)) as int)")
 
 
 def prefixes(lines: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """(id, doc, no, n, s1, s2, prefix) of the lines, and from which place on a prefix's words are heavy.
+    """(id, doc, no, n, size, s1, s2, prefix) of the lines, and from which place on a prefix's words are heavy.
 
     The prefix holds the places of the line's rarest words, the rarest first; s1
     and s2 are sketches of its rarer and its other words, in which each word
-    turns one bit. Places are halves of hashes: two words may fall on one, which
+    turns one bit; size is the class of n. Places are halves of hashes: two words may fall on one, which
     adds candidates and never loses one, as both keep a place of their own.
     """
     order, half, heavy = class_order(lines)
@@ -90,60 +97,80 @@ def prefixes(lines: DataFrame, percent: int) -> tuple[DataFrame, int]:
     ordered = lines.select("id", "doc", "no", n.alias("n"), length.alias("length"), F.sort_array(F.concat(placed, F.array(F.lit(half)))).alias("places"))
     ordered = ordered.withColumn("cut", F.array_position("places", F.lit(half)).cast("int"))
     prefix = F.when(F.col("cut") > F.col("length"), F.slice("places", F.lit(1), F.col("length"))).otherwise(F.concat(F.expr("slice(places, 1, cut - 1)"), F.expr("slice(places, cut + 1, length + 1 - cut)")))
-    return ordered.select("id", "doc", "no", "n", sketch("slice(places, 1, cut - 1)").alias("s1"), sketch("slice(places, cut + 1, n + 1 - cut)").alias("s2"), prefix.alias("prefix")), heavy
-
-
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """Whether the length, positional and sketch filters let a pair pass that shares a word at these places."""
-    c = lambda name, side: F.col(f"{side}{name}")
-    total = c("n", a) + c("n", b)
-    apart = F.bit_count(c("s1", a).bitwiseXOR(c("s1", b))) + F.bit_count(c("s2", a).bitwiseXOR(c("s2", b)))
-    return (F.least(c("n", a) - c("at", a), c("n", b) - c("at", b)) * (100 + percent) >= total * percent) & (apart <= total - 2 * _least_overlap(total, percent))
+    return ordered.select("id", "doc", "no", "n", _size_class(F.col("n")).alias("size"), sketch("slice(places, 1, cut - 1)").alias("s1"), sketch("slice(places, cut + 1, n + 1 - cut)").alias("s2"), prefix.alias("prefix")), heavy
 
 
-def _named(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*(F.col(c) if c == "key" else F.col(c).alias(side + c) for c in df.columns))
+def _joined(shorter: DataFrame, longer: DataFrame, percent: int, wanted: Column | None = None) -> DataFrame:
+    """(later, earlier, apart): ids of the candidates among rows with one key, and how many bits of their sketches differ for a thousand words."""
+    sent = lambda df, side: df.select("key", *(F.col(c).alias(f"{side}{c}") for c in ("id", "doc", "no", "held", "s1", "s2")))
+    parts = {"n": "cast(shiftright({}, 32) as int)", "at": "cast(shiftright({} & 4294967295L, 1) as int)", "done": "({} & 1L) = 1L"}
+    joined = sent(shorter, "a_").join(sent(longer, "b_").hint("merge"), "key").withColumns({f"{side}{name}": F.expr(of.format(f"{side}held")) for side in ("a_", "b_") for name, of in parts.items()})
+    total = F.col("a_n") + F.col("b_n")
+    apart = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
+    least = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    # the sketch, length and positional filters in whole numbers, the most selective first
+    passed = joined.where((apart * (100 + percent) <= total * (100 - percent)) & (least * (100 + percent) >= total * percent))
+    first = F.struct("a_doc", "a_no", "a_id") < F.struct("b_doc", "b_no", "b_id")
+    passed = passed.where(F.lit(True) if wanted is None else wanted).where(~F.when(first, F.col("b_done")).otherwise(F.col("a_done")))
+    one = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return passed.select(one("b_id", "a_id").alias("later"), one("a_id", "b_id").alias("earlier"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
 
-def _octave(n: Column) -> Column:
-    """The number of its binary digits."""
-    return F.length(F.bin(n.cast("long")))
+#: n, a word's place in the line, and whether the line is done, in one number
+_HELD = "shiftleft(cast(n as long), 32) | shiftleft(cast(at as long), 1) | cast(done as long)"
 
 
 def _pivot_pairs(heads: DataFrame, heavy: int, percent: int) -> DataFrame:
-    """(a, b): ids of candidates of which b is among the first of the lines that hold a heavy word in their prefix."""
-    rows = heads.select("id", "doc", "no", "n", "s1", "s2", _octave(F.col("n")).alias("octave"), F.posexplode("prefix").alias("at", "token")).where(F.col("token") >= heavy)
-    rows = rows.withColumn("key", F.xxhash64("token", "octave")).drop("token", "octave")
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc", "no"))).where(F.col("rank") <= PIVOTS).drop("rank")
-    joined = _named(rows, "a_").join(_named(first, "b_"), "key").where((F.col("a_id") != F.col("b_id")) & _may_match("a_", "b_", percent))
-    return joined.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    """The candidates of which one is among the first of the lines that hold a heavy word in their prefix, for some of those words."""
+    rows = heads.select("id", "doc", "no", "n", "s1", "s2", "size", F.lit(False).alias("done"), F.posexplode("prefix").alias("at", "token")).where((F.col("token") >= heavy) & (F.pmod("token", F.lit(SAMPLE)) == 0))
+    rows = rows.withColumns({"key": F.xxhash64("token", "size"), "held": F.expr(_HELD)})
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc", "no"))).where(F.col("rank") <= PIVOTS)
+    return _joined(rows, first, percent, F.col("a_id") != F.col("b_id"))
 
 
 def _pairs(heads: DataFrame, part: int, parts: int, percent: int) -> DataFrame:
-    """(a, b): ids of the candidates that share a prefix word of this part of all words, but for those of which both lines are ``done``.
+    """The candidates that share a prefix word of this part of all words, but for those of which the later line is ``done``.
 
-    A word of a line meets those of longer lines in the line's octave of
-    lengths and in the octaves above that the place of the word allows.
+    A word of a line meets those of longer lines in the line's own class of
+    lengths and in the classes above that the place of the word allows.
     """
-    rows = heads.select("id", "n", "s1", "s2", "done", _octave(F.col("n")).alias("octave"), F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(parts)) == part)
-    longest = F.floor((F.col("n") - F.col("at")) * (100 + percent) / F.lit(percent)).cast("int") - F.col("n")
-    above = (-(-100 // percent) - 1).bit_length()
-    more = reduce(Column.__add__, ((longest >= F.expr(f"shiftleft(1L, octave + {i})")).cast("int") for i in range(above)), F.lit(1))
-    shorter = rows.where(longest >= F.col("n")).withColumn("octave", F.explode_outer(F.slice(F.array(*(F.col("octave") + i for i in range(above + 1))), F.lit(1), more)))
-    keyed = lambda df: df.withColumn("key", F.xxhash64("token", "octave")).drop("token", "octave")
+    above = next(i for i in range(200) if (4 / 3) ** i >= 100 / percent)
+    starts = {f"start{i}": _class_start(f"size + {i}") for i in range(1, above + 1)}
+    rows = heads.withColumns(starts).select("id", "doc", "no", "n", "s1", "s2", "size", "done", *starts, F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(parts)) == part)
+    rows = rows.withColumn("held", F.expr(_HELD))
+    longest = F.expr(f"cast((n - at) * {100 + percent} div {percent} as int) - n")
+    more = reduce(Column.__add__, ((longest >= F.col(c)).cast("int") for c in starts), F.lit(1))
+    classes = F.slice(F.array(*(F.col("size") + i for i in range(above + 1))), F.lit(1), more)
+    shorter = rows.where(longest >= F.col("n")).withColumn("size", F.explode_outer(classes))
+    keyed = lambda df: df.withColumn("key", F.xxhash64("token", "size"))
     upward = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
-    joined = _named(keyed(shorter), "a_").join(_named(keyed(rows), "b_").hint("merge"), "key").where(upward & _may_match("a_", "b_", percent) & ~(F.col("a_done") & F.col("b_done")))
-    return joined.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return _joined(keyed(shorter), keyed(rows), percent, upward)
 
 
-def _matched(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(doc, no, of, id) of the later lines of pairs that match on their full sets."""
-    wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(later) ids of the pairs (later, earlier) that match on their full sets."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_set"))
+    both = F.size(F.array_intersect("later_set", "earlier_set"))
+    matched = both * 100 >= (F.size("later_set") + F.size("earlier_set") - both) * percent
+    return pairs.join(side("later"), "later").join(side("earlier"), "earlier").where(matched).select("later").distinct()
+
+
+def _matched(pairs: DataFrame, lines: DataFrame, percent: int, last: bool = False) -> DataFrame:
+    """(id, doc, no, of) of the later lines of pairs that match on their full sets; ``last`` says that nothing reads ``lines`` afterwards.
+
+    Most candidates match, so each later line is first compared with the
+    earlier one of the nearest sketch, and only where these differ with others.
+    """
+    pairs = keep(pairs, "pairs")
+    if pairs.isEmpty():
+        return lines.select("id", *LINE).limit(0)
+    wanted = keep(pairs.select(F.col("later").alias("id")).union(pairs.select(F.col("earlier").alias("id"))).distinct(), "wanted")
     sets = keep(lines.select("id", *LINE, "tokens").join(joinable(wanted), "id", "left_semi"), "sets")
-    side = lambda s: sets.select(F.col("id").alias(s), F.struct(*LINE, "id").alias(f"line_{s}"), F.col("tokens").alias(f"set_{s}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent)
-    return joined.select(F.greatest("line_a", "line_b").alias("line")).select("line.*").distinct()
+    if last:
+        discard(lines)
+    one = keep(_verified(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")), sets, percent), "one")
+    more = _verified(pairs.join(joinable(one), "later", "left_anti").select("later", "earlier"), sets, percent)
+    return keep(sets.select("id", *LINE).join(one.union(more).withColumnRenamed("later", "id"), "id", "left_semi"), "matched")
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -155,16 +182,19 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = {"parquet.enable.dictionary": "false"}  # hashes hardly repeat
     lines = keep(hashed_lines(docs, id_col, text_col).select("*", F.monotonically_increasing_id().alias("id")), "lines", **plain)
     name = F.struct(*LINE, "id")
-    equal = keep(lines.groupBy("h1", "h2").agg(F.min(name).alias("head"), F.max(name).alias("tail")).where("head.id <> tail.id").drop("tail"), "equal")
-    repeated = keep(lines.select("h1", "h2", *LINE, "id").join(joinable(equal, 200_000), ["h1", "h2"]).where(F.col("id") != F.col("head.id")).select(*LINE, "id", F.struct(*LINE).eqNullSafe(F.struct("head.doc", "head.no", "head.of")).alias("same")), "repeated")
+    kinds = keep(lines.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"), "kinds")
+    equal = keep(lines.select("h1", "h2", name.alias("line")).join(joinable(kinds, 500_000), ["h1", "h2"], "left_semi"), "equal")
+    heads = keep(equal.groupBy("h1", "h2").agg(F.min("line").alias("head")), "heads")
+    repeated = keep(equal.join(joinable(heads, 200_000), ["h1", "h2"]).where("line.id <> head.id").select("line.*", F.expr("line.doc <=> head.doc and line.no = head.no and line.of <=> head.of").alias("same")), "repeated")
     found, heavy = prefixes(lines, percent)
     heads = keep(found.join(joinable(repeated.select("id")), "id", "left_anti"), "heads", **plain)
 
-    near = keep(_matched(keep(_pivot_pairs(heads, heavy, percent), "pairs"), lines, percent), "near")
+    near = _matched(_pivot_pairs(heads, heavy, percent), lines, percent)
     done = near.select("id", F.lit(True).alias("done"))
     marked = heads.join(joinable(done), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     rounds = [keep(_pairs(marked, part, ROUNDS, percent), "pairs") for part in range(ROUNDS)]
-    more = _matched(reduce(DataFrame.union, rounds).distinct(), lines, percent)
+    discard(heads)
+    more = _matched(reduce(DataFrame.union, rounds).distinct(), lines, percent, last=True)
     return repeated.where("not same").select(*LINE).union(near.select(*LINE)).union(more.select(*LINE)).distinct()
 
 

@@ -61,6 +61,14 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of keep() that no plan reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def joinable(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """For a join's side of narrow rows: broadcast up to ``rows`` of them, counted first; merged beyond."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
