@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.shared import fresh_path, keep, partitions, returning_memory
+from cadence.llm.shared import fresh_path, joinable, keep, partitions, returning_memory
 
 CHUNK = 1 << 20
 #: Payloads below this size are stored again rather than referred to.
@@ -31,7 +31,7 @@ def record_chunks(pages: DataFrame, id_col: str, url_col: str, payload: Column,
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     heads = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail").drop("tail")
-    rows = rows.join(heads, "digest", "left")
+    rows = rows.join(joinable(keep(heads, "heads"), 200_000), "digest", "left")  # narrow, so that payloads seldom move for it
     revisit = F.coalesce((F.col("payload_bytes") >= LEAST_REVISIT) & (F.col("id") != F.col("head")), F.lit(False))
     rows = rows.select("id", "target_uri", "digest", "payload_bytes", F.when(revisit, F.col("head")).alias("head"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
     pieces = F.greatest(F.lit(1), F.ceil(F.length("payload") / chunk)).cast("int")
@@ -40,7 +40,14 @@ def record_chunks(pages: DataFrame, id_col: str, url_col: str, payload: Column,
 
 
 def _name(value: object) -> str:
-    return f"<urn:record:{quote(str(value), safe='')}>" if value is not None else "<urn:record:>"
+    return f"<urn:record:{quote(str(value), safe='')}>" if value is not None else "<urn:no-record>"
+
+
+def _named(field: str | None) -> str | None:
+    """The id that _name() wrote; names of other makers stay as they are."""
+    if field is None or field == "<urn:no-record>":
+        return None
+    return unquote(field[len("<urn:record:") : -1]) if field.startswith("<urn:record:") and field.endswith(">") else field
 
 
 def _header(row: dict, date: str) -> bytes:
@@ -144,7 +151,6 @@ def _records(stream, chunk: int, with_data: bool) -> Iterator[tuple]:
             left -= len(source.until(b"\r\n\r\n")) + 4
         declared = fields.get("x-payload-length")
         digest, total, no = hashlib.sha256(), 0, 0
-        name = lambda x: (x or "").removeprefix("<urn:record:").removesuffix(">") or None
         while True:
             data = source.take(min(chunk, left))
             left -= len(data)
@@ -152,7 +158,7 @@ def _records(stream, chunk: int, with_data: bool) -> Iterator[tuple]:
             total += len(data)
             last = left <= 0 or not data
             yield (
-                name(fields.get("warc-record-id")), fields.get("warc-type"), fields.get("warc-target-uri"), name(fields.get("warc-refers-to")),
+                _named(fields.get("warc-record-id")), fields.get("warc-type"), fields.get("warc-target-uri"), _named(fields.get("warc-refers-to")),
                 int(declared) if declared else None, (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
                 no, last, data if with_data else None, total, digest.hexdigest(),
             )
