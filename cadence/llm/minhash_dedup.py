@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm.circulant import CirculantMinHash
 from cadence.llm.components import components
-from cadence.llm.shared import byte_slices, keep, partitions, returning_memory
+from cadence.llm.shared import byte_slices, joinable, keep, partitions, returning_memory
 from cadence.llm.shingles import shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(ids) > 1:
             yield done()
 
-    held = cells.hint("merge").join(texts, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
+    wanted = texts.join(joinable(keep(groups.select(F.col("node").alias("id")), "wanted")), "id", "left_semi")
+    held = cells.hint("merge").join(wanted, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
     linked = components(held.mapInArrow(returning_memory(verify), "a long, b long"))
     names = ["doc_id", "n_shingles", "component_id", *["text_hash"] * with_text_hash]
     ends = classes.join(linked, classes.rep == linked.node, "left").select("print_a", "print_b", F.coalesce("component", "rep").alias("component_id"))
