@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import keep, partitions, returning_memory
+from cadence.llm.shared import joinable, keep, partitions, returning_memory
 from cadence.llm.vectors import matrix, usable
 
 TABLES, HASHES, WIDTH, PROBES = 6, 4, 1.2, 40
@@ -76,10 +76,14 @@ class PStableTables:
         return np.stack(out, axis=-1).reshape(len(unit), -1)
 
 
-def _unit(x: np.ndarray, dimensions: int) -> np.ndarray:
+def scaled(x: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vectors with their largest component between 1/2 and 1: a power of two changes no cosine and no digit, and squares stay in range."""
     x = x[:, :dimensions] if x.shape[1] >= dimensions else np.pad(x, ((0, 0), (0, dimensions - x.shape[1])))
-    top = np.abs(x).max(axis=1, initial=0, keepdims=True)
-    x = x / np.where(top > 0, top, 1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray, dimensions: int) -> np.ndarray:
+    x = scaled(x, dimensions)
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
 
@@ -90,7 +94,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     perturbed ones that are likeliest to hold its neighbours; buckets without
     rows are dropped from its list first, and buckets over ``piece`` rows are
     cut, each cut being visited. All candidates of a bucket are ranked by their
-    exact cosine on the original vectors, and the tables' best are merged.
+    exact cosine on the original vectors, and the tables' best are merged. A
+    query that finds fewer than ``k`` candidates this way visits all rows.
 
     ``is_query`` says of the column ``id`` which rows ask; rows with the
     query's own id are no candidates; ties go to the smaller id. Rows whose id
@@ -120,7 +125,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     held = index.select("id", "v", F.explode("keys").alias("key")).join(cuts, "key").select("key", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("cut"), F.lit(False).alias("asks"), "id", "v")
     visits = asking.select("id", F.explode("keys").alias("key")).join(cuts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id")
     visits = visits.join(asking.select("id", "v"), "id").select("key", "cut", F.lit(True).alias("asks"), "id", "v")
-    cells = held.union(visits).repartition(partitions(spark), "key", "cut").sortWithinPartitions("key", "cut", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[float, int]]] = {}
@@ -133,7 +137,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
         for batch in batches:
             keys, cut, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cut", "asks"))
-            ids, v = batch.column("id").to_numpy(), matrix(batch.column("v"), dimensions)
+            ids, v = batch.column("id").to_numpy(), scaled(matrix(batch.column("v"), dimensions), dimensions)
             changes = np.flatnonzero((keys[1:] != keys[:-1]) | (cut[1:] != cut[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(keys)]):
                 if (keys[a], cut[a]) != cell:
@@ -165,6 +169,18 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 yield flush()
         yield flush()
 
-    found = cells.mapInArrow(returning_memory(search), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    def best_of(rows_and_visits: DataFrame) -> DataFrame:
+        cells = rows_and_visits.repartition(partitions(spark), "key", "cut").sortWithinPartitions("key", "cut", "asks")
+        found = cells.mapInArrow(returning_memory(search), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    found = keep(best_of(held.union(visits)), "found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = keep(asking.select("id", "v").join(joinable(full), "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    blocks = F.lit(max(1, -(-index.count() // piece)))
+    every = index.select(F.lit(0).cast("long").alias("key"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("cut"), F.lit(False).alias("asks"), "id", "v")
+    asked = short.select(F.lit(0).cast("long").alias("key"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("cut"), F.lit(True).alias("asks"), "id", "v")
+    return found.join(joinable(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").union(best_of(every.union(asked)))
