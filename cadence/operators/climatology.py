@@ -32,3 +32,10 @@ def precheck(clim: DataFrame, cell: list[str], mask: DataFrame | None = None) ->
         checked = checked.join(mask.select(*cell, "is_valid"), cell, "left")
         ok = ok & F.coalesce("is_valid", F.lit(False))
     return checked.select(*cell, "month", "n_hours", "t_range", "t_std", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def masked(detrended: DataFrame, checked: DataFrame, cell: list[str]) -> DataFrame:
+    """``detrended`` with y only in months that passed the precheck, and t_mean only in cells of which some month did; what is fitted."""
+    joined = detrended.join(checked.select(*cell, "month", "ok"), [*cell, "month"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    some = F.max("ok").over(Window.partitionBy(*cell))
+    return joined.withColumns({"y": F.when(F.col("ok"), F.col("y")), "t_mean": F.when(some, F.col("t_mean"))}).drop("ok")

@@ -51,11 +51,11 @@ def wide(c: str) -> Column:
 
 
 def fit_metrics(detrended: DataFrame, params: DataFrame, cell: list[str]) -> DataFrame:
-    """(cell, month, r_squared, rmse, dtr_observed): errors of the stored curve at the hours with a value."""
+    """(cell, month, r_squared, rmse, dtr_observed): errors of the stored curve at the hours with a value; observed ranges up to 1e-6 are NULL."""
     joined = detrended.join(params, [*cell, "month"]).withColumn("e", F.col("y") - shape(F.col("hour"), *(wide(p) for p in PARAMETERS)))
-    found = joined.groupBy(*cell, "month").agg(F.sum(F.col("e") * F.col("e")).alias("sse"), F.sum(F.col("y") * F.col("y")).alias("sst"), F.avg(F.col("e") * F.col("e")).alias("mse"), (F.max("t") - F.min("t")).alias("dtr_observed"))
+    found = joined.groupBy(*cell, "month").agg(F.sum(F.col("e") * F.col("e")).alias("sse"), F.sum(F.col("y") * F.col("y")).alias("sst"), F.avg(F.col("e") * F.col("e")).alias("mse"), (F.max("y") - F.min("y")).alias("dtr_observed"))
     r2 = clip(F.when(F.col("sst") > 1e-6, 1 - F.col("sse") / F.col("sst")), 0.0, 1.0)
-    return found.select(*cell, "month", r2.cast("float").alias("r_squared"), F.sqrt("mse").cast("float").alias("rmse"), "dtr_observed")
+    return found.select(*cell, "month", r2.cast("float").alias("r_squared"), F.sqrt("mse").cast("float").alias("rmse"), F.when(F.col("dtr_observed") > 1e-6, F.col("dtr_observed")).alias("dtr_observed"))
 
 
 def fine_curve(params: DataFrame) -> DataFrame:
@@ -77,10 +77,10 @@ def quality(params: DataFrame, metrics: DataFrame, checked: DataFrame, cell: lis
 
 
 def archive_summary(archive: DataFrame) -> DataFrame:
-    """Totals, shares of good and skipped rows, median R2 and the share above 0.8."""
+    """Totals, shares of good and skipped rows (the others are fitted), median R2 and the share above 0.8."""
     n, fitted = F.count("*"), F.count("r_squared")
     return archive.agg(
-        n.alias("total"), fitted.alias("fitted"), F.count_if(F.col("quality_flag") == 1).alias("good"), F.count_if(F.col("skipped") == 1).alias("skipped"),
+        n.alias("total"), (n - F.count_if(F.col("skipped") == 1)).alias("fitted"), F.count_if(F.col("quality_flag") == 1).alias("good"), F.count_if(F.col("skipped") == 1).alias("skipped"),
         F.try_divide(100.0 * F.count_if(F.col("quality_flag") == 1), n).alias("good_percent"), F.try_divide(100.0 * F.count_if(F.col("skipped") == 1), n).alias("skipped_percent"),
         F.median(wide("r_squared")).alias("median_r2"), F.try_divide(100.0 * F.count_if(wide("r_squared") > 0.8), fitted).alias("r2_above_08_percent"),
     )

@@ -58,10 +58,10 @@ def station_months(rec: DataFrame, modes: tuple[str, ...] = STRICT_MODES) -> Dat
 
 
 def eligibility(months: DataFrame, modes: tuple[str, ...] = STRICT_MODES, least: int = LEAST_HOURS) -> DataFrame:
-    """(mode, station_months, stations) with at least so many held-out hours and a score."""
-    items = F.array(*(F.struct(F.lit(m).alias("mode"), ((F.col(f"n_heldout_{m}") >= least) & F.col(f"rmse_heldout_{m}").isNotNull()).alias("ok")) for m in modes))
+    """(scope, mode, station_months, stations) with at least so many hours of the scope and a score."""
+    items = F.array(*(F.struct(F.lit(s).alias("scope"), F.lit(m).alias("mode"), ((F.col(f"n_{s}_{m}") >= least) & F.col(f"rmse_{s}_{m}").isNotNull()).alias("ok")) for s in ("all", "heldout") for m in modes))
     long = months.select("station", F.explode(items).alias("x")).select("station", "x.*")
-    return long.groupBy("mode").agg(F.count_if("ok").alias("station_months"), F.count_distinct(F.when(F.col("ok"), F.col("station"))).alias("stations"))
+    return long.groupBy("scope", "mode").agg(F.count_if("ok").alias("station_months"), F.count_distinct(F.when(F.col("ok"), F.col("station"))).alias("stations"))
 
 
 def daily_scores(long: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def scheme_map(long: DataFrame, least: int = LEAST_HOURS) -> DataFrame:
 
 
 def scheme_qa(rec: DataFrame, delta: float = 0.5) -> DataFrame:
-    """(clock, days, days_23, days_25, two_anchor_days, fallback_rate, clip_rate, away_max, away_p95) of the UTC and the civil clock."""
+    """(clock, days, days_23, days_25, two_anchor_days, fallback_rate, clip_rate, and the largest and the 95th percentile of the minutes by which either anchor is off) of the UTC and the civil clock."""
     out = None
     for clock, day, a, b, rows in (("utc", "day", "u00", "u12", "utc_rows"), ("civil", "local_day", "l00", "l12", "local_rows")):
         days = rec.groupBy(*UNIT, day).agg(F.any_value(rows).alias("rows"), F.any_value(a, True).alias("a"), F.any_value(b, True).alias("b"))
@@ -131,7 +131,7 @@ def scheme_qa(rec: DataFrame, delta: float = 0.5) -> DataFrame:
         found = days.agg(
             F.lit(clock).alias("clock"), F.count("*").alias("days"), F.count_if(F.col("rows") == 23).alias("days_23"), F.count_if(F.col("rows") == 25).alias("days_25"), n.alias("two_anchor_days"),
             F.try_divide(F.count_if(both & ~fits), n).alias("fallback_rate"), F.try_divide(F.count_if((slope < 0.1) | (slope > 5)), n).alias("clip_rate"),
-            F.max(F.col("a.away") * 60).alias("away_max"), F.percentile(F.col("a.away") * 60, 0.95).alias("away_p95"),
+            *(x for c, h in (("a", "00"), ("b", "12")) for x in (F.max(F.col(f"{c}.away") * 60).alias(f"away_{h}_max"), F.percentile(F.col(f"{c}.away") * 60, 0.95).alias(f"away_{h}_p95"))),
         )
         out = found if out is None else out.union(found)
     return out

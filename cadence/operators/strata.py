@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators.modes import STRICT_MODES
 
-#: Labels in the order reports show them.
+#: Labels in the order reports show them; so are the names coastal_group, elevdiff_group, latitude_band and N_hours of the reports' columns.
 ELEVATION = ("<100 m", "100-250 m", "250-500 m", ">=500 m")
 LATITUDE = ("60-90S", "30-60S", "0-30S", "0-30N", "30-60N", "60-90N")
 SEASONS = ("DJF", "MAM", "JJA", "SON")
@@ -40,23 +40,31 @@ def order_of(label: Column, labels: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*map(F.lit, labels)), label).cast("int")
 
 
-def with_features(months: DataFrame, features: DataFrame, least_rate: float = 0.95) -> DataFrame:
+def with_features(months: DataFrame, features: DataFrame) -> DataFrame:
     """Left join of station-months with the features of their stations, and the strata's labels.
 
     Raises at run time, inside the plan, where a station has two rows of
-    features; the join rate is checked by join_rate().
+    features; the join rate is checked by gated().
     """
     once = features.groupBy("station").agg(*(F.any_value(c).alias(c) for c in features.columns if c != "station"), F.count("*").alias("copies"))
     once = once.withColumn("known", F.when(F.col("copies") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("two rows of features: "), "station")).cast("boolean"))).drop("copies")
     joined = months.join(once, "station", "left")
-    return joined.withColumns({"coast": coastal(F.col("coastal_30km")), "elevation": elevation_bin(F.col("abs_elev_diff_m")), "latitude": latitude_bin(F.col("lat")), "season": season(F.col("month"))})
+    return joined.withColumns({"coastal_group": coastal(F.col("coastal_30km")), "elevdiff_group": elevation_bin(F.col("abs_elev_diff_m")), "latitude_band": latitude_bin(F.col("lat")), "season": season(F.col("month"))})
 
 
 def join_rate(joined: DataFrame) -> DataFrame:
-    """(rows, joined_rows, rate); a rate under the gate is for the caller to refuse."""
+    """(rows, joined_rows, rate)."""
     return joined.agg(F.count("*").alias("rows"), F.count("known").alias("joined_rows"), F.try_divide(F.count("known").cast("double"), F.count("*")).alias("rate"))
 
 
+def gated(joined: DataFrame, least: float = 0.95) -> DataFrame:
+    """``joined``, after a check that raises where fewer rows than that share have features; no rows pass."""
+    rate = join_rate(joined).first().rate
+    if rate is not None and rate < least:
+        raise ValueError(f"only {rate:.2%} of rows have features")
+    return joined
+
+
 def mode_months(joined: DataFrame, modes: tuple[str, ...] = STRICT_MODES) -> DataFrame:
     """A row for each station-month and mode: n, rmse and r2 of its held-out hours."""
     others = [c for c in joined.columns if not c.startswith(("n_", "rmse_", "r2_"))]
@@ -65,7 +73,7 @@ def mode_months(joined: DataFrame, modes: tuple[str, ...] = STRICT_MODES) -> Dat
 
 
 def stratum_scores(long: DataFrame, group: str, least: int = 24) -> DataFrame:
-    """(group, mode, n_hours, n_station_months, n_stations, rmse_pooled and quartiles) of months with enough hours.
+    """(group, mode, N_hours, n_station_months, n_stations, rmse_pooled and quartiles) of months with enough hours.
 
     Groups stay that have no such month, with zeros and NULLs, and so does the
     NULL group.
@@ -76,7 +84,7 @@ def stratum_scores(long: DataFrame, group: str, least: int = 24) -> DataFrame:
     q = F.percentile(pick("rmse"), [0.25, 0.5, 0.75])
     p = F.percentile(pick("r2"), [0.25, 0.5, 0.75])
     return long.groupBy(group, "mode").agg(
-        F.coalesce(n, F.lit(0)).cast("long").alias("n_hours"), F.count_if(ok).alias("n_station_months"), F.count_distinct(F.when(ok, F.col("station"))).alias("n_stations"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("N_hours"), F.count_if(ok).alias("n_station_months"), F.count_distinct(F.when(ok, F.col("station"))).alias("n_stations"),
         F.sqrt(F.try_divide(F.sum(F.when(ok, F.col("n") * F.col("rmse") * F.col("rmse"))), n)).alias("rmse_pooled"),
         q[1].alias("rmse_median"), q[0].alias("rmse_q25"), q[2].alias("rmse_q75"), p[1].alias("r2_median"), p[0].alias("r2_q25"), p[2].alias("r2_q75"),
     )

@@ -98,19 +98,10 @@ def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy((F.col("o_custkey") % 60).cast("string").alias("station"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.concat(F.lit("mode_"), "o_orderstatus").alias("mode")).agg((F.count("*") * 20).alias("n"), (F.stddev_pop("o_totalprice") / 9973).alias("rmse"), (F.avg("o_totalprice") / 499979).alias("r2"))
 
 
-def _features(customers: DataFrame, spark: SparkSession, sf_dir: str, lon: Column) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is a station; longitudes are folded into range."""
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return customers.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").cast("string").alias("station"), (F.col("c_nationkey") * 7.5 - 90).alias("lat"), lon.alias("lon"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") % 2 == 0).alias("coastal_30km"),
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").cast("string").alias("station"), (F.col("c_nationkey") * 7.5 - 90).alias("lat"), ((F.col("c_custkey") * 3 + 90) % 360 - 180.0).alias("lon"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") % 2 == 0).alias("coastal_30km"),
         (F.abs("c_acctbal") / 10).alias("abs_elev_diff_m"), F.col("r_name").alias("continent"), F.col("c_mktsegment").alias("koppen"),
     )
-
-
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 59 customers only, as ``oracle.FEATURES`` has them; ``all_features`` has every customer."""
-    return _features(table(spark, sf_dir, "customer").where("c_custkey < 59"), spark, sf_dir, F.col("c_custkey") * 3.0 - 90)
-
-
-def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer is a station; longitudes are folded into range, which leaves those of ``features`` as they are."""
-    return _features(table(spark, sf_dir, "customer"), spark, sf_dir, (F.col("c_custkey") * 3 + 90) % 360 - 180.0)

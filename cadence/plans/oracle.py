@@ -47,7 +47,8 @@ civ2 AS (SELECT *, count(*) OVER u AS utc_rows, count(*) OVER l AS local_rows, C
 civ3 AS (SELECT *, row_number() OVER (PARTITION BY station, file_year, day ORDER BY du0, time) AS nu0, row_number() OVER (PARTITION BY station, file_year, day ORDER BY du12, time) AS nu12,
   row_number() OVER (PARTITION BY station, file_year, local_day ORDER BY dl0, time) AS nl0, row_number() OVER (PARTITION BY station, file_year, local_day ORDER BY dl12, time) AS nl12 FROM civ2),
 civ4 AS (SELECT *, """ + ", ".join(f"max({c}) FILTER (WHERE n{a} = 1 AND d{a} <= 0.5 + 1e-9 AND {rows} >= 4) OVER {w} AS {c[0] if c != 'time' else 'x'}_{a}" for a, rows, w in (("u0", "utc_rows", "u"), ("u12", "utc_rows", "u"), ("l0", "local_rows", "l"), ("l12", "local_rows", "l")) for c in ("time", "obs", "s")) + """,
-  max(du0) FILTER (WHERE nu0 = 1 AND du0 <= 0.5 + 1e-9 AND utc_rows >= 4) OVER u AS away_u0, max(dl0) FILTER (WHERE nl0 = 1 AND dl0 <= 0.5 + 1e-9 AND local_rows >= 4) OVER l AS away_l0
+  max(du0) FILTER (WHERE nu0 = 1 AND du0 <= 0.5 + 1e-9 AND utc_rows >= 4) OVER u AS away_u0, max(dl0) FILTER (WHERE nl0 = 1 AND dl0 <= 0.5 + 1e-9 AND local_rows >= 4) OVER l AS away_l0,
+  max(du12) FILTER (WHERE nu12 = 1 AND du12 <= 0.5 + 1e-9 AND utc_rows >= 4) OVER u AS away_u12, max(dl12) FILTER (WHERE nl12 = 1 AND dl12 <= 0.5 + 1e-9 AND local_rows >= 4) OVER l AS away_l12
   FROM civ3 WINDOW u AS (PARTITION BY station, file_year, day), l AS (PARTITION BY station, file_year, local_day)),
 six AS (SELECT *, s + (o_u0 - s_u0) AS q1, s + (o_u12 - s_u12) AS q2, s + (o_l0 - s_l0) AS q3, s + (o_l12 - s_l12) AS q4,
   CASE WHEN x_u0 <> x_u12 THEN """ + two_anchor("o_u0", "o_u12", "s_u0", "s_u12", mean=True) + """ END AS q5, CASE WHEN x_l0 <> x_l12 THEN """ + two_anchor("o_l0", "o_l12", "s_l0", "s_l12", mean=True) + """ END AS q6,
@@ -61,8 +62,10 @@ CIVIL_CHAIN = (*STATION_CHAIN, ZONES, CIVIL)
 GRID = """grid AS (SELECT CAST(ascii(event_type) % 7 * 10 AS DOUBLE) AS lat, CAST(user_id % 8 AS DOUBLE) AS lon, date_trunc('hour', ts + to_days(CAST(event_id % 12 * 31 AS INTEGER))) AS time,
   avg(value / 9.7::DOUBLE + 6 * sin(2 * pi() * hour(ts) / 24 - CASE event_type WHEN 'error' THEN pi() / 4 WHEN 'purchase' THEN pi() / 2 WHEN 'signup' THEN -pi() / 3 WHEN 'view' THEN -pi() / 2 ELSE 0 END)) AS t FROM events GROUP BY ALL),
 gclim AS (SELECT lat, lon, month(time) AS month, hour(time) AS hour, avg(t) AS t FROM grid GROUP BY ALL),
-gdet AS (SELECT *, avg(t) OVER m AS t_mean, t - avg(t) OVER m AS y, 2 * pi() * hour / 24 AS w FROM gclim WINDOW m AS (PARTITION BY lat, lon, month)),
-gx AS (SELECT *, sin(w) AS x1, -cos(w) AS x2, sin(2 * w) AS x3, -cos(2 * w) AS x4 FROM gdet),
+gdet AS (SELECT *, avg(t) OVER m AS t_mean, t - avg(t) OVER m AS y, 2 * pi() * hour / 24 AS w FROM gclim WINDOW m AS (PARTITION BY lat, lon, month))"""
+#: What is fitted: months that fail the check have no y, cells of which all fail no mean.
+GSOLVE = """gfit AS (SELECT g.lat, g.lon, g.month, hour, t, w, CASE WHEN ok THEN y END AS y, CASE WHEN bool_or(ok) OVER (PARTITION BY g.lat, g.lon) THEN t_mean END AS t_mean FROM gdet g JOIN gcheck USING (lat, lon, month)),
+gx AS (SELECT *, sin(w) AS x1, -cos(w) AS x2, sin(2 * w) AS x3, -cos(2 * w) AS x4 FROM gfit),
 gsum AS (SELECT lat, lon, month, count(y) AS n_hours, """ + ", ".join(f"sum(x{i} * x{j}){' + 1e-8' if i == j else ''} AS a{i}{j}" for i in range(1, 5) for j in range(i, 5)) + ", " + ", ".join(f"sum(x{i} * y) AS b{i}" for i in range(1, 5)) + """ FROM gx GROUP BY ALL),
 ge1 AS (SELECT *, a22 - a12 * a12 / a11 AS e22, a23 - a12 * a13 / a11 AS e23, a24 - a12 * a14 / a11 AS e24, a33 - a13 * a13 / a11 AS e33, a34 - a13 * a14 / a11 AS e34, a44 - a14 * a14 / a11 AS e44, b2 - a12 * b1 / a11 AS f2, b3 - a13 * b1 / a11 AS f3, b4 - a14 * b1 / a11 AS f4 FROM gsum),
 ge2 AS (SELECT *, e33 - e23 * e23 / e22 AS g33, e34 - e23 * e24 / e22 AS g34, e44 - e24 * e24 / e22 AS g44, f3 - e23 * f2 / e22 AS k3, f4 - e24 * f2 / e22 AS k4 FROM ge1),
@@ -72,14 +75,15 @@ GPARAMS = "gparams AS (SELECT lat, lon, month, CAST(sqrt(c1 * c1 + c2 * c2) AS F
 GMASK = "gmask AS (SELECT lat, lon, count(t) / 288.0 AS valid_fraction, count(t) / 288.0 > 0.5 AS is_valid FROM gclim GROUP BY ALL)"
 GCHECK = """gcheck AS (SELECT lat, lon, month, n_hours, t_range, t_std, is_valid AND n_hours >= 12 AND t_range > 0.5 AND t_range < 40 AND t_std > 0.1 AS ok FROM (
   SELECT lat, lon, month, count(t) AS n_hours, max(t) - min(t) AS t_range, stddev_pop(t) AS t_std FROM gclim GROUP BY ALL) JOIN gmask USING (lat, lon))"""
-GFIT = """gerr AS (SELECT d.lat, d.lon, d.month, d.t, d.y, d.y - (CAST(a1 AS DOUBLE) * sin(w - CAST(phi1 AS DOUBLE)) + CAST(a2 AS DOUBLE) * sin(2 * w - CAST(phi2 AS DOUBLE))) AS e FROM gdet d JOIN gparams USING (lat, lon, month)),
-gmet AS (SELECT lat, lon, month, CAST(CASE WHEN sum(y * y) > 1e-6 AND sum(e * e) IS NOT NULL THEN greatest(0.0, least(1.0, 1 - sum(e * e) / sum(y * y))) END AS FLOAT) AS r_squared, CAST(sqrt(avg(e * e)) AS FLOAT) AS rmse, max(t) - min(t) AS dtr_observed FROM gerr GROUP BY ALL)"""
+GFIT = """gerr AS (SELECT d.lat, d.lon, d.month, d.t, d.y, d.y - (CAST(a1 AS DOUBLE) * sin(w - CAST(phi1 AS DOUBLE)) + CAST(a2 AS DOUBLE) * sin(2 * w - CAST(phi2 AS DOUBLE))) AS e FROM gfit d JOIN gparams USING (lat, lon, month)),
+gmet AS (SELECT lat, lon, month, CAST(CASE WHEN sum(y * y) > 1e-6 AND sum(e * e) IS NOT NULL THEN greatest(0.0, least(1.0, 1 - sum(e * e) / sum(y * y))) END AS FLOAT) AS r_squared, CAST(sqrt(avg(e * e)) AS FLOAT) AS rmse, CASE WHEN max(y) - min(y) > 1e-6 THEN max(y) - min(y) END AS dtr_observed FROM gerr GROUP BY ALL)"""
 GFINE = """gcurve AS (SELECT lat, lon, month, i, CAST(a1 AS DOUBLE) * sin(2 * pi() / 24 * (i * 0.1::DOUBLE) - CAST(phi1 AS DOUBLE)) + CAST(a2 AS DOUBLE) * sin(2 * (2 * pi() / 24 * (i * 0.1::DOUBLE)) - CAST(phi2 AS DOUBLE)) AS v FROM gparams, range(240) r(i)),
 gfine AS (SELECT lat, lon, month, CAST(max(v) - min(v) AS FLOAT) AS dtr_fitted, CAST(arg_max(i, v) * 0.1::DOUBLE AS FLOAT) AS tmax_hour, CAST(arg_min(i, v) * 0.1::DOUBLE AS FLOAT) AS tmin_hour FROM gcurve GROUP BY ALL)"""
 GARCHIVE = """garchive AS (SELECT p.*, r_squared, rmse, dtr_observed, dtr_fitted, tmax_hour, tmin_hour,
   CAST(coalesce(r_squared > 0.75 AND dtr_fitted > 0.5 AND dtr_fitted < 35 AND rmse < 2.0 AND coalesce(abs(dtr_fitted - dtr_observed) / nullif(dtr_observed, 0) < 0.4, true), false) AS BIGINT) AS quality_flag,
   CAST(NOT bool_or(coalesce(ok, false)) OVER (PARTITION BY p.lat, p.lon) AS BIGINT) AS skipped FROM gparams p LEFT JOIN gmet USING (lat, lon, month) LEFT JOIN gfine USING (lat, lon, month) LEFT JOIN gcheck USING (lat, lon, month))"""
-GRID_CHAIN = (GRID, GPARAMS, GMASK, GCHECK, GFIT, GFINE, GARCHIVE)
+GRID_FITTED = (GRID, GMASK, GCHECK, GSOLVE, GPARAMS)
+GRID_CHAIN = (*GRID_FITTED, GFIT, GFINE, GARCHIVE)
 GSHAPES = """gshapes AS (SELECT lat, lon, month, h AS hour, CAST(CAST(CAST(a1 AS DOUBLE) * sin(2 * pi() * h / 24 - CAST(phi1 AS DOUBLE)) + CAST(a2 AS DOUBLE) * sin(2 * (2 * pi() * h / 24) - CAST(phi2 AS DOUBLE)) AS FLOAT) AS DOUBLE) AS s FROM gparams, range(24) r(h)),
 grange AS (SELECT lat, lon, month, CAST(CAST(max(s) AS FLOAT) - CAST(min(s) AS FLOAT) AS DOUBLE) AS span FROM gshapes GROUP BY ALL)"""
 
@@ -100,14 +104,11 @@ FILES = """files AS (SELECT file_year, file_station, count(*) AS n_rows, """ + "
 REPORT_CHAIN = (REPORTS, CLASSED, FILES)
 
 MONTHS = """months AS (SELECT CAST(o_custkey % 60 AS VARCHAR) AS station, year(o_orderdate) AS year, month(o_orderdate) AS month, 'mode_' || o_orderstatus AS mode, count(*) * 20 AS n, stddev_pop(o_totalprice) / 9973 AS rmse, avg(o_totalprice) / 499979 AS r2 FROM orders GROUP BY ALL)"""
-FEATURES = """features AS (SELECT CAST(c_custkey AS VARCHAR) AS station, c_nationkey * 7.5::DOUBLE - 90 AS lat, c_custkey * 3.0::DOUBLE - 90 AS lon, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey % 2 = 0 END AS coastal_30km, abs(c_acctbal) / 10 AS elev, r_name AS continent, c_mktsegment AS koppen
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 59)"""
-#: FEATURES for every customer.
-ALL_FEATURES = """features AS (SELECT CAST(c_custkey AS VARCHAR) AS station, c_nationkey * 7.5::DOUBLE - 90 AS lat, (c_custkey * 3 + 90) % 360 - 180.0::DOUBLE AS lon, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey % 2 = 0 END AS coastal_30km, abs(c_acctbal) / 10 AS elev, r_name AS continent, c_mktsegment AS koppen
+FEATURES = """features AS (SELECT CAST(c_custkey AS VARCHAR) AS station, c_nationkey * 7.5::DOUBLE - 90 AS lat, (c_custkey * 3 + 90) % 360 - 180.0::DOUBLE AS lon, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey % 2 = 0 END AS coastal_30km, abs(c_acctbal) / 10 AS elev, r_name AS continent, c_mktsegment AS koppen
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-STRATA = """strata AS (SELECT m.*, f.continent, f.koppen, f.station IS NOT NULL AS known, CASE WHEN f.coastal_30km THEN 'Coastal (<=30 km)' ELSE 'Inland (>30 km)' END AS coast,
-  CASE WHEN elev < 100 THEN '<100 m' WHEN elev < 250 THEN '100-250 m' WHEN elev < 500 THEN '250-500 m' WHEN elev >= 500 THEN '>=500 m' END AS elevation,
-  CASE WHEN lat <= -60 THEN '60-90S' WHEN lat <= -30 THEN '30-60S' WHEN lat <= 0 THEN '0-30S' WHEN lat <= 30 THEN '0-30N' WHEN lat <= 60 THEN '30-60N' WHEN lat <= 90 THEN '60-90N' END AS latitude,
+STRATA = """strata AS (SELECT m.*, f.continent, f.koppen, f.station IS NOT NULL AS known, CASE WHEN f.coastal_30km THEN 'Coastal (<=30 km)' ELSE 'Inland (>30 km)' END AS coastal_group,
+  CASE WHEN elev < 100 THEN '<100 m' WHEN elev < 250 THEN '100-250 m' WHEN elev < 500 THEN '250-500 m' WHEN elev >= 500 THEN '>=500 m' END AS elevdiff_group,
+  CASE WHEN lat <= -60 THEN '60-90S' WHEN lat <= -30 THEN '30-60S' WHEN lat <= 0 THEN '0-30S' WHEN lat <= 30 THEN '0-30N' WHEN lat <= 60 THEN '30-60N' WHEN lat <= 90 THEN '60-90N' END AS latitude_band,
   ['DJF', 'DJF', 'MAM', 'MAM', 'MAM', 'JJA', 'JJA', 'JJA', 'SON', 'SON', 'SON', 'DJF'][m.month] AS season FROM months m LEFT JOIN features f USING (station))"""
 STRATA_CHAIN = (MONTHS, FEATURES, STRATA)
 

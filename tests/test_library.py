@@ -128,7 +128,8 @@ def test_archive(spark):
     mask = {r.cell: r.is_valid for r in climatology.valid_cells(clim, ["cell"]).collect()}
     assert mask == {"good": True, "half": False, "few": False}
     checked = climatology.precheck(clim, ["cell"], climatology.valid_cells(clim, ["cell"]))
-    det = climatology.detrended(clim, ["cell"])
+    det = climatology.masked(climatology.detrended(clim, ["cell"]), checked, ["cell"])
+    assert {r.cell: (r.y, r.t_mean) for r in det.groupBy("cell").agg(F.count("y").alias("y"), F.count("t_mean").alias("t_mean")).collect()} == {"good": (288, 288), "half": (0, 0), "few": (0, 0)}
     params = fit.parameters(fit.ridge_fit(det, ["cell"]), ["cell"])
     archive = fit.quality(params, fit.fit_metrics(det, params, ["cell"]), checked, ["cell"])
     rows = {(r.cell, r.month): r for r in archive.collect()}
@@ -136,10 +137,11 @@ def test_archive(spark):
     assert (r.a1, r.phi1, r.a2, r.phi2) == pytest.approx((4, 0.7, 1.1, -0.2), abs=1e-5) and r.quality_flag == 1 and r.skipped == 0 and r.r_squared == pytest.approx(1)
     fine = [curve(i * 0.1) for i in range(240)]
     assert r.dtr_fitted == pytest.approx(max(fine) - min(fine), abs=1e-4) and r.tmax_hour == pytest.approx(np.argmax(fine) * 0.1, abs=0.11)
-    assert rows["half", 1].skipped == 1 and rows["few", 1].a1 is None and rows["few", 1].quality_flag == 0
+    for name in ("half", "few"):
+        assert (rows[name, 1].skipped, rows[name, 1].a1, rows[name, 1].r_squared, rows[name, 1].dtr_observed, rows[name, 1].quality_flag) == (1, None, None, None, 0)
     summary = fit.archive_summary(archive).first()
-    assert (summary.total, summary.good, summary.skipped) == (19, 18, 7)
-    assert {r.cell: r.s is None for r in fit.templates(params.where("month = 1"), ["cell"]).collect()} == {"good": False, "half": False, "few": True}
+    assert (summary.total, summary.good, summary.fitted, summary.skipped) == (19, 12, 12, 7)
+    assert {r.cell: r.s is None for r in fit.templates(params.where("month = 1"), ["cell"]).collect()} == {"good": False, "half": True, "few": True}
     curve24 = grid.point_curve(archive.where("cell = 'good'").withColumns({"lat": F.lit(1.0), "lon": F.lit(2.0), "t_mean": F.lit(10.0)}), 1.2, 2.2, 3).orderBy("hour").collect()
     assert [r.t for r in curve24] == pytest.approx([10 + curve(h) for h in range(24)], abs=1e-5)
 
@@ -221,12 +223,15 @@ def test_strata(spark):
     assert [r.b for r in up.collect()] == ["<100 m", "100-250 m", "250-500 m", ">=500 m", None]
     months = spark.createDataFrame([("a", 2020, 1, "m", 30, 1.0, 0.5), ("a", 2020, 2, "m", 60, 2.0, 0.7), ("b", 2020, 1, "m", 5, 9.0, 0.1)], "station string, year int, month int, mode string, n long, rmse double, r2 double")
     features = spark.createDataFrame([("a", 10.0, True, 5.0), ("b", -10.0, None, 5.0)], "station string, lat double, coastal_30km boolean, abs_elev_diff_m double")
-    got = {r.coast: r for r in strata.stratum_scores(strata.with_features(months, features), "coast").collect()}
+    got = {r.coastal_group: r for r in strata.stratum_scores(strata.with_features(months, features), "coastal_group").collect()}
     a, b = got["Coastal (<=30 km)"], got["Inland (>30 km)"]
-    assert (a.n_hours, a.n_station_months, a.rmse_pooled) == (90, 2, pytest.approx(math.sqrt((30 + 240) / 90))) and (b.n_hours, b.rmse_pooled, b.n_stations) == (0, None, 0)
+    assert (a.N_hours, a.n_station_months, a.rmse_pooled) == (90, 2, pytest.approx(math.sqrt((30 + 240) / 90))) and (b.N_hours, b.rmse_pooled, b.n_stations) == (0, None, 0)
     with pytest.raises(Exception, match="two rows of features"):
         strata.with_features(months, features.union(features)).collect()
     assert strata.join_rate(strata.with_features(months, features.where("station = 'a'"))).first().rate == pytest.approx(2 / 3)
+    assert strata.gated(strata.with_features(months, features)).count() == 3 and strata.gated(strata.with_features(months.limit(0), features)).count() == 0
+    with pytest.raises(ValueError, match="66.67%"):
+        strata.gated(strata.with_features(months, features.where("station = 'a'")))
 
 
 def test_paired_products(spark):
@@ -252,10 +257,11 @@ def test_grid(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
+    columns = ("STATION", "DATE", "TMP")
     for year, station, text in ((2015, "00001", '"STATION","DATE","TMP","EXTRA"\n"00001","2015-01-01T00:10:00","+0123,1","x"\n"00001","2015-01-01T00:50:00","+0143,5","x"\n'), (2016, "00001", '"STATION","DATE","TMP","EXTRA"\n"00002","2016-01-01T00:10:00","+9999,9","x"\n')):
         (tmp_path / "raw" / str(year)).mkdir(parents=True)
         (tmp_path / "raw" / str(year) / f"{station}.csv").write_text(text)
-    raw = tables.reports(spark, str(tmp_path / "raw"))
+    raw = tables.reports(spark, str(tmp_path / "raw"), columns).withColumns({c: F.lit(None).cast("string") for c in ("LATITUDE", "LONGITUDE", "ELEVATION")})
     hourly = qc.hourly_mean(qc.strict_readings(raw).where("accepted"), ["file_station", "file_year"])
     assert [(r.file_station, r.file_year, r.obs) for r in hourly.collect()] == [("00001", 2015, pytest.approx(13.3))]
     files = inventory.file_stats(qc.scheme_readings(raw), ["file_year", "file_station"])
@@ -275,13 +281,45 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.markdown(table).splitlines()[-1] == "| 1 | x |" and '"b": "x"' in sinks.report_json(table)
     (tmp_path / "st.csv").write_text("station,lat,lon\n007,1,2\n008,,3\n")
     assert [r.station for r in tables.stations(spark, str(tmp_path / "st.csv")).collect()] == ["007"]
-    grid_rows = spark.createDataFrame([(dt.datetime(2020, 1, 1), 1.0, 2.0, 300.0, "K")], "valid_time timestamp_ntz, latitude double, longitude double, tas double, units string")
+    grid_rows = spark.createDataFrame([(dt.datetime(2020, 1, 1), 1.0, 2.0, 300.0, "K")], "valid_time timestamp_ntz, latitude double, longitude double, skin double, units string")
     grid_rows.write.parquet(str(tmp_path / "grid"))
     assert tables.grid(spark, str(tmp_path / "grid")).first().t2m == pytest.approx(26.85)
     with pytest.raises(ValueError):
         tables.resolve_aliases(table)
 
 
+def test_reports_by_each_files_header(spark, tmp_path):
+    texts = {
+        (2015, "a"): "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,TMP\n00001,2015-01-01T00:10:00,,2,3,\"+0123,1\"\n00001,2015-01-01T00:50:00,1,9,9,\"+0143,5\"\n",
+        (2015, "b"): '"TMP","X","ELEVATION","LONGITUDE","LATITUDE","DATE","STATION"\n"+0050,1","a ""q"", b","7","6","5","2015-01-01T01:00:00","00002"\n\n"-0050,C"\n',
+        (2016, "a"): "DATE,TMP,STATION,LATITUDE,LONGITUDE,ELEVATION,SOURCE\n2016-01-01T00:10:00,\"+9999,9\",00001,1,2,3,s\n",
+        (2016, "b"): "STATION,DATE\n00003,2016-01-01T00:10:00\n",
+        (2016, "c"): "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,TMP\n",
+        (2017, "d"): "\n",
+    }
+    for (year, name), text in texts.items():
+        (tmp_path / str(year)).mkdir(exist_ok=True)
+        (tmp_path / str(year) / f"{name}.csv").write_text(text)
+    rows = tables.reports(spark, str(tmp_path))
+    got = sorted((r.file_year, r.file_station, r.row_no, r.STATION, r.TMP, r.LATITUDE) for r in rows.collect())
+    assert [(y, f, s, t, lat) for y, f, _, s, t, lat in got] == [
+        (2015, "a", "00001", "+0123,1", None), (2015, "a", "00001", "+0143,5", "1"), (2015, "b", "00002", "+0050,1", "5"), (2015, "b", None, "-0050,C", None), (2016, "a", "00001", "+9999,9", "1"),
+    ]
+    errors = tables.report_errors(spark, str(tmp_path))
+    assert {(r.file_year, r.file_station): r.error for r in errors.collect()} == {(2016, "b"): "read: columns are missing: ELEVATION, LATITUDE, LONGITUDE, TMP", (2016, "c"): "empty", (2017, "d"): "empty"}
+    files = inventory.file_stats(qc.scheme_readings(rows), ["file_year", "file_station"])
+    assert {(r.file_year, r.file_station): (r.n_valid, r.latitude, r.longitude) for r in files.collect()} == {(2015, "a"): (2, "1", "2"), (2015, "b"): (2, "5", "6"), (2016, "a"): (0, "1", "2")}
+    funnel = {r.file_year: (r.n_files, r.n_read_errors, r.n_rows, r.n_unique_stations) for r in inventory.year_funnel(files, errors=errors).collect()}
+    assert funnel == {2015: (2, 0, 4, 2), 2016: (3, 2, 1, 1), 2017: (1, 1, 0, 0)}
+
+
+def test_names_of_grids(spark):
+    row = spark.createDataFrame([(dt.datetime(2020, 1, 1), 1.0, 2.0, 3.0, 4.0)], "date timestamp_ntz, time timestamp_ntz, Y double, x double, d double".replace("time timestamp_ntz", "z double"))
+    assert tables.resolve_aliases(row).columns == ["time", "t2m", "lat", "lon", "d"]
+    known = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0)], "time double, lat double, lon double, skin double, temp double")
+    assert tables.resolve_aliases(known).columns == ["time", "lat", "lon", "skin", "t2m"]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert checks.duplicates(df, ["k"]).collect()[0].copies == 2
