@@ -98,13 +98,42 @@ def _linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[
     return edges
 
 
+def _star_cells(stars: DataFrame, block: int) -> DataFrame:
+    """(id, grp, lo, hi): the members of each star (rep, head) in cells of about ``block``, with the head in each."""
+    stars = keep(stars, "stars")
+    sizes = stars.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    members = stars.join(sizes, "head").select(F.col("rep").alias("id"), F.col("head").alias("grp"), own.alias("lo"), own.alias("hi"))
+    centres = sizes.select(F.col("head").alias("id"), F.col("head").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lo"))
+    return members.union(centres.select("*", F.col("lo").alias("hi")))
+
+
+def _rest_cells(groups: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """(id, grp, lo, hi) for the groups (node, component) that lie in several ``parts``: blocks of the classes outside the largest part meet all blocks.
+
+    A group of two has been verified by its star.
+    """
+    own = parts.select("node", F.col("component").alias("part"))
+    placed = groups.select("node", F.col("component").alias("grp")).join(own, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    largest = placed.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    open_ = placed.join(largest.where("total > most and total > 2"), "grp").withColumns({"few": F.ceil((F.col("total") - F.col("most")) / block).cast("int"), "many": F.ceil(F.col("most") / block).cast("int")})
+    minor, spot = F.col("part") != F.col("major"), F.xxhash64("node")
+    own_block = F.when(minor, F.pmod(spot, "few")).otherwise(F.col("few") + F.pmod(spot, "many")).cast("int")
+    meets = F.when(minor, F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    cells = open_.select(F.col("node").alias("id"), "grp", own_block.alias("own"), F.explode(meets).alias("other"))
+    return cells.select("id", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 1, with_text_hash: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept; ``with_text_hash`` adds the xxhash64 of its text.
 
     Rows with equal sets form a class, and one of each class goes on. Classes
     that share a band of the signature are candidates; connected candidates form
-    groups, groups over ``block`` members are cut into blocks, and a cell of two
-    blocks (or one) verifies its pairs on the full sets and hands on a spanning
+    groups. Each class is first verified with the least class that it shares a
+    band with, in cells of about ``block`` classes. Where that leaves a group in
+    several parts, the classes outside its largest part are verified with all
+    others of the group, in cells of two blocks; pairs within the largest part
+    are connected already. A cell compares full sets and hands on a spanning
     forest of the links, never the pairs. component_id is the least id reachable
     over links with Jaccard >= ``percent`` / 100. A pair at exactly 0.75 goes
     unseen by all of 32 bands of 4 with a chance of 5e-6.
@@ -122,13 +151,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = classes.select("rep", F.explode("bands").alias("key"))
     heads = spread.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").drop("tail")
     groups = components(spread.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cells = (
-        groups.join(sizes, "component")
-        .select(F.col("node").alias("id"), F.col("component").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-        .select("id", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("id", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +173,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(ids) > 1:
             yield done()
 
-    wanted = texts.join(joinable(keep(groups.select(F.col("node").alias("id")), "wanted")), "id", "left_semi")
-    held = cells.hint("merge").join(wanted, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
-    linked = components(held.mapInArrow(returning_memory(verify), "a long, b long"))
+    def links(cells: DataFrame) -> DataFrame:
+        """(a, b) of the cells (id, grp, lo, hi); only texts of classes in cells are moved."""
+        cells = keep(cells, "cells")
+        wanted = texts.join(joinable(keep(cells.select("id").distinct(), "wanted")), "id", "left_semi")
+        held = cells.hint("merge").join(wanted, "id").repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "id")
+        return keep(held.mapInArrow(returning_memory(verify), "a long, b long"), "links")
+
+    near = links(_star_cells(spread.join(heads, "key").groupBy("rep").agg(F.min("head").alias("head")).where("rep <> head"), block))
+    parts = components(near)
+    linked = components(near.union(links(_rest_cells(groups, parts, block))))
     names = ["doc_id", "n_shingles", "component_id", *["text_hash"] * with_text_hash]
     ends = classes.join(linked, classes.rep == linked.node, "left").select("print_a", "print_b", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.where("n_shingles > 0 and doc_id is not null").join(ends, ["print_a", "print_b"]).select(*names)
