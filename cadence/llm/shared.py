@@ -111,3 +111,25 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def byte_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Deals a task's rows anew into blocks of about ``limit`` bytes of text and ``most`` rows, wherever the batches end."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+
+    def block() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if rows and (size + n > limit or rows == most):
+                held.append(batch.slice(start, i - start))
+                yield block()
+                held, start, size, rows = [], i, 0, 0
+            size += n
+            rows += 1
+        held.append(batch.slice(start))
+    if rows:
+        yield block()

@@ -106,7 +106,7 @@ def test_words_are_known_or_encoded_anew():
         texts = ["one two three four", "four  five!", None, "", "two <|endoftext|>x"]
         ids, counts = token_ids(known, pa.array(texts))
         want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
-        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want] and len(known.places) == 3
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want] and len(known.words) == 3
 
 
 def test_packing_places_every_piece_once(docs, empty):
