@@ -12,16 +12,22 @@ from cadence.llm import language_id
 from cadence.llm.line_dedup import dedup_lines
 from cadence.llm.minhash_dedup import near_duplicates
 from cadence.llm.packing import pack
-from cadence.llm.shared import joinable, keep
+from cadence.llm.shared import joinable, keep, unused
 
 #: Documents whose language has a smaller share than this go, as do those without a letter.
 LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay whose text is in one of the languages of the labels."""
-    found = language_id.identify(docs, language_id.fit(docs), lang_out="__lang", score_out="__share")
-    return found.where((found["__lang"] != "und") & (found["__share"] >= LEAST_SHARE)).select(*docs.columns)
+    """Documents stay whose text is in one of the languages of the labels.
+
+    Null and empty texts, and those without a letter, go; repeated rows are
+    judged alike; other columns are handed on, whatever their names; no rows, or
+    none to learn from, give no rows.
+    """
+    lang, share = unused(docs.columns, "found_lang"), unused(docs.columns, "found_share")
+    found = language_id.identify(docs, language_id.fit(docs), lang_out=lang, score_out=share)
+    return found.where((F.col(lang) != "und") & (F.col(share) >= LEAST_SHARE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 4096 tokens."""
+    """The documents' pieces and their places in sequences of 4096 tokens.
+
+    A null text, and one that line dedup has emptied, is the end id alone;
+    repeated rows are each packed; no rows give no rows.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
