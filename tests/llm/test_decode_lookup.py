@@ -17,7 +17,7 @@ def test_words_decode_as_whole_texts_do(spark):
 
 def test_words_are_joined_to_their_pieces(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = spark.createDataFrame([(i, f"one two three {'x' * i} é") for i in range(20)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"one two three {'x' * i} é") for i in range(1, 21)], "doc_id long, text string")
     with open(path, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
     encoded = encode_lists(word_lists(docs, 3, block_bytes=60), source)
