@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, text_col, 8 << 20):
+            for part in byte_slices(batch, text_col, 3 << 20):
                 lang, score = _predict(sent.value, part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, lang_out, score_out])
 

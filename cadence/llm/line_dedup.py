@@ -21,7 +21,7 @@ from cadence.llm.shared import discard, joinable, keep, unused
 
 PERCENT = 75
 #: Words are counted in this many classes of their hash, 2 ** CLASS_BITS; the counts come to the driver.
-CLASS_BITS = 16
+CLASS_BITS = 15
 #: Of the lines with a heavy word in their prefix, of a class with more than HEAVY words and twice its share, the first PIVOTS are compared with all
 #: others before any others are, so that a large group of near copies does not make all its pairs; one in SAMPLE of such words is enough for that.
 HEAVY, PIVOTS, SAMPLE = 1024, 4, 4
@@ -55,8 +55,9 @@ def class_order(lines: DataFrame) -> tuple[Column, int, int]:
     """
     n_classes, low_bits = 1 << CLASS_BITS, 32 - CLASS_BITS
     counts = [0] * n_classes  # fixed in size, whatever the data
-    for r in lines.select(F.explode("tokens").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("c")).agg(F.count("*").alias("n")).collect():
-        counts[r.c] = r.n
+    found = lines.select(F.explode("tokens").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("c")).agg(F.count("*").alias("n")).toArrow()
+    for c, n in zip(found.column("c").to_pylist(), found.column("n").to_pylist()):
+        counts[c] = n
     signed = lambda x: x - (1 << 32) if x >> 31 else x
     change, below, half, heavy, every = [0] * n_classes, 0, 0, n_classes - 1, sum(counts)
     for rank, c in enumerate(sorted(range(n_classes), key=lambda c: (counts[c], c))):

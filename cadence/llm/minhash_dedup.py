@@ -19,7 +19,7 @@ BANDS, ROWS = 32, 4
 #: Documents in a block of a large group of candidates; a verifying task holds two blocks.
 BLOCK = 256
 #: Bytes of text whose shingles are made at once.
-SLICE = 8 << 20
+SLICE = 3 << 20
 _hashers: dict[tuple[int, int], CirculantMinHash] = {}
 
 

@@ -19,6 +19,8 @@ from cadence.llm.shared import byte_slices, joinable, keep, returning_memory
 from cadence.llm.token_counts import load_tokenizer
 
 CAPACITY = 4096
+#: Bytes of text whose words are looked up at once.
+SLICE = 3 << 20
 #: Lengths are fitted in this many steps of the capacity, by patterns of so many documents at most.
 STEPS, PARTS = 64, 3
 
@@ -183,7 +185,7 @@ class WordIds:
     two words of one hash are never taken for each other.
     """
 
-    def __init__(self, tokenizer, most: int = 1_500_000):
+    def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
         self.words = pa.array([], pa.string())
@@ -240,8 +242,9 @@ def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes = coded.indices.to_numpy(zero_copy_only=False)
     by_word = sizes[codes]
     upto = np.concatenate([[0], np.cumsum(by_word)])
-    ids = table[np.repeat(starts[codes] - upto[:-1], by_word) + np.arange(upto[-1])]
-    return ids, np.diff(upto[ends])
+    at = np.repeat((starts[codes] - upto[:-1]).astype(np.int32), by_word)  # a slice's table is far below 2 ** 31
+    at += np.arange(len(at), dtype=np.int32)
+    return table[at], np.diff(upto[ends])
 
 
 def cut_pieces(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +276,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         known, task = known_words(source.value), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in byte_slices(batch, "text", 8 << 20):
+            for part in byte_slices(batch, "text", SLICE):
                 ids, counts = token_ids(known, part.column("text"))
                 ends = np.cumsum(counts + 1)
                 every = np.full(int(ends[-1]), end_id, "<u4")
