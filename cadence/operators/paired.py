@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cadence.functions.scoring import STRICT, scores, statistics
 
 ONE, TWO = "1pt_fixed12", "2pt_fixed_00_12_clip"
+CUTS = 256
 
 
 def common_hour_months(rec: DataFrame, one: str = ONE, two: str = TWO) -> DataFrame:
@@ -29,10 +30,40 @@ def paired_summary(months: DataFrame, least: int = 24) -> DataFrame:
     return ok.agg(F.count("*").alias("eligible_station_months"), F.count_distinct("station").alias("unique_stations"), share(F.col("rmse_2pt") < F.col("rmse_1pt")).alias("two_lower_rmse_percent"), share(F.col("r2_2pt") > F.col("r2_1pt")).alias("two_higher_r2_percent"), q[1].alias("median_improvement"), q[0].alias("q25_improvement"), q[2].alias("q75_improvement"))
 
 
+def ranked(values: DataFrame, value: str, keys: list[str], ties: list[str] = []) -> DataFrame:
+    """Rows with a value, with their place (from 1, by value, then ``ties``) and the total of their keys; NULL keys have no rows.
+
+    At most 255 cut points of all values are fetched first. The rows between two
+    of them are ordered in a task of their own and the rows before are added, so
+    that no key is ordered as a whole; equal values stay together.
+    """
+    rows = values.where(F.col(value).isNotNull())
+    double = F.col(value).cast("double")
+    cuts = rows.agg(F.percentile_approx(double, [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("cuts")).first().cuts or []
+    edges = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
+    rows = rows.withColumn("__slice", F.size(F.filter(edges, lambda c: c <= double)))
+    own = rows.groupBy(*keys, "__slice").agg(F.count("*").alias("__rows"))
+    all_slices = Window.partitionBy(*keys)
+    own = own.select(*keys, "__slice", (F.sum("__rows").over(all_slices.orderBy("__slice")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(all_slices).alias("total"))
+    order = Window.partitionBy(*keys, "__slice").orderBy(value, *ties)
+    return rows.join(own, [*keys, "__slice"]).withColumn("place", F.row_number().over(order) + F.col("__before")).drop("__slice", "__before")
+
+
+def quantiles(values: DataFrame, value: Column, shares: list[float]) -> DataFrame:
+    """One row: q, the exact quantiles by linear interpolation (NULLs without values), and the total of the values."""
+    at = [(F.col("total") - 1) * F.lit(float(s)) for s in shares]
+    pick = lambda place: F.max(F.when(F.col("place") - 1 == place, F.col("v").cast("double")))
+    found = ranked(values.select(value.alias("v")), "v", []).agg(
+        F.coalesce(F.max("total"), F.lit(0)).alias("total"),
+        F.array(*(pick(F.floor(x)) + (pick(F.ceil(x)) - pick(F.floor(x))) * F.max(x - F.floor(x)) for x in at)).alias("q"),
+    )
+    return found.select("q", "total")
+
+
 def histogram(values: DataFrame, value: Column, bins: int = 95, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(bin, left_edge, weight) of equal bins between two quantiles; weights are percents of all values, the last bin holds its right edge."""
     rows = values.select(value.alias("v")).where("v is not null")
-    edges = rows.agg(F.percentile("v", [low, high]).alias("q"), F.count("*").alias("total")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "total")
+    edges = quantiles(rows, F.col("v"), [low, high]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "total")
     joined = rows.join(F.broadcast(edges)).where("v >= lo and v <= hi")
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -41,10 +72,8 @@ def histogram(values: DataFrame, value: Column, bins: int = 95, low: float = 0.0
 
 def ecdf(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """``values`` with fraction k / n, k the row's place by value within its keys; equal values have places of their own."""
-    rows = values.where(F.col(value).isNotNull())
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("total"))
-    order = Window.partitionBy(*keys).orderBy(value, *[c for c in ("station", "year", "month") if c in values.columns])
-    return rows.join(counts, keys).withColumn("fraction", F.row_number().over(order) / F.col("total")).drop("total")
+    ties = [c for c in ("station", "year", "month") if c in values.columns]
+    return ranked(values, value, keys, ties).withColumn("fraction", F.col("place") / F.col("total")).drop("place", "total")
 
 
 def binned_2d(values: DataFrame, x: Column, y: Column, x_width: float, y_width: float, y_floor: float | None = None) -> DataFrame:
@@ -58,4 +87,4 @@ def binned_2d(values: DataFrame, x: Column, y: Column, x_width: float, y_width:
 def plot_limit(values: DataFrame, columns: list[str], least: float = 4.0, q: float = 0.995) -> DataFrame:
     """The larger of ``least`` and the quantile of all columns together."""
     rows = values.select(F.explode(F.array(*columns)).alias("v")).where("v is not null")
-    return rows.agg(F.greatest(F.lit(least), F.percentile("v", q)).alias("plot_limit"))
+    return quantiles(rows, F.col("v"), [q]).select(F.greatest(F.lit(least), F.col("q")[0]).alias("plot_limit"))
