@@ -45,6 +45,24 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS p
 """
 
 
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    """Plain Lloyd: every round compares all, and sums all anew."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (SELECT row, min((d, c)).c AS c, min((d, c)).d AS d FROM (SELECT row, c, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(r.v, k.v)]) AS BIGINT) AS d FROM r, c{n} k) GROUP BY row)""".replace("min((d, c)).c", "min({'d': d, 'c': c}).c").replace("min((d, c)).d", "min({'d': d, 'c': c}).d"))
+        if n < rounds:
+            steps.append(f"""m{n} AS (SELECT c, list(CAST(floor_div AS BIGINT) ORDER BY i) AS v FROM (SELECT c, i, (s - ((s % n) + n) % n) // n AS floor_div FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{n} JOIN r USING (row)) GROUP BY c, i)) GROUP BY c),
+c{n + 1} AS (SELECT c, coalesce(m.v, k.v) AS v FROM c{n} k LEFT JOIN m{n} m USING (c))""")
+    return f"""
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) AS row FROM v),
+c0 AS (SELECT row - 1 AS c, v FROM r WHERE row <= {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN r USING (row) JOIN c{rounds} k USING (c)
+"""
+
+
 def _op9() -> str:
     rules = sorted(RULES, key=lambda r: (-len(r.text), r.text))
     fits = " ".join(f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND path LIKE '{r.path}%' THEN '{r.text}'" for r in rules)
@@ -77,4 +95,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) THEN 'allow' WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2, "op3_minhash_near_dedup": OP3, "op4_line_dedup": OP4, "op6_warc": OP6, "op9_url_filter": _op9()}
+    return {"op2_exact_topk": OP2, "op3_minhash_near_dedup": OP3, "op4_line_dedup": OP4, "op6_warc": OP6, "op9_url_filter": _op9(), "op11_centroid_clustering": _op11()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import language_id
 from cadence.llm.bpe import encode_and_decode
+from cadence.llm.delta_lloyd import cluster
 from cadence.llm.exact_topk import exact_topk
 from cadence.llm.line_dedup import removed_lines, text_hash
 from cadence.llm.minhash_dedup import near_duplicates
@@ -68,5 +69,9 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
