@@ -16,6 +16,7 @@ from cadence.llm.line_dedup import removed_lines, text_hash
 from cadence.llm.minhash_dedup import near_duplicates
 from cadence.llm.packing import pack
 from cadence.llm.pstable import nearest
+from cadence.llm.quality import score_quality
 from cadence.llm.shared import table
 from cadence.llm.token_counts import count_tokens
 from cadence.llm.url_filter import judge_urls
@@ -73,5 +74,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
