@@ -5,9 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from cadence.plans.catalog import QUERIES, SQL
+from cadence.plans import catalog
+from jobs import registered
 
 D = "/root/testdata/sf0.01"
+QUERIES, SQL = catalog.QUERIES | registered.QUERIES, catalog.SQL | registered.SQL
 
 
 @pytest.fixture(scope="module")
