@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cadence.functions.harmonics import amplitude_phase, basis, shape
 from cadence.functions.nulls import clip
+from cadence.operators.ranks import beside, quantiles
 
 RIDGE = 1e-8
 PARAMETERS = ("a1", "phi1", "a2", "phi2")
@@ -79,11 +80,12 @@ def quality(params: DataFrame, metrics: DataFrame, checked: DataFrame, cell: lis
 def archive_summary(archive: DataFrame) -> DataFrame:
     """Totals, shares of good and skipped rows (the others are fitted), median R2 and the share above 0.8."""
     n, fitted = F.count("*"), F.count("r_squared")
-    return archive.agg(
+    found = archive.agg(
         n.alias("total"), (n - F.count_if(F.col("skipped") == 1)).alias("fitted"), F.count_if(F.col("quality_flag") == 1).alias("good"), F.count_if(F.col("skipped") == 1).alias("skipped"),
         F.try_divide(100.0 * F.count_if(F.col("quality_flag") == 1), n).alias("good_percent"), F.try_divide(100.0 * F.count_if(F.col("skipped") == 1), n).alias("skipped_percent"),
-        F.median(wide("r_squared")).alias("median_r2"), F.try_divide(100.0 * F.count_if(wide("r_squared") > 0.8), fitted).alias("r2_above_08_percent"),
+        F.try_divide(100.0 * F.count_if(wide("r_squared") > 0.8), fitted).alias("r2_above_08_percent"),
     )
+    return beside(found, quantiles(archive, [], {"q": wide("r_squared")}, [0.5]).select(F.col("q")[0].alias("median_r2")), [])
 
 
 def templates(params: DataFrame, cell: list[str]) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadence.functions.scoring import STRICT, scores, statistics
+from cadence.operators.ranks import beside, ranked
+from cadence.operators.ranks import quantiles as grouped_quantiles
 
 ONE, TWO = "1pt_fixed12", "2pt_fixed_00_12_clip"
-CUTS = 256
 
 
 def common_hour_months(rec: DataFrame, one: str = ONE, two: str = TWO) -> DataFrame:
@@ -25,39 +25,17 @@ def paired_summary(months: DataFrame, least: int = 24) -> DataFrame:
     """Eligible months and stations, the shares in which two anchors are better, and quartiles of the improvement."""
     ok = months.where((F.col("n") >= least) & F.col("rmse_1pt").isNotNull() & F.col("rmse_2pt").isNotNull())
     gain = F.col("rmse_1pt") - F.col("rmse_2pt")
-    q = F.percentile(gain, [0.25, 0.5, 0.75])
     share = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
-    return ok.agg(F.count("*").alias("eligible_station_months"), F.count_distinct("station").alias("unique_stations"), share(F.col("rmse_2pt") < F.col("rmse_1pt")).alias("two_lower_rmse_percent"), share(F.col("r2_2pt") > F.col("r2_1pt")).alias("two_higher_r2_percent"), q[1].alias("median_improvement"), q[0].alias("q25_improvement"), q[2].alias("q75_improvement"))
-
-
-def ranked(values: DataFrame, value: str, keys: list[str], ties: list[str] = []) -> DataFrame:
-    """Rows with a value, with their place (from 1, by value, then ``ties``) and the total of their keys; NULL keys have no rows.
-
-    At most 255 cut points of all values are fetched first. The rows between two
-    of them are ordered in a task of their own and the rows before are added, so
-    that no key is ordered as a whole; equal values stay together.
-    """
-    rows = values.where(F.col(value).isNotNull())
-    double = F.col(value).cast("double")
-    cuts = rows.agg(F.percentile_approx(double, [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("cuts")).first().cuts or []
-    edges = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
-    rows = rows.withColumn("__slice", F.size(F.filter(edges, lambda c: c <= double)))
-    own = rows.groupBy(*keys, "__slice").agg(F.count("*").alias("__rows"))
-    all_slices = Window.partitionBy(*keys)
-    own = own.select(*keys, "__slice", (F.sum("__rows").over(all_slices.orderBy("__slice")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(all_slices).alias("total"))
-    order = Window.partitionBy(*keys, "__slice").orderBy(value, *ties)
-    return rows.join(own, [*keys, "__slice"]).withColumn("place", F.row_number().over(order) + F.col("__before")).drop("__slice", "__before")
+    found = ok.agg(F.count("*").alias("eligible_station_months"), F.count_distinct("station").alias("unique_stations"), share(F.col("rmse_2pt") < F.col("rmse_1pt")).alias("two_lower_rmse_percent"), share(F.col("r2_2pt") > F.col("r2_1pt")).alias("two_higher_r2_percent"))
+    q = grouped_quantiles(ok, [], {"q": gain}, [0.25, 0.5, 0.75])
+    return beside(found, q, []).select(*found.columns, *(F.col("q")[i].alias(f"{k}_improvement") for i, k in ((1, "median"), (0, "q25"), (2, "q75"))))
 
 
 def quantiles(values: DataFrame, value: Column, shares: list[float]) -> DataFrame:
     """One row: q, the exact quantiles by linear interpolation (NULLs without values), and the total of the values."""
-    at = [(F.col("total") - 1) * F.lit(float(s)) for s in shares]
-    pick = lambda place: F.max(F.when(F.col("place") - 1 == place, F.col("v").cast("double")))
-    found = ranked(values.select(value.alias("v")), "v", []).agg(
-        F.coalesce(F.max("total"), F.lit(0)).alias("total"),
-        F.array(*(pick(F.floor(x)) + (pick(F.ceil(x)) - pick(F.floor(x))) * F.max(x - F.floor(x)) for x in at)).alias("q"),
-    )
-    return found.select("q", "total")
+    rows = values.select(value.cast("double").alias("v")).where("v is not null")
+    found = beside(rows.agg(F.count("*").alias("total")), grouped_quantiles(rows, [], {"q": F.col("v")}, shares), [])
+    return found.select(F.coalesce("q", F.array(*(F.lit(None).cast("double") for _ in shares))).alias("q"), "total")
 
 
 def histogram(values: DataFrame, value: Column, bins: int = 95, low: float = 0.01, high: float = 0.99) -> DataFrame:

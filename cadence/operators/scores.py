@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.scoring import MONTHLY_SCHEMES, POOLED_SCHEMES, STRICT, ScorePolicy, merged, scores, statistics
 from cadence.operators.modes import STRICT_MODES, UNIT, AnchorPolicy, anchors, common_mask, raw_slope, two_anchor
+from cadence.operators.ranks import beside, quantiles
 
 LEAST_HOURS = 24
 DELTAS = (0.1, 0.25, 0.5, 1.0, 2.0)
@@ -110,8 +111,10 @@ def scheme_months(long: DataFrame) -> DataFrame:
 def threshold_summary(months: DataFrame, thresholds: tuple[int, ...] = (24, 100, 240)) -> DataFrame:
     """(mode, threshold_h, n_station_months, r2_median, r2_iqr, share_r2_lt_0, share_r2_lt_02) of months with so many hours."""
     spread = months.select("mode", "n", "r2", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold_h")).where("n >= threshold_h and r2 is not null")
-    q = F.percentile("r2", [0.25, 0.5, 0.75])
-    return spread.groupBy("mode", "threshold_h").agg(F.count("*").alias("n_station_months"), q[1].alias("r2_median"), (q[2] - q[0]).alias("r2_iqr"), F.avg((F.col("r2") < 0).cast("int")).alias("share_r2_lt_0"), F.avg((F.col("r2") < 0.2).cast("int")).alias("share_r2_lt_02"))
+    keys, q = ["mode", "threshold_h"], F.col("q")
+    found = spread.groupBy(*keys).agg(F.count("*").alias("n_station_months"), F.avg((F.col("r2") < 0).cast("int")).alias("share_r2_lt_0"), F.avg((F.col("r2") < 0.2).cast("int")).alias("share_r2_lt_02"))
+    found = beside(found, quantiles(spread, keys, {"q": F.col("r2")}, [0.25, 0.5, 0.75]), keys)
+    return found.select(*keys, "n_station_months", q[1].alias("r2_median"), (q[2] - q[0]).alias("r2_iqr"), "share_r2_lt_0", "share_r2_lt_02")
 
 
 def scheme_map(long: DataFrame, least: int = LEAST_HOURS) -> DataFrame:
@@ -131,7 +134,9 @@ def scheme_qa(rec: DataFrame, delta: float = 0.5) -> DataFrame:
         found = days.agg(
             F.lit(clock).alias("clock"), F.count("*").alias("days"), F.count_if(F.col("rows") == 23).alias("days_23"), F.count_if(F.col("rows") == 25).alias("days_25"), n.alias("two_anchor_days"),
             F.try_divide(F.count_if(both & ~fits), n).alias("fallback_rate"), F.try_divide(F.count_if((slope < 0.1) | (slope > 5)), n).alias("clip_rate"),
-            *(x for c, h in (("a", "00"), ("b", "12")) for x in (F.max(F.col(f"{c}.away") * 60).alias(f"away_{h}_max"), F.percentile(F.col(f"{c}.away") * 60, 0.95).alias(f"away_{h}_p95"))),
+            *(F.max(F.col(f"{c}.away") * 60).alias(f"away_{h}_max") for c, h in (("a", "00"), ("b", "12"))),
         )
+        off = quantiles(days, [], {f"away_{h}_p95": F.col(f"{c}.away") * 60 for c, h in (("a", "00"), ("b", "12"))}, [0.95])
+        found = beside(found, off.select(*(F.col(c)[0].alias(c) for c in off.columns)), [])
         out = found if out is None else out.union(found)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.modes import STRICT_MODES
+from cadence.operators.ranks import beside, quantiles
 
 #: Labels in the order reports show them; so are the names coastal_group, elevdiff_group, latitude_band and N_hours of the reports' columns.
 ELEVATION = ("<100 m", "100-250 m", "250-500 m", ">=500 m")
@@ -81,10 +82,10 @@ def stratum_scores(long: DataFrame, group: str, least: int = 24) -> DataFrame:
     ok = (F.col("n") >= least) & F.col("rmse").isNotNull()
     pick = lambda c: F.when(ok, F.col(c))
     n = F.sum(pick("n"))
-    q = F.percentile(pick("rmse"), [0.25, 0.5, 0.75])
-    p = F.percentile(pick("r2"), [0.25, 0.5, 0.75])
-    return long.groupBy(group, "mode").agg(
+    found = long.groupBy(group, "mode").agg(
         F.coalesce(n, F.lit(0)).cast("long").alias("N_hours"), F.count_if(ok).alias("n_station_months"), F.count_distinct(F.when(ok, F.col("station"))).alias("n_stations"),
         F.sqrt(F.try_divide(F.sum(F.when(ok, F.col("n") * F.col("rmse") * F.col("rmse"))), n)).alias("rmse_pooled"),
-        q[1].alias("rmse_median"), q[0].alias("rmse_q25"), q[2].alias("rmse_q75"), p[1].alias("r2_median"), p[0].alias("r2_q25"), p[2].alias("r2_q75"),
     )
+    q = quantiles(long, [group, "mode"], {"__rmse": pick("rmse"), "__r2": pick("r2")}, [0.25, 0.5, 0.75])
+    places = ((1, "median"), (0, "q25"), (2, "q75"))
+    return beside(found, q, [group, "mode"]).select(*found.columns, *(F.col(f"__{c}")[i].alias(f"{c}_{k}") for c in ("rmse", "r2") for i, k in places))

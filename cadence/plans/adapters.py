@@ -105,3 +105,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("station"), (F.col("c_nationkey") * 7.5 - 90).alias("lat"), ((F.col("c_custkey") * 3 + 90) % 360 - 180.0).alias("lon"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") % 2 == 0).alias("coastal_30km"),
         (F.abs("c_acctbal") / 10).alias("abs_elev_diff_m"), F.col("r_name").alias("continent"), F.col("c_mktsegment").alias("koppen"),
     )
+
+
+def nation_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zone, ring): seven uneven corners around the middle of each nation's customers, some of them far enough out to overlap."""
+    angle = lambda k: 2 * math.pi * k / 7 + F.col("n_nationkey") * 0.37
+    reach = lambda k: 3.13 + (k * 5 + F.col("n_nationkey") * 3) % 7 * 2.29
+    lat, lon = F.col("n_nationkey") * 7.31 - 88.77, F.col("n_nationkey") * 14.17 - 170.39
+    corner = lambda k: F.struct((lat + reach(k) * F.sin(angle(k))).alias("lat"), (lon + 6 * reach(k) * F.cos(angle(k))).alias("lon"))
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("zone"), F.transform(F.sequence(F.lit(0), F.lit(6)), corner).alias("ring"))

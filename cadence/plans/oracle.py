@@ -113,6 +113,14 @@ STRATA = """strata AS (SELECT m.*, f.continent, f.koppen, f.station IS NOT NULL
 STRATA_CHAIN = (MONTHS, FEATURES, STRATA)
 
 
+#: Every point against every edge of every polygon.
+ZONED = """corner AS (SELECT n_name AS zone, k, n_nationkey * 7.31::DOUBLE - 88.77 + (3.13 + (k * 5 + n_nationkey * 3) % 7 * 2.29::DOUBLE) * sin(2 * pi() * k / 7 + n_nationkey * 0.37::DOUBLE) AS y,
+  n_nationkey * 14.17::DOUBLE - 170.39 + 6 * (3.13 + (k * 5 + n_nationkey * 3) % 7 * 2.29::DOUBLE) * cos(2 * pi() * k / 7 + n_nationkey * 0.37::DOUBLE) AS x FROM nation, range(7) r(k)),
+edge AS (SELECT a.zone, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corner a JOIN corner b ON a.zone = b.zone AND b.k = (a.k + 1) % 7),
+inside AS (SELECT station, zone FROM features, edge WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon GROUP BY station, zone HAVING count(*) % 2 = 1),
+zoned AS (SELECT station, min(zone) AS zone FROM features LEFT JOIN inside USING (station) GROUP BY station)"""
+
+
 def statement(chain: tuple[str, ...], select: str) -> str:
     return "WITH " + ",\n".join(chain) + "\n" + select
 

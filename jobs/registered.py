@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,27 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadence.plans.catalog import report
 from cadence.plans.oracle import i, r
+from cadence.session import new_folder
 from jobs import hourly_ingest, text_inventory
 from jobs.command import settings
 
 HERE = Path(__file__).parent
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    """Under spark.checkpoint.dir, which all executors see; only where that is unset, as in local tests, under a folder of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="jobs-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def job1_hourly_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, config = _new_folder(spark, "hourly_ingest"), settings(hourly_ingest.Config, str(HERE / "hourly_ingest.json"))
+    folder, config = new_folder(spark, "hourly_ingest"), settings(hourly_ingest.Config, str(HERE / "hourly_ingest.json"))
     for _ in range(2):
         hourly_ingest.run(spark, f"{sf_dir}/events.parquet", f"{folder}/out", f"{folder}/marks", config)
     return report(hourly_ingest.hourly(spark, f"{folder}/out").drop("upto"))
 
 
 def job2_text_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, config = _new_folder(spark, "text_inventory"), settings(text_inventory.Config, str(HERE / "text_inventory.json"))
+    folder, config = new_folder(spark, "text_inventory"), settings(text_inventory.Config, str(HERE / "text_inventory.json"))
     for _ in range(2):
         text_inventory.run(spark, f"{sf_dir}/documents.parquet", folder, config)
     return report(text_inventory.groups(spark, folder, config))
