@@ -47,16 +47,30 @@ def daily_extremes(series: DataFrame, cell: list[str]) -> DataFrame:
     return series.groupBy(*cell, day_of(F.col("time")).alias("day")).agg(F.avg("t").alias("t_mean"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
 
 
-def as_of(times: DataFrame, values: DataFrame, keys: list[str], time: str = "time", value: str = "value") -> DataFrame:
-    """``times`` with the last value of its keys at or before its time; NULL before the first. One window over both, no range join.
-
-    A key with very many rows is one window partition, as its order is what is asked for.
+def as_of(times: DataFrame, values: DataFrame, keys: list[str], time: str = "time", value: str = "value", block_days: int = 30) -> DataFrame:
+    """``times`` with the last value of its keys at or before its time; NULL before the first. No range join.
+
+    Time is cut into blocks. What is last in each block is carried on to the
+    blocks after it, a row for each key and block; within a block the values and
+    the times asked for are put in order together. So a key is never ordered as a
+    whole, however many rows it has, and a key's blocks are as many as its span
+    has. NULL values are passed over; of values of one time the largest counts;
+    NULL times get NULL, and NULL keys are a key.
     """
-    both = times.withColumns({"__value": F.lit(None).cast(values.schema[value].dataType), "__asks": F.lit(True)}).unionByName(
-        values.select(*keys, F.col(time), F.col(value).alias("__value"), F.lit(False).alias("__asks")), allowMissingColumns=True
-    )
-    order = Window.partitionBy(*keys).orderBy(time, "__asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(order)).where("__asks").drop("__value", "__asks")
+    block = lambda: F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / (86400 * block_days)).alias("__block")
+    kind = values.schema[value].dataType
+    key = F.struct(*keys)
+    known = values.where(F.col(value).isNotNull() & F.col(time).isNotNull()).groupBy(key.alias("__key"), block(), F.col(time).alias("__time")).agg(F.max(value).alias("__value"))
+    asked = times.select(key.alias("__key"), block(), F.col(time).alias("__time"), F.struct(*times.columns).alias("__row"))
+    both = asked.withColumn("__value", F.lit(None).cast(kind)).unionByName(known, allowMissingColumns=True)
+    within = Window.partitionBy("__key", "__block").orderBy("__time", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__within", F.last("__value", True).over(within)).where("__row is not null")
+    # the last value of each block, for the next block of the key that has times or values
+    ends = known.groupBy("__key", "__block").agg(F.max_by("__value", "__time").alias("__end"))
+    blocks = asked.select("__key", "__block").distinct().join(ends, ["__key", "__block"], "full")
+    carried = blocks.withColumn("__carried", F.last("__end", True).over(Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))).select("__key", "__block", "__carried")
+    joined = found.join(carried, ["__key", "__block"], "left")
+    return joined.select("__row.*", F.when(F.col("__time").isNotNull(), F.coalesce("__within", "__carried")).alias(value))
 
 
 def cell_metrics(series: DataFrame, shapes: DataFrame, cell: list[str]) -> DataFrame:

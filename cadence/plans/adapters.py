@@ -16,6 +16,7 @@ from cadence.operators.climatology import climatology, detrended
 from cadence.operators.fit import parameters, ridge_fit, templates
 from cadence.operators.modes import strict_modes, with_templates
 from cadence.operators.qc import hourly_mean
+from cadence.session import new_folder
 
 PHASES = {"click": 0.0, "error": math.pi / 4, "purchase": math.pi / 2, "signup": -math.pi / 3, "view": -math.pi / 2}
 ZONES = {"click": None, "error": "America/New_York", "purchase": "Asia/Kolkata", "signup": "Asia/Kathmandu", "view": "Australia/Sydney"}
@@ -92,6 +93,27 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The names that files of a station begin with; others have those of the reports in their order.
+HEADERS = {"purchase": ("TMP", "SOURCE", "ELEVATION", "LONGITUDE", "LATITUDE", "DATE", "STATION"), "signup": ("DATE", "TMP", "STATION", "LATITUDE", "LONGITUDE", "ELEVATION", "REMARK")}
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> str:
+    """The report rows as files of CSV, one for each year and type of event, under three different headers; the files of views in 2024 lack TMP. Returns their root."""
+    csv = {"quote": '"', "escape": '"'}
+    rows = reports(spark, sf_dir).withColumns({"SOURCE": F.lit("s, t"), "REMARK": F.lit(None).cast("string")})
+    broken = (F.col("file_station") == "view") & (F.col("file_year") == 2024)
+    plain = ("STATION", "DATE", "LATITUDE", "LONGITUDE", "ELEVATION", "TMP")
+    line, head = F.when(broken, F.to_csv(F.struct(*plain[:-1]), csv)), F.when(broken, ",".join(plain[:-1]))
+    for station, names in HEADERS.items():
+        line, head = line.when(F.col("file_station") == station, F.to_csv(F.struct(*names), csv)), head.when(F.col("file_station") == station, ",".join(f'"{c}"' for c in names))
+    lines = rows.select("file_year", "file_station", "row_no", line.otherwise(F.to_csv(F.struct(*plain), csv)).alias("value"))
+    heads = rows.select("file_year", "file_station").distinct().select("file_year", "file_station", F.lit(-1).cast("long").alias("row_no"), head.otherwise(",".join(plain)).alias("value"))
+    root = new_folder(spark, "reports")
+    ordered = lines.union(heads).repartition("file_year", "file_station").sortWithinPartitions("file_year", "file_station", "row_no")
+    ordered.drop("row_no").write.partitionBy("file_year", "file_station").text(root)
+    return root
+
+
 def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station-months with n, rmse and r2 by mode, from orders."""
     orders = table(spark, sf_dir, "orders")
@@ -107,6 +129,36 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def station_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each type of event: its region by the sum of its letters, some of them without a coast or a height."""
+    code = F.aggregate(F.transform(F.filter(F.split("station", ""), lambda c: c != ""), F.ascii), F.lit(0), lambda a, c: a + c)
+    stations = table(spark, sf_dir, "events").select(F.col("event_type").alias("station")).distinct().withColumn("code", code)
+    return stations.join(table(spark, sf_dir, "region"), F.col("code") % 5 == F.col("r_regionkey"), "left").select(
+        "station", (F.col("code") % 180 - 90.0).alias("lat"), (F.col("code") * 7 % 360 - 180.0).alias("lon"), F.when(F.col("code") % 3 != 0, F.col("code") % 2 == 0).alias("coastal_30km"),
+        F.when(F.col("code") % 4 != 0, F.col("code") % 700 * 1.0).alias("abs_elev_diff_m"), F.col("r_name").alias("continent"), F.lit("Cfb").alias("koppen"),
+    )
+
+
+def supplier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stations: far fewer than there are customers."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").cast("string").alias("station"), (F.col("s_nationkey") * 7.5 - 90).alias("lat"), F.lit(0.0).alias("lon"), F.lit(None).cast("boolean").alias("coastal_30km"),
+        (F.abs("s_acctbal") / 10).alias("abs_elev_diff_m"), F.col("r_name").alias("continent"), F.lit("Cfb").alias("koppen"),
+    )
+
+
+def customer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_months() with every customer as a station of its own."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(F.col("o_custkey").cast("string").alias("station"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.concat(F.lit("mode_"), "o_orderstatus").alias("mode")).agg((F.count("*") * 20).alias("n"), (F.max("o_totalprice") / 9973).alias("rmse"), (F.avg("o_totalprice") / 499979).alias("r2"))
+
+
+def cell_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly values at cells as those of grid_series(), and at two more in each row, which the grid lacks."""
+    return observations(spark, sf_dir).groupBy((F.ascii("station") % 7 * 10).cast("double").alias("lat"), (F.col("user_id") % 10).cast("double").alias("lon"), F.col("file_year"), hour_floor(F.col("time")).alias("time")).agg(F.avg("value").alias("obs"))
+
+
 def nation_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(zone, ring): seven uneven corners around the middle of each nation's customers, some of them far enough out to overlap."""
     angle = lambda k: 2 * math.pi * k / 7 + F.col("n_nationkey") * 0.37

@@ -13,7 +13,7 @@ from cadence.operators import checks, civil, climatology, fit, grid, inventory,
 from cadence.plans import adapters as a
 from cadence.plans import oracle as o
 from cadence.session import new_folder
-from cadence.sources import gridded
+from cadence.sources import gridded, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,6 +467,37 @@ def _(spark, d):
     return report(strata.join_rate(_strata(spark, d)))
 
 
+_WIDE_MONTHS = ("n", "rmse", "r2")
+_STRATUM = ("rmse_pooled", *(f"{c}_{k}" for c in ("rmse", "r2") for k in ("median", "q25", "q75")))
+
+
+@query("e31_strict_by_continent", o.statement((*o.STRICT_CHAIN, o.CODES, f"""sm AS (SELECT station, year(time) AS year, month, mode, {o.columns(o.score('obs', 'r', 'use'))} FROM long WHERE scope = 'heldout' GROUP BY station, year(time), month, mode),
+strata AS (SELECT sm.*, r_name AS continent FROM sm LEFT JOIN codes USING (station) LEFT JOIN region ON code % 5 = r_regionkey)"""), f"""SELECT continent, mode, "N_hours", n_station_months, n_stations, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in _STRATUM)} FROM ({_stratum_sql("continent")})"""))
+def _(spark, d):
+    """Strict station-months written as a table of metrics in gzip, read back, joined behind the gate and taken by mode."""
+    path = new_folder(spark, "months")
+    sinks.write_csv(scores.station_months(a.reconstructed(spark, d)), path, gzip=True)
+    columns = {"station": "string", "year": "int", "month": "int"} | {f"{c}_heldout_{m}": "long" if c == "n" else "double" for m in modes.STRICT_MODES for c in _WIDE_MONTHS}
+    joined = strata.gated(strata.with_features(tables.metrics(spark, path, columns), a.station_features(spark, d)))
+    return report(strata.stratum_scores(strata.mode_months(joined), "continent"), **{c: tidy(F.col(c), 3) for c in _STRATUM})
+
+
+_SUPPLIED = (
+    "months AS (SELECT CAST(o_custkey AS VARCHAR) AS station, year(o_orderdate) AS year, month(o_orderdate) AS month, 'mode_' || o_orderstatus AS mode, count(*) * 20 AS n, max(o_totalprice) / 9973 AS rmse, avg(o_totalprice) / 499979 AS r2 FROM orders GROUP BY ALL)",
+    "strata AS (SELECT m.*, r_name AS continent, s_suppkey IS NOT NULL AS known FROM months m LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = m.station LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)",
+)
+
+
+@query("f3_missing_features", o.statement(_SUPPLIED, f"SELECT {o.i('count(*)')} AS rows, {o.i('count(*) FILTER (WHERE known)')} AS joined_rows, {o.r('count(*) FILTER (WHERE known) / count(*)')} AS rate FROM strata"))
+def _(spark, d):
+    return report(strata.join_rate(strata.with_features(a.customer_months(spark, d), a.supplier_features(spark, d))))
+
+
+@query("e31_missing_features", o.statement(_SUPPLIED, _stratum_sql("continent")))
+def _(spark, d):
+    return report(strata.stratum_scores(strata.with_features(a.customer_months(spark, d), a.supplier_features(spark, d)), "continent"))
+
+
 @query("m5_ordered_strata", o.statement(o.STRATA_CHAIN, f"SELECT latitude_band, {o.i("list_position(['60-90S', '30-60S', '0-30S', '0-30N', '30-60N', '60-90N'], latitude_band)")} AS place, {o.i('count(*)')} AS n FROM strata WHERE latitude_band IS NOT NULL GROUP BY latitude_band"))
 def _(spark, d):
     found = _strata(spark, d).where("latitude_band is not null").groupBy("latitude_band").agg(F.count("*").alias("n"))
@@ -494,6 +525,29 @@ def _(spark, d):
     return report(inventory.year_funnel(_files(spark, d)))
 
 
+def _read_files(spark, d):
+    rows = tables.scan_reports(spark, a.report_files(spark, d), layout=tables.FOLDERS)
+    return inventory.file_stats(qc.scheme_readings(rows), ["file_year", "file_station"])
+
+
+@query("e26_report_files", o.statement(o.FILE_CHAIN, f"SELECT {o.i('file_year')} AS file_year, file_station, error, ok, {', '.join(f'coalesce({o.i(c)}, 0) AS {c}' for c in (*_COUNTS, 'n_station_ids'))}, coalesce({o.i('n_valid_records - n_valid_hours')}, 0) AS n_repeats, strftime(first_time, '%Y-%m-%d %H:%M:%S') AS first_time, strftime(last_time, '%Y-%m-%d %H:%M:%S') AS last_time, station_id, latitude, longitude, elevation FROM every"))
+def _(spark, d):
+    return report(_read_files(spark, d))
+
+
+@query("e27_report_files_funnel", o.statement(o.FILE_CHAIN, f"""SELECT {o.i('file_year')} AS file_year, {o.i('count(*)')} AS n_files, {o.i('count(error)')} AS n_read_errors, {o.i('count(DISTINCT station_id)')} AS n_unique_stations, {o.i('count(*) FILTER (WHERE n_station_ids > 1)')} AS n_files_multiple_ids, {', '.join(f'coalesce({o.i(f"sum({c})")}, 0) AS {c}' for c in _COUNTS)}, coalesce({o.i('sum(n_valid_records - n_valid_hours)')}, 0) AS n_repeats,
+  {o.i('count(DISTINCT station_id) FILTER (WHERE n_valid_hours >= 1)')} AS n_stations_retained, {', '.join(f'{o.r(f"100.0 * sum(n_{c}) / sum(n_rows)")} AS pct_{c}' for c in ('missing', 'qc_reject', 'phys_reject', 'valid'))} FROM every GROUP BY file_year"""))
+def _(spark, d):
+    return report(inventory.year_funnel(_read_files(spark, d)))
+
+
+@query("a6_strict_hours_of_files", o.statement((*o.REPORT_CHAIN[:2], o.READ), f"""SELECT file_station, {o.i('file_year')} AS file_year, strftime(hour, '%Y-%m-%d %H:%M:%S') AS time, {o.r('avg(v)')} AS obs FROM (
+  SELECT file_station, file_year, date_trunc('hour', CASE WHEN k = 2 THEN naive_time - INTERVAL 2 HOUR ELSE naive_time END) AS hour, CAST(num AS DOUBLE) / 10 AS v FROM accf WHERE m IN (9, 11, 12, 13, 14, 15, 16) AND k >= 2) GROUP BY ALL"""))
+def _(spark, d):
+    rows = tables.reports(spark, a.report_files(spark, d), ("STATION", "DATE", "TMP"), tables.FOLDERS)
+    return report(qc.hourly_mean(qc.strict_readings(rows).where("accepted"), ["file_station", "file_year"]))
+
+
 @query("e28_station_years", o.statement(o.REPORT_CHAIN, f"SELECT station_id, {o.i('file_year')} AS file_year, {o.i('sum(n_valid_hours)')} AS valid_hours, {o.i('sum(n_valid_records)')} AS valid_records FROM files GROUP BY station_id, file_year"))
 def _(spark, d):
     return report(inventory.station_years(_files(spark, d)))
@@ -566,6 +620,24 @@ def _(spark, d):
     return report(grid.as_of(hours.select("station", "time"), daily, ["station"]))
 
 
+@query("f6_as_of_gaps", f"""WITH asked AS (SELECT event_id, user_id, ts AS time FROM events WHERE event_type <> 'purchase'),
+dm AS (SELECT user_id, date_trunc('day', ts) AS time, avg(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT event_id, {o.r('value')} AS value FROM asked ASOF LEFT JOIN dm ON asked.user_id = dm.user_id AND asked.time >= dm.time""")
+def _(spark, d):
+    """The user's last day of purchases for each of their other events; many have none yet."""
+    events = a.table(spark, d, "events").withColumnRenamed("ts", "time")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.avg("value").alias("value"))
+    return report(grid.as_of(events.where("event_type <> 'purchase'").select("event_id", "user_id", "time"), bought, ["user_id"], block_days=7).select("event_id", "value"))
+
+
+@query("f1_cells_without_template", o.statement((*o.GRID_FITTED, o.GSHAPES, o.EV, "ch AS (SELECT CAST(ascii(station) % 7 * 10 AS DOUBLE) AS lat, CAST(user_id % 10 AS DOUBLE) AS lon, year(time) AS file_year, date_trunc('hour', time) AS time FROM ev GROUP BY ALL)"),
+    f"SELECT ch.lat, ch.lon, {o.i('count(*)')} AS n, {o.i('count(k.lat)')} AS with_template, {o.i('count(s)')} AS with_shape FROM ch LEFT JOIN (SELECT DISTINCT lat, lon FROM gshapes) k ON ch.lat = k.lat AND ch.lon = k.lon LEFT JOIN gshapes x ON ch.lat = x.lat AND ch.lon = x.lon AND x.month = month(time) AND x.hour = hour(time) GROUP BY ch.lat, ch.lon"))
+def _(spark, d):
+    """Cells that the grid lacks lose their hours; hours of months without a fit stay without shape."""
+    hours = a.cell_hours(spark, d)
+    joined = modes.with_templates(hours, fit.templates(_grid_fit(spark, d)[2], CELL), CELL).groupBy(*CELL).agg(F.count("*").alias("with_template"), F.count("s").alias("with_shape"))
+    return report(hours.groupBy(*CELL).agg(F.count("*").alias("n")).join(joined, CELL, "left").na.fill(0, ["with_template", "with_shape"]))
+
+
 _DAILY = f"""dmode AS (SELECT station, obs, avg(obs) OVER d + s AS r1, avg(obs) OVER d + CASE WHEN span > 1e-4 THEN (max(obs) OVER d - min(obs) OVER d) / span ELSE 1 END * s AS r2
   FROM shaped JOIN (SELECT station, month, CAST(CAST(max(s) AS FLOAT) - CAST(min(s) AS FLOAT) AS DOUBLE) AS span FROM shapes GROUP BY ALL) USING (station, month) WINDOW d AS (PARTITION BY station, file_year, day)),
 dlong AS (SELECT station, m.mode, obs, m.r FROM dmode, LATERAL (VALUES ('baseline', r1), ('scaled', r2)) m(mode, r))"""
