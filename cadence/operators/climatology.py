@@ -34,6 +34,20 @@ def precheck(clim: DataFrame, cell: list[str], mask: DataFrame | None = None) ->
     return checked.select(*cell, "month", "n_hours", "t_range", "t_std", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+def checked(clim: DataFrame, cell: list[str], above: float = 0.5) -> DataFrame:
+    """``clim`` with valid_fraction, n_hours, t_range, t_std, ok, t_mean and y: what valid_cells(), precheck(), detrended() and masked() give, as windows of one exchange by cell.
+
+    y is NULL in months that fail, t_mean in cells of which all months do. A
+    cell has 288 rows at most.
+    """
+    whole, month = Window.partitionBy(*cell), Window.partitionBy(*cell, "month")
+    found = clim.withColumn("valid_fraction", F.count("t").over(whole) / F.lit(288.0))
+    found = found.withColumns({"n_hours": F.count("t").over(month), "t_range": F.max("t").over(month) - F.min("t").over(month), "t_std": F.stddev_pop("t").over(month), "t_mean": F.avg("t").over(month)})
+    ok = (F.col("valid_fraction") > above) & (F.col("n_hours") >= 12) & (F.col("t_range") > 0.5) & (F.col("t_range") < 40) & (F.col("t_std") > 0.1)
+    found = found.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("__some", F.max("ok").over(whole))
+    return found.withColumns({"y": F.when(F.col("ok"), F.col("t") - F.col("t_mean")), "t_mean": F.when(F.col("__some"), F.col("t_mean"))}).drop("__some")
+
+
 def masked(detrended: DataFrame, checked: DataFrame, cell: list[str]) -> DataFrame:
     """``detrended`` with y only in months that passed the precheck, and t_mean only in cells of which some month did; what is fitted."""
     joined = detrended.join(checked.select(*cell, "month", "ok"), [*cell, "month"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))

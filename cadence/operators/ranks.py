@@ -62,7 +62,8 @@ def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], share
 
     steps = _summed(counted, ["__k", "m"], "__step").where(_holds(ranks("__all"), F.col("__before")))
     steps = steps.select("__k", "m", "__step", F.col("__before").alias("__b1"), F.col("__all").alias("__total"))
-    floats = _summed(counted.join(steps.select("__k", "m", "__step"), ["__k", "m", "__step"], "left_semi"), ["__k", "m", "__step"], "__float")
+    # an inner join, as a semi-join would be pushed below the counting, which is then done twice
+    floats = _summed(counted.join(steps.select("__k", "m", "__step"), ["__k", "m", "__step"]), ["__k", "m", "__step"], "__float")
     floats = floats.join(steps, ["__k", "m", "__step"]).withColumn("__b2", F.col("__b1") + F.col("__before")).where(_holds(ranks("__total"), F.col("__b2")))
     floats = floats.select("__k", "m", "__step", "__float", "__b2", "__total")
     one = Window.partitionBy("__k", "m", "__step", "__float").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -34,7 +34,7 @@ def report(df: DataFrame, **renamed: Column) -> DataFrame:
     out = []
     for f in df.withColumns(renamed).schema.fields if renamed else df.schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = tidy(c.cast("double"))
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("long")
@@ -115,23 +115,20 @@ def _(spark, d):
 
 
 def _grid_clim(spark, d):
-    return climatology.climatology(a.grid_series(spark, d), CELL, value="t")
+    """With coordinates as decimals: doubles are normalised for each group and window, which hides from a plan that rows lie together already."""
+    return climatology.climatology(a.grid_series(spark, d).withColumns({c: F.col(c).cast("decimal(9,4)") for c in CELL}), CELL, value="t")
 
 
 def _grid_checked(spark, d):
-    clim = _grid_clim(spark, d)
-    return climatology.detrended(clim, CELL), climatology.precheck(clim, CELL, climatology.valid_cells(clim, CELL))
+    return climatology.checked(_grid_clim(spark, d), CELL)
 
 
-def _grid_fit(spark, d):
-    det, checked = _grid_checked(spark, d)
-    fitted = climatology.masked(det, checked, CELL)
-    return checked, fitted, fit.parameters(fit.ridge_fit(fitted, CELL), CELL)
+def _grid_params(spark, d):
+    return fit.parameters(fit.ridge_fit(_grid_checked(spark, d), CELL), CELL)
 
 
 def _grid_archive(spark, d):
-    checked, fitted, params = _grid_fit(spark, d)
-    return fit.quality(params, fit.fit_metrics(fitted, params, CELL), checked, CELL)
+    return fit.archive(_grid_checked(spark, d), CELL)
 
 
 @query("c5_detrended", o.statement((o.GRID,), f"SELECT lat, lon, {o.i('month')} AS month, {o.i('hour')} AS hour, {o.r('t')} AS t, {o.r('t_mean')} AS t_mean, {o.r('y')} AS y FROM gdet"))
@@ -147,12 +144,12 @@ def _(spark, d):
 
 @query("c7_masked", o.statement(o.GRID_FITTED[:3], f"SELECT g.lat, g.lon, {o.i('g.month')} AS month, {o.i('hour')} AS hour, {o.r('CASE WHEN ok THEN y END')} AS y, {o.r('CASE WHEN bool_or(ok) OVER (PARTITION BY g.lat, g.lon) THEN t_mean END')} AS t_mean FROM gdet g JOIN gcheck USING (lat, lon, month)"))
 def _(spark, d):
-    return report(climatology.masked(*_grid_checked(spark, d), CELL).select(*CELL, "month", "hour", "y", "t_mean"))
+    return report(_grid_checked(spark, d).select(*CELL, "month", "hour", "y", "t_mean"))
 
 
 @query("c9_ridge_fit", o.statement(o.GRID_FITTED[:4], f"SELECT lat, lon, {o.i('month')} AS month, {o.i('n_hours')} AS n_hours, {', '.join(f'{o.r(c)} AS {c}' for c in ('c1', 'c2', 'c3', 'c4'))} FROM gcoef"))
 def _(spark, d):
-    return report(fit.ridge_fit(climatology.masked(*_grid_checked(spark, d), CELL), CELL))
+    return report(fit.ridge_fit(_grid_checked(spark, d), CELL))
 
 
 @query("c9_full_day_fit", o.statement(o.STATION_CHAIN[:5], f"SELECT station, {o.i('month')} AS month, {o.i('n_hours')} AS n_hours, {', '.join(f'{o.r(c)} AS {c}' for c in ('c1', 'c2', 'c3', 'c4'))} FROM coef"))
@@ -168,14 +165,13 @@ def _(spark, d):
 
 @query("c12_fit_metrics", o.statement((*o.GRID_FITTED, o.GFIT), f"SELECT lat, lon, {o.i('month')} AS month, round(CAST(r_squared AS DOUBLE), 4) + 0.0 AS r_squared, round(CAST(rmse AS DOUBLE), 4) + 0.0 AS rmse, round(dtr_observed, 4) + 0.0 AS dtr_observed FROM gmet"))
 def _(spark, d):
-    _, det, params = _grid_fit(spark, d)
-    return fit.fit_metrics(det, params, CELL).select(*CELL, F.col("month").cast("long"), *(tidy(F.col(c).cast("double"), 4).alias(c) for c in ("r_squared", "rmse", "dtr_observed")))
+    return _grid_archive(spark, d).select(*(F.col(c).cast("double") for c in CELL), F.col("month").cast("long"), *(tidy(F.col(c).cast("double"), 4).alias(c) for c in ("r_squared", "rmse", "dtr_observed")))
 
 
 @query("c14_fine_curve", o.statement((*o.GRID_FITTED, o.GFINE), f"SELECT lat, lon, {o.i('month')} AS month, round(CAST(dtr_fitted AS DOUBLE), 4) + 0.0 AS dtr_fitted, round(CAST(tmax_hour AS DOUBLE), 1) + 0.0 AS tmax_hour, round(CAST(tmin_hour AS DOUBLE), 1) + 0.0 AS tmin_hour FROM gfine"))
 def _(spark, d):
-    found = fit.fine_curve(_grid_fit(spark, d)[2])
-    return found.select(*CELL, F.col("month").cast("long"), tidy(F.col("dtr_fitted").cast("double"), 4).alias("dtr_fitted"), *(tidy(F.col(c).cast("double"), 1).alias(c) for c in ("tmax_hour", "tmin_hour")))
+    found = fit.fine_curve(_grid_params(spark, d))
+    return found.select(*(F.col(c).cast("double") for c in CELL), F.col("month").cast("long"), tidy(F.col("dtr_fitted").cast("double"), 4).alias("dtr_fitted"), *(tidy(F.col(c).cast("double"), 1).alias(c) for c in ("tmax_hour", "tmin_hour")))
 
 
 @query("c17_quality_flag", o.statement(o.GRID_CHAIN, f"SELECT lat, lon, {o.i('month')} AS month, quality_flag, skipped FROM garchive"))
@@ -201,7 +197,7 @@ placed AS (SELECT lat_c, lon_c, (SELECT arg_min(x, (abs(x - lat_c / 100.0), x))
 
 @query("c22_station_templates", o.statement((*o.GRID_FITTED, o.GSHAPES, o.FEATURES, _PLACES), f"SELECT lat_c, lon_c, {o.i('month')} AS month, {o.i('hour')} AS hour, round(s, 4) + 0.0 AS s FROM placed JOIN gshapes USING (lat, lon)"))
 def _(spark, d):
-    shapes = fit.templates(_grid_fit(spark, d)[2], CELL)
+    shapes = fit.templates(_grid_params(spark, d), CELL)
     axis = shapes.select(*CELL).distinct()
     found = grid.station_templates(a.features(spark, d), shapes, axis, axis).select("lat_c", "lon_c", "month", F.posexplode_outer("s").alias("hour", "s"))
     # a cell's month without a fit has 24 hours without a shape
@@ -595,15 +591,13 @@ def _(spark, d):
 gpair AS (SELECT g.lat, g.lon, g.year, g.month, t, m + s AS b, m + span_o / CASE WHEN span > 1e-4 THEN span ELSE 1 END * s AS c FROM gday g JOIN gshapes x ON g.lat = x.lat AND g.lon = x.lon AND g.month = x.month AND g.hour = x.hour JOIN grange y ON g.lat = y.lat AND g.lon = y.lon AND g.month = y.month)"""),
     f"SELECT lat, lon, {o.i('year')} AS year, {o.i('month')} AS month, {o.score('t', 'b')['n']} AS n, {', '.join(f'{v} AS {k}_{n}' for x, n in (('b', 'base'), ('c', 'scaled')) for k, v in o.score('t', x, least=1, above=1e-6, bounds='unit').items() if k != 'n')} FROM gpair GROUP BY lat, lon, year, month"))
 def _(spark, d):
-    shapes = fit.templates(_grid_fit(spark, d)[2], CELL)
+    shapes = fit.templates(_grid_params(spark, d), CELL)
     return report(grid.cell_metrics(a.grid_series(spark, d), shapes, CELL))
 
 
 @query("d12_point_curve", o.statement((*o.GRID_FITTED, "gm AS (SELECT DISTINCT lat, lon, month, t_mean FROM gfit)", "pt AS (SELECT * FROM gparams JOIN gm USING (lat, lon, month) WHERE month = 3 ORDER BY abs(lat - 19.0), lat, abs(lon - 2.2), lon LIMIT 1)"), f"SELECT {o.i('h')} AS hour, {o.r('t_mean + CAST(a1 AS DOUBLE) * sin(2 * pi() * h / 24 - CAST(phi1 AS DOUBLE)) + CAST(a2 AS DOUBLE) * sin(2 * (2 * pi() * h / 24) - CAST(phi2 AS DOUBLE))')} AS t FROM pt, range(24) r(h)"))
 def _(spark, d):
-    _, det, params = _grid_fit(spark, d)
-    archive = params.join(det.select(*CELL, "month", "t_mean").distinct(), [*CELL, "month"]).withColumn("skipped", F.lit(0))
-    return grid.point_curve(archive, 19.0, 2.2, 3).select(F.col("hour").cast("long"), tidy(F.col("t")).alias("t"))
+    return grid.point_curve(_grid_archive(spark, d), 19.0, 2.2, 3).select(F.col("hour").cast("long"), tidy(F.col("t")).alias("t"))
 
 
 @query("x29_haversine", o.statement((o.FEATURES,), f"SELECT x.station, {o.r('2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))))')} AS km FROM features x JOIN features y ON CAST(x.station AS INT) + 1 = CAST(y.station AS INT)"))
@@ -634,7 +628,8 @@ def _(spark, d):
 def _(spark, d):
     """Cells that the grid lacks lose their hours; hours of months without a fit stay without shape."""
     hours = a.cell_hours(spark, d)
-    joined = modes.with_templates(hours, fit.templates(_grid_fit(spark, d)[2], CELL), CELL).groupBy(*CELL).agg(F.count("*").alias("with_template"), F.count("s").alias("with_shape"))
+    shapes = fit.templates(_grid_params(spark, d), CELL).withColumns({c: F.col(c).cast("double") for c in CELL})
+    joined = modes.with_templates(hours, shapes, CELL).groupBy(*CELL).agg(F.count("*").alias("with_template"), F.count("s").alias("with_shape"))
     return report(hours.groupBy(*CELL).agg(F.count("*").alias("n")).join(joined, CELL, "left").na.fill(0, ["with_template", "with_shape"]))
 
 

@@ -122,7 +122,8 @@ def test_ridge_fit_solves_the_normal_equations(spark, hours, seed):
     assert [got.c1, got.c2, got.c3, got.c4] == pytest.approx(np.linalg.solve(x.T @ x + 1e-8 * np.eye(4), x.T @ y).tolist(), abs=1e-6)
 
 
-def test_archive(spark):
+@pytest.mark.parametrize("joined", [True, False])
+def test_archive(spark, joined):
     full = [("good", m, h, 10 + curve(h)) for m in range(1, 13) for h in range(24)] + [("half", m, h, 10 + curve(h)) for m in range(1, 7) for h in range(24)] + [("few", 1, h, float(h % 5)) for h in range(11)]
     clim = spark.createDataFrame(full, "cell string, month int, hour int, t double")
     mask = {r.cell: r.is_valid for r in climatology.valid_cells(clim, ["cell"]).collect()}
@@ -131,7 +132,10 @@ def test_archive(spark):
     det = climatology.masked(climatology.detrended(clim, ["cell"]), checked, ["cell"])
     assert {r.cell: (r.y, r.t_mean) for r in det.groupBy("cell").agg(F.count("y").alias("y"), F.count("t_mean").alias("t_mean")).collect()} == {"good": (288, 288), "half": (0, 0), "few": (0, 0)}
     params = fit.parameters(fit.ridge_fit(det, ["cell"]), ["cell"])
-    archive = fit.quality(params, fit.fit_metrics(det, params, ["cell"]), checked, ["cell"])
+    at_once = climatology.checked(clim, ["cell"])
+    if not joined:
+        assert at_once.select(det.columns).exceptAll(det).count() == det.exceptAll(at_once.select(det.columns)).count() == 0
+    archive = fit.quality(params, fit.fit_metrics(det, params, ["cell"]), checked, ["cell"]) if joined else fit.archive(at_once, ["cell"])
     rows = {(r.cell, r.month): r for r in archive.collect()}
     r = rows["good", 3]
     assert (r.a1, r.phi1, r.a2, r.phi2) == pytest.approx((4, 0.7, 1.1, -0.2), abs=1e-5) and r.quality_flag == 1 and r.skipped == 0 and r.r_squared == pytest.approx(1)

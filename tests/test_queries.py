@@ -51,3 +51,14 @@ def test_day_windows_share_one_exchange(spark):
     shaped, plan = adapters.shaped(spark, D), lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert plan(strict_modes(shaped)).count("Exchange hashpartitioning") - plan(shaped).count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in plan(strict_modes(shaped))
+
+
+def test_archive_without_joins(spark):
+    """The series' own sums, the climatology, and one exchange by cell for checks, fit, errors and flags."""
+    plan = QUERIES["c17_quality_flag"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
+def test_solution_is_not_copied_into_the_shapes(spark):
+    sizes = {name: len(QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()) for name in ("c9_ridge_fit", "c22_templates", "d6_dynamic")}
+    assert sizes["c22_templates"] < 1.5 * sizes["c9_ridge_fit"] and sizes["d6_dynamic"] < 30_000, sizes
