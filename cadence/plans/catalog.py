@@ -13,7 +13,7 @@ from cadence.operators import checks, civil, climatology, fit, grid, inventory,
 from cadence.plans import adapters as a
 from cadence.plans import oracle as o
 from cadence.session import new_folder
-from cadence.sources import gridded, sinks, tables
+from cadence.sources import cache, gridded, runlog, sinks, tables, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -660,6 +660,40 @@ def _(spark, d):
     return checks.todo(orders.select("o_custkey").distinct(), orders.where("o_orderstatus = 'P'"), ["o_custkey"])
 
 
+@query("s3_f11_resumed_units", f"SELECT o_custkey, {o.i('year(o_orderdate)')} AS year, {o.i('count(*)')} AS n, {o.r('sum(o_totalprice)')} AS total FROM orders GROUP BY ALL")
+def _(spark, d):
+    """Years of customers as units: a first run over those with an order under way, one over all that takes up what is left, and a third that finds nothing to do."""
+    orders = a.table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    path, keys = new_folder(spark, "units"), ["o_custkey", "year"]
+    work = lambda left: orders.join(left.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    for known in (orders.where("o_orderstatus = 'P'"), orders, orders):
+        units.run_units(spark, known.select(*keys).distinct(), work, path, keys)
+    return report(units.read_units(spark, path, keys))
+
+
+@query("s11_run_log", o.statement(o.STRICT_CHAIN, f"""SELECT stage, name, CAST(value AS VARCHAR) AS value FROM (
+  SELECT 'readings' AS stage, 'rows' AS name, count(*) AS value FROM ev UNION ALL SELECT 'hours', 'rows', count(*) FROM hourly UNION ALL SELECT 'hours', 'stations', count(DISTINCT station) FROM hourly
+  UNION ALL SELECT 'reconstructed', 'rows', count(*) FROM wide UNION ALL SELECT 'reconstructed', 'heldout', count(*) FILTER (WHERE k3) FROM wide UNION ALL SELECT 'months', 'rows', count(*) FROM (SELECT DISTINCT station, year(time), month FROM wide))"""))
+def _(spark, d):
+    """The flagship run to a folder, its counts taken while it runs."""
+    log = runlog.RunLog(spark, delta=0.5)
+    hours = log.watch(qc.hourly_mean(log.watch(a.observations(spark, d), "readings"), ["station", "file_year"]), "hours", stations=F.size(F.collect_set("station")))
+    params = fit.parameters(fit.ridge_fit(climatology.detrended(climatology.climatology(hours, ["station"]), ["station"]), ["station"]), ["station"])
+    rec = modes.strict_modes(modes.with_templates(hours, fit.templates(params, ["station"]), ["station"]))
+    rec = log.watch(rec, "reconstructed", heldout=F.count_if("held_2pt_fixed_00_12_clip"))
+    log.watch(scores.station_months(rec), "months").write.parquet(new_folder(spark, "months"))
+    return log.table().where("kind = 'count'").select("stage", "name", "value")
+
+
+@query("s9_a10_cached_templates", o.statement(o.STATION_CHAIN[:7], f"SELECT h.station, {o.i('month(h.time)')} AS month, {o.i('count(*)')} AS n, {o.i('count(s.s)')} AS with_shape, round(sum(s.s), 3) + 0.0 AS total FROM hourly h LEFT JOIN shapes s ON s.station = h.station AND s.month = month(h.time) AND s.hour = hour(h.time) GROUP BY h.station, month(h.time)"))
+def _(spark, d):
+    hours, _, params = a.station_fit(spark, d)
+    path = new_folder(spark, "templates")
+    cache.write_templates(fit.templates(params, ["station"]), path, ["station"], 8)
+    joined = modes.with_templates(hours, cache.read_templates(spark, path, ["station"], 8), ["station"])
+    return report(joined.groupBy("station", "month").agg(F.count("*").alias("n"), F.count("s").alias("with_shape"), F.sum("s").alias("total")), total=tidy(F.col("total"), 3))
+
+
 @query("f12_existing", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
     return checks.existing(a.table(spark, d, "customer").select("c_custkey"), a.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])

@@ -28,8 +28,12 @@ def read_parts(df: DataFrame) -> DataFrame:
     return df.where(ok).drop("algorithm")
 
 
-def write_csv(df: DataFrame, path: str, gzip: bool = False, single: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, gzip: bool = False, single: bool = False, digits: int | None = None) -> None:
+    """With a header; ``digits`` writes doubles and floats with so many digits after the point."""
     rows = df.coalesce(1) if single else df
+    if digits is not None:
+        fixed = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double"))).alias(c)
+        rows = rows.select(*(fixed(f.name) if f.dataType.typeName() in ("double", "float") else f.name for f in df.schema.fields))
     rows.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
