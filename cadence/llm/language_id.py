@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+from xxhash import xxh64_intdigest
 
 from cadence.llm.shared import byte_slices, returning_memory, small_batches
 
@@ -20,94 +20,85 @@ LONGEST = 5
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies by language: ``tables[0]`` for words, ``tables[n]`` for n-grams of ^word$."""
+    """Log frequencies by language: table 0 is for words, table n for n-grams of ^word$. A table's pieces are their 64-bit hashes, in order, beside a row of ``logs`` each."""
 
     languages: list[str]
-    tables: list[dict[str, int]]
+    codes: list[np.ndarray]
     logs: list[np.ndarray]
     prior: np.ndarray
 
+    def rows(self, size: int, pieces: list[str]) -> np.ndarray:
+        """The place of each piece in its table, -1 for those that are not there."""
+        table = self.codes[size]
+        wanted = np.fromiter((xxh64_intdigest(p, 42) for p in pieces), np.uint64, len(pieces)).view(np.int64)
+        if not len(table):
+            return np.full(len(pieces), -1)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        return np.where(table[at] == wanted, at, -1)
+
 
 def learned_from(id_col: Column) -> Column:
     """Whether a row may be learned from: four fifths of the ids, by CRC."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, words: int = 20000, grams: int = 8000, languages: int = 1000) -> LanguageModel:
-    """Learns from about ``docs_per_language`` labelled rows of each language (chosen by a hash of the id), whole texts.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_to_learn: int = 8000, languages: int = 1000) -> LanguageModel:
+    """Learns from about ``docs_to_learn`` labelled rows, as many of each language (chosen by a hash of the id), whole texts.
 
-    Rows without text, language or id are not learned from. Every label
-    is learned, of each the most frequent ``words`` and ``grams`` of each length;
-    more than ``languages`` labels raise, which bounds the labels that are
-    broadcast and the languages * (words + 5 * grams) rows that come to the driver.
+    Rows without text, language or id are not learned from. Every label is
+    learned, with every word and n-gram of its rows: only the sample bounds the
+    tables, which come to the driver and go to each worker as numbers. More than
+    ``languages`` labels raise.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(learned_from(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"))
-    found = sizes.limit(languages + 1).toPandas()
+    found = sorted(tuple(r) for r in usable.groupBy("lang").agg(F.count("*").alias("rows")).limit(languages + 1).collect())
     if len(found) > languages:
         raise ValueError(f"there are more than {languages} labels to learn")
-    found = found.sort_values("lang")
-    chosen = usable.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.col("rows")) < docs_per_language)
-    counted = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("piece")).groupBy("lang", "piece").agg(F.count("*").alias("n"))
-    counted = counted.select("lang", F.lit(0).alias("size"), "piece", "n")
+    spark, names = docs.sparkSession, [x for x, _ in found]
+    sizes = spark.createDataFrame([(x, i, n) for i, (x, n) in enumerate(found)], "lang string, label int, rows long")
+    share = -(-docs_to_learn // max(1, len(found)))
+    chosen = usable.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.col("rows")) < share)
+    counted = chosen.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("piece")).groupBy("label", "piece").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit("^"), "piece", F.lit("$"))
-    grams_of = counted.select("lang", "n", padded.alias("word")).select("lang", "n", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("word")))).alias("size"))
-    grams_of = grams_of.select("lang", "n", "word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("at"))
-    grams_of = grams_of.groupBy("lang", "size", F.expr("substring(word, at, size)").alias("piece")).agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "piece")
-    every = counted.union(grams_of.select("lang", "size", "piece", "n"))
-    totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    top = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("size") == 0, words).otherwise(grams)).drop("place")
-    rows = top.join(totals, ["lang", "size"]).toPandas()
-    names = sorted(found["lang"])
-    at = {x: i for i, x in enumerate(names)}
-    tables, logs = [], []
-    for size in range(LONGEST + 1):
-        part = rows[rows["size"] == size]
-        table = {x: i for i, x in enumerate(sorted(set(part["piece"])))}
-        n = np.zeros((len(table), len(names)))
-        total = np.ones(len(names))
-        n[part["piece"].map(table).to_numpy(int), part["lang"].map(at).to_numpy(int)] = part["n"]
-        total[part["lang"].map(at).to_numpy(int)] = part["total"]
-        tables.append(table)
-        logs.append(np.log((n + 0.1) / (total + 0.1 * max(1, len(table)))))
-    share = found["rows"].to_numpy(float)
-    return LanguageModel(names, tables, logs, np.log(share / share.sum()) if len(share) else share)
+    grams = counted.select("label", "n", padded.alias("word")).select("label", "n", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("word")))).alias("size"))
+    grams = grams.select("label", "n", "word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("at"))
+    grams = grams.groupBy("label", "size", F.expr("substring(word, at, size)").alias("piece")).agg(F.sum("n").alias("n"))
+    every = counted.select("label", F.lit(0).alias("size"), "piece", "n").union(grams.select("label", "size", "piece", "n"))
+    rows = every.select("label", "size", F.xxhash64("piece").alias("code"), "n").toArrow()
+    label, size, code, n = (rows.column(c).to_numpy() for c in ("label", "size", "code", "n"))
+    codes, logs = [], []
+    for k in range(LONGEST + 1):
+        mine = size == k
+        table, at = np.unique(code[mine], return_inverse=True)
+        counts = np.zeros((len(table), len(names)))
+        np.add.at(counts, (at, label[mine]), n[mine])
+        codes.append(table)
+        logs.append(np.log((counts + 0.1) / (np.maximum(1, counts.sum(axis=0)) + 0.1 * max(1, len(table)))))
+    prior = np.array([n for _, n in found], float)
+    return LanguageModel(names, codes, logs, np.log(prior / prior.sum()) if len(prior) else prior)
 
 
 def _word_scores(model: LanguageModel, distinct: list[str]) -> np.ndarray:
     """The log score of each word by language: its own where it is known, else the mean of its longest known n-grams."""
     scores = np.zeros((len(distinct), len(model.languages)))
-    known, known_rows, unseen = [], [], []
-    words = model.tables[0]
-    for i, w in enumerate(distinct):
-        row = words.get(w)
-        if row is None:
-            unseen.append(i)
-        else:
-            known.append(i)
-            known_rows.append(row)
-    scores[known] = model.logs[0][known_rows]
+    row = model.rows(0, distinct)
+    known = row >= 0
+    scores[known] = model.logs[0][row[known]]
+    unseen = np.flatnonzero(~known)
     for size in range(LONGEST, 0, -1):
-        table, owner, rows, left = model.tables[size], [], [], []
-        for i in unseen:
-            w = f"^{distinct[i]}$"
-            hits = [r for k in range(len(w) - size + 1) if (r := table.get(w[k : k + size])) is not None]
-            if hits:
-                owner += [i] * len(hits)
-                rows += hits
-            else:
-                left.append(i)
-        if owner:
-            n = np.bincount(owner, minlength=len(distinct))
-            for k in range(len(model.languages)):
-                total = np.bincount(owner, model.logs[size][rows, k], minlength=len(distinct))
-                scores[:, k] += np.divide(total, n, out=np.zeros(len(distinct)), where=n > 0)
-        unseen = left
+        padded = [f"^{distinct[i]}$" for i in unseen]
+        counts = np.maximum(0, np.fromiter(map(len, padded), int, len(padded)) - size + 1)
+        row = model.rows(size, [w[k : k + size] for w, c in zip(padded, counts) for k in range(c)])
+        owner, hit = np.repeat(np.arange(len(unseen)), counts), row >= 0
+        n = np.bincount(owner[hit], minlength=len(unseen))
+        for k in range(len(model.languages)):
+            total = np.bincount(owner[hit], model.logs[size][row[hit], k], minlength=len(unseen))
+            scores[unseen, k] += np.divide(total, n, out=np.zeros(len(unseen)), where=n > 0)
+        unseen = unseen[n == 0]
     return scores
 
 
-def _predict(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+def _predict(model: LanguageModel, texts: pa.Array, evidence: int) -> tuple[list[str], np.ndarray]:
     lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"\P{L}+")
     flat = lists.flatten()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -121,20 +112,22 @@ def _predict(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarr
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
     sums = np.stack([np.diff(np.concatenate([[0.0], np.cumsum(by_word[codes, k])])[ends]) for k in range(len(model.languages))], axis=1)
-    mean = sums / np.maximum(1, counts)[:, None] * np.minimum(20, counts)[:, None] + model.prior
+    mean = sums / np.maximum(1, counts)[:, None] * np.minimum(evidence, counts)[:, None] + model.prior
     odds = np.exp(mean - mean.max(axis=1, keepdims=True))
     best = odds.argmax(axis=1)
     score = np.where(counts > 0, 1 / odds.sum(axis=1), 0.0)
     return [model.languages[b] if n else "und" for b, n in zip(best.tolist(), counts.tolist())], score
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", evidence: int = 20) -> DataFrame:
     """All columns of ``docs`` and two more: the language predicted from the whole text, and its share against the other languages.
 
     A null text, or one without a letter, gives ``und`` and 0. The share is that
-    of the mean word, raised to the number of words but 20 at most. Ties go to
-    the language that sorts first; repeated rows are each returned. The two
-    names must differ from those of ``docs``.
+    of the mean word, raised to the number of words but to ``evidence`` at most, as
+    words of one text are not independent; it does not change which language is
+    first but for the prior's part in texts of fewer words. Ties go to the
+    language that sorts first; repeated rows are each returned. The two names
+    must differ from those of ``docs``.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see fit()
@@ -143,7 +136,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, text_col, 3 << 20):
-                lang, score = _predict(sent.value, part.column(text_col))
+                lang, score = _predict(sent.value, part.column(text_col), evidence)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, lang_out, score_out])
 
     return docs.mapInArrow(returning_memory(run), StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))

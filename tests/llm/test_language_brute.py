@@ -22,7 +22,7 @@ def grams_of(word, size):
     return [padded[k : k + size] for k in range(len(padded) - size + 1)]
 
 
-def brute(rows, n_words=20000, n_grams=8000):
+def brute(rows):
     """{id: (held_out, lang, score)} of rows (id, text, lang)."""
     held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
     learned = [(t, x) for i, t, x in rows if not held[i] and t is not None and x is not None]
@@ -35,7 +35,7 @@ def brute(rows, n_words=20000, n_grams=8000):
                 counts[lang, size].update(grams_of(w, size))
     tables = []
     for size in range(LONGEST + 1):
-        top = {x: dict(sorted(counts[x, size].items(), key=lambda c: (-c[1], c[0]))[: n_words if size == 0 else n_grams]) for x in languages}
+        top = {x: counts[x, size] for x in languages}
         pieces = set().union(*top.values())
         total = {x: sum(counts[x, size].values()) or 1 for x in languages}
         tables.append({p: [math.log((top[x].get(p, 0) + 0.1) / (total[x] + 0.1 * max(1, len(pieces)))) for x in languages] for p in pieces})
@@ -75,3 +75,17 @@ def test_query_against_plain_python(spark, tmp_path):
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()] == ["und", "und"]
+
+
+def test_every_word_and_gram_is_learned(spark):
+    """More kinds of word than any cut that was made before; the rarest still tells languages apart."""
+    letters = "abcdefghijklmnop"
+    word = lambda i: "".join(letters[i >> s & 15] for s in (16, 12, 8, 4, 0))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, " ".join(word(200 * n + k + 70_000 * (i % 2)) for k in range(200)), "xy"[i % 2]) for n, i in enumerate(ids)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    words = {w for _, t, _ in docs for w in t.split()}
+    assert len(model.codes[0]) == len(words) > 50_000 and len(model.codes[5]) > 50_000
+    rare = spark.createDataFrame([(1, docs[-1][1].split()[-1], None)], frame.schema)
+    assert language_id.identify(rare, model).first().lang_pred == docs[-1][2]
