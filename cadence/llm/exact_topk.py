@@ -14,6 +14,8 @@ from cadence.llm.vectors import matrix, usable, widened
 
 #: Vectors in a block of queries and in a block of data; a task holds one of each.
 QUERY_BLOCK, DATA_BLOCK = 4096, 8192
+#: Sums of products of two vectors are at most the root of their sums of squares.
+LARGEST = float(2**52)
 
 
 def exact_topk(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
@@ -28,10 +30,13 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     Rows whose id or vector is null, or whose vector holds a null or non-finite
     component, take no part; wholly repeated rows count once; vectors of
     different lengths count as filled up with zeros; no rows give no rows.
-    Sums beyond 2 ** 53 are not exact.
+    Scores are exact: a vector whose scaled squares sum up to 2 ** 52 or more
+    raises, as doubles would not hold every sum of products with it.
     """
     spark = df.sparkSession
-    rows = usable(df, id_col, vector_col).select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("v")).dropDuplicates()
+    rows = usable(df, id_col, vector_col).select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("v"))
+    exact = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x) < LARGEST
+    rows = rows.select("id", F.when(exact, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("the vector is too large for exact scores: "), F.col("id").cast("string"))).cast("array<double>")).alias("v")).dropDuplicates()
     counts = df.select(F.col(id_col).alias("id")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     over_data, over_queries = max(1, -(-counts.n // data_block)), max(1, -(-counts.q // query_block))
     place = F.xxhash64("id")
@@ -47,8 +52,7 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         width = max(x.shape[1] for x in vectors)
         ids = [p.column("id").to_numpy() for p in parts]
         query_id, vec_id, score = dual_tree_search(widened(vectors[0], width), ids[0], widened(vectors[1], width), ids[1], k)
-        far = float(2**63 - 1024)
-        return pa.table({"query_id": query_id, "vec_id": vec_id, "score": np.clip(score, -far, far).astype(np.int64)})
+        return pa.table({"query_id": query_id, "vec_id": vec_id, "score": score.astype(np.int64)})
 
     found = cells.groupBy("q", "d").applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

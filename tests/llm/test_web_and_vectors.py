@@ -90,6 +90,15 @@ def brute_top(ids, vectors, query, k, score):
     return [(i, -s) for s, i in sorted(own)[:k]]
 
 
+def test_topk_raises_where_scores_would_not_be_exact(spark):
+    rows = [(0, [2.0**18, 3.0]), (1, [2.0**18 + 1 / 64, -1.0]), (2, [-(2.0**18), 1.0])]
+    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    scaled = {i: [int(64 * x) for x in v] for i, v in rows}
+    assert {(r.vec_id, r.score) for r in got} == {(i, sum(a * b for a, b in zip(scaled[0], scaled[i]))) for i in (1, 2)}
+    with pytest.raises(Exception, match="too large for exact scores: 7"):
+        exact_topk(spark.createDataFrame([*rows, (7, [1e12, 3.0])], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(150, 6)), np.repeat(rng.normal(size=(1, 6)), 60, 0), rng.normal(size=(40, 6)) * 9])
