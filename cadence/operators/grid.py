@@ -43,6 +43,15 @@ def station_templates(stations: DataFrame, shapes: DataFrame, lat_axis: DataFram
     return placed.join(cells, ["nearest_lat", "nearest_lon"]).select("lat_c", "lon_c", "month", "s", "shape_range")
 
 
+def reindexed(shapes: DataFrame, targets: DataFrame, ties: str = "last") -> DataFrame:
+    """(lat, lon, nearest_lat, nearest_lon, month, s) of the shapes on another grid: each target's nearest line on each axis on its own, the larger of two that are as near."""
+    axis = shapes.select("lat", "lon").distinct()
+    places = targets.select("lat", "lon").dropna().distinct()
+    placed = nearest_on_axis(nearest_on_axis(places, "lat", axis, "lat", ties), "lon", axis, "lon", ties)
+    cells = shapes.select(F.col("lat").cast("double").alias("nearest_lat"), F.col("lon").cast("double").alias("nearest_lon"), "month", "s")
+    return placed.join(cells, ["nearest_lat", "nearest_lon"]).select("lat", "lon", "nearest_lat", "nearest_lon", "month", "s")
+
+
 def daily_extremes(series: DataFrame, cell: list[str]) -> DataFrame:
     return series.groupBy(*cell, day_of(F.col("time")).alias("day")).agg(F.avg("t").alias("t_mean"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadence.functions import scoring
 from cadence.functions.nulls import tidy
 from cadence.operators import checks, civil, climatology, fit, grid, inventory, modes, paired, qc, ranks, scores, sensitivity, strata, zones
 from cadence.plans import adapters as a
@@ -633,6 +634,26 @@ def _(spark, d):
     return report(hours.groupBy(*CELL).agg(F.count("*").alias("n")).join(joined, CELL, "left").na.fill(0, ["with_template", "with_shape"]))
 
 
+_TARGETS = """targets AS (SELECT DISTINCT CAST(ascii(event_type) % 7 * 10 AS DOUBLE) + 5 AS lat, CAST(user_id % 8 AS DOUBLE) + 0.5 AS lon FROM events),
+placed AS (SELECT lat, lon, (SELECT arg_min(x, (abs(x - lat), -x)) FROM (SELECT DISTINCT lat AS x FROM gparams) g(x)) AS nearest_lat, (SELECT arg_min(x, (abs(x - lon), -x)) FROM (SELECT DISTINCT lon AS x FROM gparams) g(x)) AS nearest_lon FROM targets)"""
+
+
+@query("c23_reindexed_shapes", o.statement((*o.GRID_FITTED, o.GSHAPES, _TARGETS), f"SELECT p.lat, p.lon, nearest_lat, nearest_lon, {o.i('month')} AS month, round(s, 4) + 0.0 AS s FROM placed p JOIN gshapes g ON g.lat = nearest_lat AND g.lon = nearest_lon WHERE hour = 15"))
+def _(spark, d):
+    """Targets half way between the grid's lines, where the larger line is taken; what they get at 15 h."""
+    targets = a.table(spark, d, "events").select((F.ascii("event_type") % 7 * 10 + 5).cast("double").alias("lat"), (F.col("user_id") % 8 + 0.5).cast("double").alias("lon"))
+    found = grid.reindexed(fit.templates(_grid_params(spark, d), CELL), targets)
+    return found.select("lat", "lon", "nearest_lat", "nearest_lon", F.col("month").cast("long"), tidy(F.get("s", F.lit(15)).cast("double"), 4).alias("s"))
+
+
+@query("s2_mask_checkpoint", o.statement((o.GRID, o.GMASK), "SELECT lat, lon, is_valid FROM gmask"))
+def _(spark, d):
+    path = new_folder(spark, "mask")
+    for _ in range(2):  # the second time it is there
+        mask = sinks.checkpointed(climatology.valid_cells(_grid_clim(spark, d), CELL).select(*CELL, "is_valid"), path)
+    return report(mask)
+
+
 _DAILY = f"""dmode AS (SELECT station, obs, avg(obs) OVER d + s AS r1, avg(obs) OVER d + CASE WHEN span > 1e-4 THEN (max(obs) OVER d - min(obs) OVER d) / span ELSE 1 END * s AS r2
   FROM shaped JOIN (SELECT station, month, CAST(CAST(max(s) AS FLOAT) - CAST(min(s) AS FLOAT) AS DOUBLE) AS span FROM shapes GROUP BY ALL) USING (station, month) WINDOW d AS (PARTITION BY station, file_year, day)),
 dlong AS (SELECT station, m.mode, obs, m.r FROM dmode, LATERAL (VALUES ('baseline', r1), ('scaled', r2)) m(mode, r))"""
@@ -671,6 +692,52 @@ def _(spark, d):
     return report(units.read_units(spark, path, keys))
 
 
+@query("s3_a13_json_parts", o.statement(o.STRICT_CHAIN, f"SELECT station, mode, {o.columns(o.score('obs', 'r', 'use'))} FROM long WHERE scope = 'heldout' GROUP BY station, mode"))
+def _(spark, d):
+    """Accumulators as nested JSON, a part for each station, read back by their algorithm and merged."""
+    long = scores.mode_long(a.reconstructed(spark, d)).where("scope = 'heldout'")
+    sums = long.groupBy("station", "mode").agg(*(v.alias(k) for k, v in scoring.statistics(F.col("obs"), F.col("rec"), F.col("use")).items()))
+    path, values = new_folder(spark, "parts"), ["n", "sum_o", "sum_o2", "sse"]
+    sinks.write_json(sinks.nested_parts(sums, ["station"], "mode", values), path)
+    parts = tables.parts(spark, path, "station string, algorithm string, acc map<string, struct<n: long, sum_o: double, sum_o2: double, sse: double>>", ["station"])
+    merged = sinks.flat_parts(parts, ["station"], "mode").groupBy("station", "mode").agg(*(v.alias(k) for k, v in scoring.merged().items()))
+    return report(merged.select("station", "mode", "n", *(v.alias(k) for k, v in scoring.scores(scoring.STRICT).items())))
+
+
+@query("s5_s6_fixed_digits", o.statement((o.MONTHS,), f"SELECT station, {o.i('year')} AS year, {o.i('month')} AS month, mode, {o.i('n')} AS n, round(rmse, 3) + 0.0 AS rmse FROM months"))
+def _(spark, d):
+    """A report in gzip with three digits, read back."""
+    path = new_folder(spark, "report")
+    sinks.write_csv(a.order_months(spark, d).select("station", "year", "month", "mode", "n", "rmse"), path, gzip=True, digits=3)
+    return report(tables.metrics(spark, path, {"station": "string", "year": "int", "month": "int", "mode": "string", "n": "long", "rmse": "double"}))
+
+
+@query("a9_station_dimension", o.statement((o.FEATURES,), f"SELECT station, {o.r('lat')} AS lat, {o.r('lon')} AS lon FROM features WHERE coastal_30km IS NOT NULL"))
+def _(spark, d):
+    """Stations as CSV, those of some nations without latitude, which go."""
+    path = new_folder(spark, "stations")
+    sinks.write_csv(a.features(spark, d).select("station", F.when(F.col("coastal_30km").isNotNull(), F.col("lat")).alias("lat"), "lon"), path)
+    return report(tables.stations(spark, path))
+
+
+@query("a17_file_counts", o.statement(o.REPORT_CHAIN[:1], f"SELECT {o.i('file_year')} AS file_year, {o.i('count(DISTINCT file_station)')} AS n_files FROM rep GROUP BY file_year"))
+def _(spark, d):
+    files = tables.report_files(spark, a.report_files(spark, d), tables.FOLDERS).where("length > 0")
+    return report(files.groupBy("file_year").agg(F.count("*").alias("n_files")))
+
+
+@query("b19_trial_units", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY o_custkey LIMIT 25")
+def _(spark, d):
+    """The first units of a trial run: the limit is what is asked for."""
+    orders = a.table(spark, d, "orders")
+    return checks.todo(orders.select("o_custkey").distinct(), orders.where("o_orderstatus = 'P'"), ["o_custkey"], limit=25)
+
+
+@query("i3_left_over", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def _(spark, d):
+    return a.table(spark, d, "customer").select("c_custkey").exceptAll(a.table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")).distinct())
+
+
 @query("s11_run_log", o.statement(o.STRICT_CHAIN, f"""SELECT stage, name, CAST(value AS VARCHAR) AS value FROM (
   SELECT 'readings' AS stage, 'rows' AS name, count(*) AS value FROM ev UNION ALL SELECT 'hours', 'rows', count(*) FROM hourly UNION ALL SELECT 'hours', 'stations', count(DISTINCT station) FROM hourly
   UNION ALL SELECT 'reconstructed', 'rows', count(*) FROM wide UNION ALL SELECT 'reconstructed', 'heldout', count(*) FILTER (WHERE k3) FROM wide UNION ALL SELECT 'months', 'rows', count(*) FROM (SELECT DISTINCT station, year(time), month FROM wide))"""))

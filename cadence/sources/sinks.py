@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,29 @@ def write_parts(df: DataFrame, path: str, by: list[str]) -> None:
     marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def checkpointed(df: DataFrame, path: str) -> DataFrame:
+    """The rows as they stand at ``path``; they are made and written first if nothing stands there."""
+    spark = df.sparkSession
+    try:
+        return spark.read.schema(df.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def nested_parts(rows: DataFrame, unit: list[str], key: str, values: list[str]) -> DataFrame:
+    """(unit, algorithm, acc): a row for each unit, with a map from key to its values, as JSON parts hold accumulators. A unit's keys are few by their nature (modes, scopes)."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, F.struct(*values)))))
+    return rows.groupBy(*unit).agg(entries.alias("acc")).withColumn("algorithm", F.lit(ALGORITHM))
+
+
+def flat_parts(parts: DataFrame, unit: list[str], key: str) -> DataFrame:
+    """The rows that nested_parts() was made of."""
+    return parts.select(*unit, F.explode("acc").alias(key, "__acc")).select(*unit, key, "__acc.*")
+
+
 def read_parts(df: DataFrame) -> DataFrame:
     """The rows of this version's parts; rows of others raise where they are read."""
     ok = F.when(F.col("algorithm") == ALGORITHM, F.lit(True)).otherwise(F.raise_error(F.lit("a part of another algorithm")).cast("boolean"))
