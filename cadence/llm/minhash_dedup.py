@@ -139,8 +139,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unseen by all of 32 bands of 4 with a chance of 5e-6.
 
     A null, empty or blank text has no shingles and is its own component; a row
-    without id has component null and is kept; repeated rows are each returned;
-    other columns are ignored; no rows give no rows.
+    without id has component null and is kept; ids that are no whole numbers
+    raise; repeated rows are each returned; other columns are ignored; no rows
+    give no rows.
     """
     spark = docs.sparkSession
     signed = keep(signatures(docs, id_col, text_col, words, bands, rows, seed), "signed")

@@ -53,7 +53,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     ``tokenizer_path`` names a .json file of the tokenizers library or a .model
     file of sentencepiece. No tokens are added at the ends; special strings in a
     text count as the library counts them. A null text counts as empty (0 bytes,
-    0 tokens); repeated rows are each returned; other columns are ignored.
+    0 tokens); repeated rows are each returned; other columns are ignored; no rows
+    give no rows.
     """
     sc = docs.sparkSession.sparkContext
     model = tokenizer_path.endswith(".model")
