@@ -31,12 +31,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the lines that an earlier line matches."""
+    """Every document stays, without the lines that an earlier line matches.
+
+    A null text stays null, an empty one empty, and one may end up empty; rows
+    that repeat both id and text lose the same lines; other columns are handed
+    on, whatever their names; no rows give no rows.
+    """
     return dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id; of rows that repeat both id and text one stays; rows without id stay."""
+    """One document of each group of near duplicates stays, the one with the least id; of rows that repeat both id and text one stays; rows without id stay.
+
+    Null and empty texts are near nothing and stay; other columns are handed on,
+    whatever their names; no rows give no rows.
+    """
     found = near_duplicates(docs, with_text_hash=True).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
     found = keep(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("doc_id").isNotNull() & (F.col("copies") > 1)).alias("__repeated")), "kept")
 
