@@ -29,4 +29,6 @@ def read_templates(spark: SparkSession, path: str, cell: list[str], buckets: int
     table, schema = _table(), spark.read.parquet(path).schema.toDDL()
     by = ", ".join(cell)
     spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}, month) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the plan holds its files and buckets
+    return found

@@ -10,6 +10,10 @@ hourly values are put together anew into OUT/hourly, a folder for each year and
 month. A batch that is taken again after a failure replaces its own parts; a
 month that a failed run has left behind is found by its mark, the last batch in
 it. So any run can be repeated, and without new files it writes nothing.
+
+Readings are a table of Parquet whose columns the settings name, or ("format":
+"reports") raw station report files in CSV, <folder>/<year>/<station>.csv, each by
+its own header, which pass the quality control of the library.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 from cadence.functions.clock import hour_floor
 from cadence.functions.nulls import clean
+from cadence.operators.qc import scheme_readings
+from cadence.sources import tables
 from jobs import command
 
 log = logging.getLogger(__name__)
@@ -33,8 +39,9 @@ HOURLY = "station string, time timestamp_ntz, n long, obs double, low double, hi
 
 @dataclass(frozen=True)
 class Config:
-    """Columns of the readings; a value is ``scale`` times what is read, and valid within the range."""
+    """``format`` is table or reports; of a table, columns of the readings, of which a value is ``scale`` times what is read and valid within the range."""
 
+    format: str = "table"
     station: str = "event_type"
     time: str = "ts"
     value: str = "value"
@@ -57,6 +64,13 @@ def classified(readings: DataFrame, config: Config) -> DataFrame:
     return readings.select(F.col(config.station).cast("string").alias("station"), hour_floor(F.col(config.time).cast("timestamp_ntz")).alias("time"), kind.alias("row_class"), F.when(kind == "valid", value).alias("value"))
 
 
+def classified_reports(files: DataFrame) -> DataFrame:
+    """The same of whole report files: the classes of the inventory, no_time for valid values without one, read_error for a file that has no rows or lacks a column."""
+    rows = scheme_readings(tables.parse_reports(files, ("STATION", "DATE", "TMP")))
+    kind = F.when(F.col("error").isNotNull(), "read_error").when((F.col("row_class") == "valid") & F.col("time").isNull(), "no_time").otherwise(F.col("row_class"))
+    return rows.select(F.col("file_station").alias("station"), hour_floor(F.col("time")).alias("time"), kind.alias("row_class"), F.when(kind == "valid", F.col("value")).alias("value"))
+
+
 def hourly_sums(rows: DataFrame) -> DataFrame:
     """Sums that merge; partial ones come before the shuffle, so that a busy station is no hot key."""
     found = rows.groupBy("station", "time", "row_class").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -83,15 +97,22 @@ def _take_new_files(spark: SparkSession, source: str, output: str, checkpoint: s
     counted: dict[str, int] = {}
 
     def write(batch: DataFrame, number: int) -> None:
-        _replace(hourly_sums(classified(batch, config)).withColumn("batch", F.lit(number)), f"{output}/parts", ["year", "month", "batch"])
+        rows = classified_reports(batch) if config.format == "reports" else classified(batch, config)
+        _replace(hourly_sums(rows).withColumn("batch", F.lit(number)), f"{output}/parts", ["year", "month", "batch"])
         seen = {r.row_class: r.n for r in funnel(spark, output, number).collect()}
         log.info("batch %d of %s: read %s", number, source, seen)
         for k, n in ("rows", sum(seen.values())), *seen.items():
             counted[k] = counted.get(k, 0) + n
 
-    # a stream takes a folder or a pattern; a pattern that fits one name takes a table that is a single file too
-    pattern = source if any(c in source for c in "*?[{") else f"{source[:-1]}[{source[-1]}]"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", config.files_per_batch).parquet(pattern)
+    reader = spark.readStream.option("maxFilesPerTrigger", config.files_per_batch)
+    if config.format == "reports":
+        stream = tables.whole_files(reader.text(f"{source}/{tables.PLAIN.files}", wholetext=True))
+    elif config.format == "table":
+        # a stream takes a folder or a pattern; a pattern that fits one name takes a table that is a single file too
+        pattern = source if any(c in source for c in "*?[{") else f"{source[:-1]}[{source[-1]}]"
+        stream = reader.schema(spark.read.parquet(source).schema).parquet(pattern)
+    else:
+        raise ValueError(f"format is table or reports, not {config.format}")
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return counted
@@ -113,7 +134,7 @@ def _put_months_together(spark: SparkSession, output: str) -> int:
 
 
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, config: Config = Config()) -> dict[str, int]:
-    """Takes new files of readings into hourly values; returns the rows read by class and the months written.
+    """Takes new files of readings into hourly values; returns the rows read by class, a row for each file that cannot be read among them, and the months written.
 
     Readings without station, time or value, and those out of range, count in the
     parts by their class and in no hour. A file is taken once, by its path;
@@ -137,4 +158,4 @@ def hourly(spark: SparkSession, output: str) -> DataFrame:
 
 
 if __name__ == "__main__":
-    command.start("hourly_ingest", Config, run, {"source": "folder, pattern or file of readings in Parquet", "output": "folder of the parts and hourly values", "checkpoint": "folder of the stream's marks"})
+    command.start("hourly_ingest", Config, run, {"source": "folder, pattern or file of readings in Parquet, or the folder of report files", "output": "folder of the parts and hourly values", "checkpoint": "folder of the stream's marks"})

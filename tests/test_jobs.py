@@ -82,6 +82,29 @@ def test_ingest_taken_up_after_failures(spark, tmp_path, monkeypatch):
     assert run()["rows"] == 50 and state(spark, str(out)) == expected(rows)
 
 
+def test_ingest_of_report_files(spark, tmp_path):
+    """Raw reports of two years; a third file and one that cannot be read come before the second run."""
+    head, source, out = "DATE,TMP,STATION,X\n", tmp_path / "in", str(tmp_path / "out")
+    config = settings(hourly_ingest.Config, f"{ROOT}/jobs/report_ingest.json")
+    run = lambda: hourly_ingest.run(spark, str(source), out, str(tmp_path / "marks"), config)
+
+    def put_file(year, name, text):
+        (source / str(year)).mkdir(parents=True, exist_ok=True)
+        (source / str(year) / f"{name}.csv").write_text(text)
+
+    put_file(2015, "00017", head + '2015-01-01T00:10:00,"+0123,1",a,\n2015-01-01T00:50:00,"+0143,5",a,\n2015-01-01T01:00:00,"+9999,9",a,\nbad,"+0100,1",a,\n')
+    put_file(2016, "00017", '"TMP","DATE","STATION"\n"-0050,C","2016-02-01T05:00:00","a"\n"+0100,3","2016-02-01T06:00:00","a"\n,,\n')
+    assert run() == {"rows": 7, "valid": 3, "missing": 1, "no_time": 1, "qc_reject": 1, "na_input": 1, "months": 2}
+    first = {("00017", dt.datetime(2015, 1, 1)): (2, pytest.approx(13.3), 12.3, 14.3), ("00017", dt.datetime(2016, 2, 1, 5)): (1, -5.0, -5.0, -5.0)}
+    assert state(spark, out) == first
+    put_file(2015, "00099", head + '2015-01-01T00:30:00,"+0010,1",b,\n')
+    put_file(2015, "00100", "DATE,STATION\n2015-01-01,c\n")
+    assert run() == {"rows": 2, "valid": 1, "read_error": 1, "months": 1}
+    assert state(spark, out) == first | {("00099", dt.datetime(2015, 1, 1)): (1, 1.0, 1.0, 1.0)} and run() == {"months": 0}
+    with pytest.raises(ValueError, match="table or reports"):
+        hourly_ingest.run(spark, str(source), out, str(tmp_path / "marks"), hourly_ingest.Config(format="orc"))
+
+
 def test_ingest_of_no_rows_and_of_one_file(spark, tmp_path):
     put(spark, [], tmp_path / "none")
     assert hourly_ingest.run(spark, str(tmp_path / "none"), str(tmp_path / "a"), str(tmp_path / "b"))["months"] == 0 and state(spark, str(tmp_path / "a")) == {}

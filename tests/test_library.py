@@ -17,6 +17,7 @@ from cadence.streaming.hourly import hourly_stream, merge_statistics
 W = 2 * math.pi / 24
 
 
+#: Fixed values of the smoke test: two amplitudes, two phases, and further down a mean of 18.5 and a slope of 1.25.
 def curve(h, a1=4.0, p1=0.7, a2=1.1, p2=-0.2):
     return a1 * math.sin(W * h - p1) + a2 * math.sin(2 * W * h - p2)
 
