@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadence.llm.shared import byte_slices, joinable, keep, returning_memory
-from cadence.llm.token_counts import load_tokenizer
+from cadence.llm.token_counts import forget_tokenizers, load_tokenizer
 
 CAPACITY = 4096
 #: Bytes of text whose words are looked up at once.
@@ -229,6 +229,12 @@ def known_words(source: str) -> WordIds:
     return _known[source]
 
 
+def forget_words() -> None:
+    """Lets a worker's words and tokenizer go: it lives on beside the heap after its pieces are encoded."""
+    _known.clear()
+    forget_tokenizers()
+
+
 def token_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in order and how many each has, for tokenizers that drop white space.
 
@@ -315,6 +321,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             rank = batch.column("place").to_numpy() + batch.column("base").to_numpy()
             sequence, offset = slots.value.find(batch.column("length").to_numpy(), rank)

@@ -21,6 +21,11 @@ BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 16
 _loaded: dict[str, object] = {}
 
 
+def forget_tokenizers() -> None:
+    """Lets a worker's tokenizer go, for stages that need the memory."""
+    _loaded.clear()
+
+
 def load_tokenizer(source: str):
     """A tokenizer of the tokenizers library from its JSON text, kept for the life of the worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
