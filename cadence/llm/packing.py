@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import byte_slices, joinable, keep, returning_memory
+from cadence.llm.shared import byte_slices, give_back, joinable, keep, returning_memory
 from cadence.llm.token_counts import forget_tokenizers, load_tokenizer
 
 CAPACITY = 4096
 #: Bytes of text whose words are looked up at once.
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: Lengths are fitted in this many steps of the capacity, by patterns of so many documents at most.
 STEPS, PARTS = 64, 3
 
@@ -297,6 +297,8 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(every)).astype(np.int32)), pa.array(every.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+                del ids, every, columns, data
+                give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids array<int>" * with_ids)

@@ -85,7 +85,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Returns what a Python worker has freed to the machine."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
@@ -96,11 +97,11 @@ def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     """``run``, before and after which the worker gives its free memory back: it stays alive between tasks beside the executor's heap, and what it held for another stage is let go as a task begins."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _give_back()
+        give_back()
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return inner
 
