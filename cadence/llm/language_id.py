@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from cadence.llm.shared import byte_slices, returning_memory, small_batches
+from cadence.llm.shared import byte_slices, give_back, returning_memory, small_batches
 
 LONGEST = 5
 
@@ -74,6 +74,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         np.add.at(counts, (at, label[mine]), n[mine])
         codes.append(table)
         logs.append(np.log((counts + 0.1) / (np.maximum(1, counts.sum(axis=0)) + 0.1 * max(1, len(table)))))
+    del rows, label, size, code, n, every, grams
+    give_back()  # on the driver
     prior = np.array([n for _, n in found], float)
     return LanguageModel(names, codes, logs, np.log(prior / prior.sum()) if len(prior) else prior)
 

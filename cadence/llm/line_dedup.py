@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.llm.shared import discard, joinable, keep, unused
+from cadence.llm.shared import discard, give_back, joinable, keep, unused
 
 PERCENT = 75
 #: Words are counted in this many classes of their hash, 2 ** CLASS_BITS; the counts come to the driver.
@@ -68,6 +68,8 @@ def class_order(lines: DataFrame) -> tuple[Column, int, int]:
         if counts[c] > max(HEAVY, 2 * every // n_classes):
             heavy = min(heavy, rank)
     place = lambda rank: signed((rank ^ _SIGN) << low_bits)
+    del found, counts
+    give_back()  # on the driver
     return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), place(half), place(heavy)
 
 

@@ -298,7 +298,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 del ids, every, columns, data
-                give_back()
+                give_back(collect=False)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning_memory(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids array<int>" * with_ids)
@@ -320,6 +320,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     bases = keep(counted.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     histogram = {r.length: r.n for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = docs.sparkSession.sparkContext.broadcast(Slots(plan(histogram, capacity)))
+    give_back()  # on the driver
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

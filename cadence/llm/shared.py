@@ -85,9 +85,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def give_back() -> None:
-    """Returns what a Python worker has freed to the machine."""
-    gc.collect()
+def give_back(collect: bool = True) -> None:
+    """Returns what a Python process has freed to the machine; ``collect`` looks for rings of objects first, which takes a while."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
