@@ -75,3 +75,33 @@ def test_no_quantile_of_a_group_in_one_task(spark):
     for name, df in (found | {"e34": inventory.map_stats(medians)}).items():
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile" not in plan and "median(" not in plan, name
+
+
+def test_places_of_stations_with_the_same_orders(spark, tmp_path):
+    """m2_ecdf: the last bits of a sum, which the order of rows decides, are no reason to rank one of them before another."""
+    import random
+
+    from cadence.plans import adapters
+
+    rng = random.Random(5)
+    prices = [round(rng.uniform(1000, 500_000), 2) for _ in range(60)]
+    rows = [(s, p, "F", "1997-03-04") for s in range(60) for p in rng.sample(prices, 60)]
+    frame = spark.createDataFrame(rows, "o_custkey long, o_totalprice double, o_orderstatus string, day string")
+    frame.withColumn("o_orderdate", F.to_timestamp_ntz("day")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = paired.ecdf(adapters.order_months(spark, str(tmp_path)), "rmse", ["mode"]).orderBy("fraction").collect()
+    assert len({r.rmse for r in found}) == 1 and found[0].rmse == pytest.approx(np.std(prices) / 9973)
+    assert [r.station for r in found] == sorted(str(s) for s in range(60))
+
+
+def test_deviation_of_any_numbers(spark):
+    from cadence.functions.scoring import deviation
+
+    groups = {"cents": [1.25, 3.5, 2.75], "more digits": [1 / 3, 2 / 3, 5.0], "large": [1e300 / 1e150, 3e150, 2e150], "one": [7.77] * 9, "null": [None, None], "some null": [1.0, None, 2.0], "below": [-99_999_999.99, 99_999_999.98]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    found = {r.k: r.d for r in rows.groupBy("k").agg(deviation(F.col("v")).alias("d")).collect()}
+    assert found["null"] is None and found["one"] == 0
+    for k, vs in groups.items():
+        if k != "null":
+            assert found[k] == pytest.approx(np.std([v for v in vs if v is not None]))
+    odd = spark.createDataFrame([(float("nan"),), (1.0,)], "v double").agg(deviation(F.col("v")).alias("d")).first().d
+    assert odd != odd
