@@ -22,9 +22,9 @@ from cadence.llm.shared import discard, give_back, joinable, keep, unused
 PERCENT = 75
 #: Words are counted in this many classes of their hash, 2 ** CLASS_BITS; the counts come to the driver.
 CLASS_BITS = 15
-#: Of the lines with a heavy word in their prefix, of a class with more than HEAVY words and twice its share, the first PIVOTS are compared with all
-#: others before any others are, so that a large group of near copies does not make all its pairs; one in SAMPLE of such words is enough for that.
-HEAVY, PIVOTS, SAMPLE = 1024, 4, 4
+#: Of the lines that share a word of their prefixes, the first PIVOTS are compared with all others before any others are, so that a group of near
+#: copies does not make all its pairs; the SAMPLE words of the least hashes, which near copies mostly share, are enough for that.
+PIVOTS, SAMPLE = 3, 4
 #: Prefixes are joined in so many rounds of words, so that their rows don't all lie on disk at once.
 ROUNDS = 6
 #: What names a line, in the order in which lines come: its document's id, its number there, and the hash of the document's text.
@@ -48,8 +48,8 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens.alias("tokens"))
 
 
-def class_order(lines: DataFrame) -> tuple[Column, int, int]:
-    """What turns the upper half of a hash into its place by rarity, and two such places: up to the first lie half of all words, from the second on heavy classes.
+def class_order(lines: DataFrame) -> tuple[Column, int]:
+    """What turns the upper half of a hash into its place by rarity, and such a place up to which half of all words lie.
 
     The class of a hash is its upper bits; a place is the half with the rank of its class among the counts in their stead.
     """
@@ -59,18 +59,15 @@ def class_order(lines: DataFrame) -> tuple[Column, int, int]:
     for c, n in zip(found.column("c").to_pylist(), found.column("n").to_pylist()):
         counts[c] = n
     signed = lambda x: x - (1 << 32) if x >> 31 else x
-    change, below, half, heavy, every = [0] * n_classes, 0, 0, n_classes - 1, sum(counts)
+    change, below, half, every = [0] * n_classes, 0, 0, sum(counts)
     for rank, c in enumerate(sorted(range(n_classes), key=lambda c: (counts[c], c))):
         change[c] = signed(((rank ^ _SIGN) ^ c) << low_bits)
         if 2 * below < every:
             half = rank
         below += counts[c]
-        if counts[c] > max(HEAVY, 2 * every // n_classes):
-            heavy = min(heavy, rank)
-    place = lambda rank: signed((rank ^ _SIGN) << low_bits)
     del found, counts
     give_back()  # on the driver
-    return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), place(half), place(heavy)
+    return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), signed((half ^ _SIGN) << low_bits)
 
 
 def _size_class(n: Column) -> Column:
@@ -84,15 +81,15 @@ def _class_start(size: str) -> Column:
     return F.expr(f"cast(ceil(pow(2.0D, ({size}) div 2 - 1) * if(({size}) % 2 = 1, 1.5D, 1.0D)) as int)")
 
 
-def prefixes(lines: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """(id, doc, no, n, size, s1, s2, prefix) of the lines, and from which place on a prefix's words are heavy.
+def prefixes(lines: DataFrame, percent: int) -> DataFrame:
+    """(id, doc, no, n, size, s1, s2, prefix) of the lines.
 
     The prefix holds the places of the line's rarest words, the rarest first; s1
     and s2 are sketches of its rarer and its other words, in which each word
     turns one bit; size is the class of n. Places are halves of hashes: two words may fall on one, which
     adds candidates and never loses one, as both keep a place of their own.
     """
-    order, half, heavy = class_order(lines)
+    order, half = class_order(lines)
     placed = F.transform("tokens", lambda h: F.shiftright(h, 32).cast("int").bitwiseXOR(F.coalesce(F.get(order, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0))))
     sketch = lambda part: F.expr(f"aggregate({part}, 0L, (a, x) -> a ^ shiftleft(1L, x))")
     n = F.size("tokens")
@@ -100,21 +97,24 @@ def prefixes(lines: DataFrame, percent: int) -> tuple[DataFrame, int]:
     ordered = lines.select("id", "doc", "no", n.alias("n"), length.alias("length"), F.sort_array(F.concat(placed, F.array(F.lit(half)))).alias("places"))
     ordered = ordered.withColumn("cut", F.array_position("places", F.lit(half)).cast("int"))
     prefix = F.when(F.col("cut") > F.col("length"), F.slice("places", F.lit(1), F.col("length"))).otherwise(F.concat(F.expr("slice(places, 1, cut - 1)"), F.expr("slice(places, cut + 1, length + 1 - cut)")))
-    return ordered.select("id", "doc", "no", "n", _size_class(F.col("n")).alias("size"), sketch("slice(places, 1, cut - 1)").alias("s1"), sketch("slice(places, cut + 1, n + 1 - cut)").alias("s2"), prefix.alias("prefix")), heavy
+    return ordered.select("id", "doc", "no", "n", _size_class(F.col("n")).alias("size"), sketch("slice(places, 1, cut - 1)").alias("s1"), sketch("slice(places, cut + 1, n + 1 - cut)").alias("s2"), prefix.alias("prefix"))
 
 
-def _joined(shorter: DataFrame, longer: DataFrame, percent: int, wanted: Column | None = None) -> DataFrame:
+def _allowed(total: Column, apart: Column, least: Column, percent: int) -> Column:
+    """The sketch, length and positional filters in whole numbers, the most selective first."""
+    return (apart * (100 + percent) <= total * (100 - percent)) & (least * (100 + percent) >= total * percent)
+
+
+def _joined(shorter: DataFrame, longer: DataFrame, percent: int, wanted: Column) -> DataFrame:
     """(later, earlier, apart): ids of the candidates among rows with one key, and how many bits of their sketches differ for a thousand words."""
     sent = lambda df, side: df.select("key", *(F.col(c).alias(f"{side}{c}") for c in ("id", "doc", "no", "held", "s1", "s2")))
     parts = {"n": "cast(shiftright({}, 32) as int)", "at": "cast(shiftright({} & 4294967295L, 1) as int)", "done": "({} & 1L) = 1L"}
     joined = sent(shorter, "a_").join(sent(longer, "b_").hint("merge"), "key").withColumns({f"{side}{name}": F.expr(of.format(f"{side}held")) for side in ("a_", "b_") for name, of in parts.items()})
     total = F.col("a_n") + F.col("b_n")
     apart = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
-    least = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    # the sketch, length and positional filters in whole numbers, the most selective first
-    passed = joined.where((apart * (100 + percent) <= total * (100 - percent)) & (least * (100 + percent) >= total * percent))
+    passed = joined.where(_allowed(total, apart, F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")), percent))
     first = F.struct("a_doc", "a_no", "a_id") < F.struct("b_doc", "b_no", "b_id")
-    passed = passed.where(F.lit(True) if wanted is None else wanted).where(~F.when(first, F.col("b_done")).otherwise(F.col("a_done")))
+    passed = passed.where(wanted).where(~F.when(first, F.col("b_done")).otherwise(F.col("a_done")))
     one = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return passed.select(one("b_id", "a_id").alias("later"), one("a_id", "b_id").alias("earlier"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
@@ -123,12 +123,19 @@ def _joined(shorter: DataFrame, longer: DataFrame, percent: int, wanted: Column
 _HELD = "shiftleft(cast(n as long), 32) | shiftleft(cast(at as long), 1) | cast(done as long)"
 
 
-def _pivot_pairs(heads: DataFrame, heavy: int, percent: int) -> DataFrame:
-    """The candidates of which one is among the first of the lines that hold a heavy word in their prefix, for some of those words."""
-    rows = heads.select("id", "doc", "no", "n", "s1", "s2", "size", F.lit(False).alias("done"), F.posexplode("prefix").alias("at", "token")).where((F.col("token") >= heavy) & (F.pmod("token", F.lit(SAMPLE)) == 0))
-    rows = rows.withColumns({"key": F.xxhash64("token", "size"), "held": F.expr(_HELD)})
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc", "no"))).where(F.col("rank") <= PIVOTS)
-    return _joined(rows, first, percent, F.col("a_id") != F.col("b_id"))
+def _pivot_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    """(later, earlier, apart): the candidates of which the earlier is among the first lines of a word of both prefixes and their class of lengths; for some of their words."""
+    hashed = F.transform("prefix", lambda token, at: F.struct(F.xxhash64(token).alias("hash"), at.alias("at")))
+    rows = heads.select("id", "doc", "no", "n", "s1", "s2", "size", F.inline(F.slice(F.sort_array(hashed), 1, SAMPLE)))
+    rows = rows.select("id", "doc", "no", "n", "at", "s1", "s2", F.xxhash64("hash", "size").alias("key"))
+    before = Window.partitionBy("key").orderBy("doc", "no", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = [F.nth_value(F.struct("id", "n", "at", "s1", "s2"), i).over(before) for i in range(1, PIVOTS + 1)]
+    met = rows.select("id", "n", "at", "s1", "s2", F.array(*firsts).alias("firsts")).where(F.col("firsts")[0]["id"] != F.col("id"))
+    met = met.select("id", "n", "at", "s1", "s2", F.explode("firsts").alias("p")).where(F.col("p.id") != F.col("id"))
+    total = F.col("n") + F.col("p.n")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p.s2")))
+    passed = met.where(_allowed(total, apart, F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")), percent))
+    return passed.select(F.col("id").alias("later"), F.col("p.id").alias("earlier"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
 
 def _pairs(heads: DataFrame, part: int, parts: int, percent: int) -> DataFrame:
@@ -189,10 +196,9 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal = keep(lines.select("h1", "h2", name.alias("line")).join(joinable(kinds, 500_000), ["h1", "h2"], "left_semi"), "equal")
     heads = keep(equal.groupBy("h1", "h2").agg(F.min("line").alias("head")), "heads")
     repeated = keep(equal.join(joinable(heads, 200_000), ["h1", "h2"]).where("line.id <> head.id").select("line.*", F.expr("line.doc <=> head.doc and line.no = head.no and line.of <=> head.of").alias("same")), "repeated")
-    found, heavy = prefixes(lines, percent)
-    heads = keep(found.join(joinable(repeated.select("id")), "id", "left_anti"), "heads", **plain)
+    heads = keep(prefixes(lines, percent).join(joinable(repeated.select("id")), "id", "left_anti"), "heads", **plain)
 
-    near = _matched(_pivot_pairs(heads, heavy, percent), lines, percent)
+    near = _matched(_pivot_pairs(heads, percent), lines, percent)
     done = near.select("id", F.lit(True).alias("done"))
     marked = heads.join(joinable(done), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     rounds = [keep(_pairs(marked, part, ROUNDS, percent), "pairs") for part in range(ROUNDS)]

@@ -112,6 +112,25 @@ def brute_lines(rows):
     return gone
 
 
+def test_near_copies_do_not_make_all_their_pairs(spark, monkeypatch):
+    from cadence.llm import line_dedup
+
+    made, keep = [], line_dedup.keep
+
+    def counted(df, name, **options):
+        kept = keep(df, name, **options)
+        if name == "pairs":
+            made.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    n = 150
+    line = " ".join(f"word{i}" for i in range(24))
+    docs = spark.createDataFrame([(i, f"{line} own{i}") for i in range(n)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in removed_lines(docs).collect()) == list(range(1, n))
+    assert sum(made) < 12 * n, made
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(3)
     words = [f"v{i}" for i in range(40)]
