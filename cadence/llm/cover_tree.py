@@ -6,7 +6,8 @@ import heapq
 
 import numpy as np
 
-#: Most points of a leaf, and most children of a node.
+#: Most points of a leaf, and most children of a node; a node has no more than two for each leaf that its points fill, as many small leaves
+#: take longer to pair than to score.
 LEAF, FAN_OUT = 128, 48
 
 
@@ -14,7 +15,7 @@ class CoverTree:
     """Nodes with a point as centre and the exact radius that covers all below them.
 
     A node's points are covered by children of half its radius, taken farthest
-    first; past FAN_OUT children the rest go to the nearest, whose radii grow
+    first; past the most children the rest go to the nearest, whose radii grow
     accordingly. A node of LEAF points or fewer, or of equal points, is a leaf.
     """
 
@@ -46,7 +47,8 @@ class CoverTree:
             self.leaves += 1
         else:
             nearest, owner, chosen = away, np.zeros(len(at), np.int64), [centre]
-            while nearest.max() > radius / 2 and len(chosen) < FAN_OUT:
+            most = min(FAN_OUT, 2 * -(-len(at) // leaf))
+            while nearest.max() > radius / 2 and len(chosen) < most:
                 new = self.points[at[int(nearest.argmax())]]
                 d = np.sqrt(((self.points[at] - new) ** 2).sum(axis=1))
                 closer = d < nearest
@@ -59,26 +61,28 @@ class CoverTree:
 
 
 class _Best:
-    """The k best candidates of each query; ties go to the smaller id."""
+    """The k best candidates of each query, the best first; ties go to the smaller id."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.scores = [np.zeros(0)] * queries
-        self.ids = [np.zeros(0, np.int64)] * queries
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.zeros((queries, k), np.int64)
         self.worst = np.full(queries, -np.inf)
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        better = scores >= self.worst[rows][:, None]
-        for i in np.flatnonzero(better.any(axis=1)).tolist():
-            row, take = int(rows[i]), better[i]
-            s, n = np.concatenate([self.scores[row], scores[i][take]]), np.concatenate([self.ids[row], ids[take]])
-            if len(s) > 4 * self.k:
-                near = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
-                s, n = s[near], n[near]
-            order = np.lexsort((n, -s))[: self.k]
-            self.scores[row], self.ids[row] = s[order], n[order]
-            if len(order) == self.k:
-                self.worst[row] = s[order[-1]]
+        """Takes scores of all ``rows`` and ``ids``; what is -inf is no candidate."""
+        better = (scores >= self.worst[rows][:, None]) & (scores > -np.inf)
+        counts = better.sum(axis=1)
+        some = counts > 0
+        if not some.any():
+            return
+        rows, new, width = rows[some], np.where(better[some], scores[some], -np.inf), int(counts.max())
+        at = np.argpartition(-new, width - 1, axis=1)[:, :width] if width < new.shape[1] else np.broadcast_to(np.arange(width), new.shape)
+        s = np.concatenate([self.scores[rows], np.take_along_axis(new, at, axis=1)], axis=1)
+        n = np.concatenate([self.ids[rows], ids[at]], axis=1)
+        order = np.lexsort((n, -s), axis=-1)[:, : self.k]
+        self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, axis=1), np.take_along_axis(n, order, axis=1)
+        self.worst[rows] = self.scores[rows, -1]
 
 
 def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,17 +114,7 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
             scores = queries[rows] @ data[cols].T
             scores = np.where(query_ids[rows][:, None] == data_ids[cols][None, :], -np.inf, scores)
             scores[~np.isfinite(scores)] = -np.inf
-            own = best.worst[rows]
-            if not np.isfinite(own).all():
-                # below the first k scores anything finite counts, but never the query's own row
-                finite = np.isfinite(scores)
-                for i in np.flatnonzero(~np.isfinite(own)).tolist():
-                    best.offer(rows[i : i + 1], data_ids[cols][finite[i]], scores[i : i + 1][:, finite[i]])
-                rest = np.isfinite(own)
-                if rest.any():
-                    best.offer(rows[rest], data_ids[cols], scores[rest])
-            else:
-                best.offer(rows, data_ids[cols], scores)
+            best.offer(rows, data_ids[cols], scores)
             worst[first] = best.worst[rows].min()
         elif d.members[b] is None and (q.members[a] is not None or d.radius[b] >= q.radius[a]):
             for c, x in zip(d.children[b], bounds(a, d.children[b]).tolist()):
@@ -128,5 +122,5 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
         else:
             for c in q.children[a]:
                 heapq.heappush(heap, (-float(bounds(c, [b])[0]), c, b))
-    counts = [len(s) for s in best.scores]
-    return np.repeat(query_ids, counts), np.concatenate(best.ids), np.concatenate(best.scores)
+    found = best.scores > -np.inf
+    return np.repeat(query_ids, found.sum(axis=1)), best.ids[found], best.scores[found]

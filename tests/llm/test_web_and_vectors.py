@@ -133,6 +133,17 @@ def test_cover_tree_covers():
     assert len(q) == 150
 
 
+def test_cover_tree_of_points_without_structure_has_few_leaves():
+    x = np.floor(64 * np.random.default_rng(5).normal(size=(3000, 64)))
+    t = CoverTree(x, 64)
+    assert t.leaves < 8 * 3000 / 64
+    q, i, s = dual_tree_search(x[:40], np.arange(40), x, np.arange(3000), 20, 64)
+    got = defaultdict(list)
+    for a, b, c in zip(q.tolist(), i.tolist(), s.tolist()):
+        got[a].append((b, c))
+    assert got == {k: brute_top(range(3000), x, k, 20, lambda a, b: float(a @ b)) for k in range(40)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
