@@ -3,8 +3,8 @@
 Each line's words are hashed once, into a table from which all else is read. Of
 equal lines the first goes on. A line's prefix, its rarest words, makes rows
 that meet by word and class of length, the shorter line with the longer; a pair
-is a candidate if its lengths, the places of the word, and a 128-bit sketch of
-both sets allow the similarity, and is verified on the full sets.
+is a candidate if its lengths, the places of the word, and a sketch of both
+sets (128 bits, 256 for long lines) allow the similarity, and is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ CLASS_BITS = 15
 PIVOTS, SAMPLE = 3, 4
 #: Prefixes are joined in so many rounds of words, so that their rows don't all lie on disk at once.
 ROUNDS = 6
+#: From this class of lengths on (128 words) pairs are compared by all 256 bits of their sketches: 128 bits are as good as full there, and
+#: unrelated lines would pass.
+LONG = 16
+#: The pivots' rows hold a word's place in this many low bits of its hash.
+_AT_BITS = 20
 #: What names a line, in the order in which lines come: its document's id, its number there, and the hash of the document's text.
 LINE = ["doc", "no", "of"]
 _SIGN = 1 << (CLASS_BITS - 1)
@@ -48,8 +53,8 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens.alias("tokens"))
 
 
-def class_order(lines: DataFrame) -> tuple[Column, int]:
-    """What turns the upper half of a hash into its place by rarity, and such a place up to which half of all words lie.
+def class_order(lines: DataFrame) -> tuple[Column, list[int]]:
+    """What turns the upper half of a hash into its place by rarity, and such places up to which one, two and three quarters of all words lie.
 
     The class of a hash is its upper bits; a place is the half with the rank of its class among the counts in their stead.
     """
@@ -59,15 +64,14 @@ def class_order(lines: DataFrame) -> tuple[Column, int]:
     for c, n in zip(found.column("c").to_pylist(), found.column("n").to_pylist()):
         counts[c] = n
     signed = lambda x: x - (1 << 32) if x >> 31 else x
-    change, below, half, every = [0] * n_classes, 0, 0, sum(counts)
+    change, below, quarters, every = [0] * n_classes, 0, [0, 0, 0], sum(counts)
     for rank, c in enumerate(sorted(range(n_classes), key=lambda c: (counts[c], c))):
         change[c] = signed(((rank ^ _SIGN) ^ c) << low_bits)
-        if 2 * below < every:
-            half = rank
+        quarters = [rank if 4 * below < k * every else q for k, q in enumerate(quarters, 1)]
         below += counts[c]
     del found, counts
     give_back()  # on the driver
-    return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), signed((half ^ _SIGN) << low_bits)
+    return F.from_json(F.lit(json.dumps(change, separators=(",", ":"))), "array<int>"), [signed((q ^ _SIGN) << low_bits) + k for k, q in enumerate(quarters)]  # never the same
 
 
 def _size_class(n: Column) -> Column:
@@ -82,22 +86,23 @@ def _class_start(size: str) -> Column:
 
 
 def prefixes(lines: DataFrame, percent: int) -> DataFrame:
-    """(id, doc, no, n, size, s1, s2, prefix) of the lines.
+    """(id, doc, no, n, size, s1, s2, s3, s4, prefix) of the lines.
 
     The prefix holds the places of the line's rarest words, the rarest first; s1
-    and s2 are sketches of its rarer and its other words, in which each word
+    to s4 are sketches of its words by quarters of rarity, in which each word
     turns one bit; size is the class of n. Places are halves of hashes: two words may fall on one, which
     adds candidates and never loses one, as both keep a place of their own.
     """
-    order, half = class_order(lines)
-    placed = F.transform("tokens", lambda h: F.shiftright(h, 32).cast("int").bitwiseXOR(F.coalesce(F.get(order, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0))))
-    sketch = lambda part: F.expr(f"aggregate({part}, 0L, (a, x) -> a ^ shiftleft(1L, x))")
+    order, quarters = class_order(lines)
+    placed = F.transform("tokens", lambda h: F.shiftright(h, 32).cast("int").bitwiseXOR(F.get(order, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"))))
     n = F.size("tokens")
     length = (n - F.ceil(n * percent / 100) + 1).cast("int")
-    ordered = lines.select("id", "doc", "no", n.alias("n"), length.alias("length"), F.sort_array(F.concat(placed, F.array(F.lit(half)))).alias("places"))
-    ordered = ordered.withColumn("cut", F.array_position("places", F.lit(half)).cast("int"))
-    prefix = F.when(F.col("cut") > F.col("length"), F.slice("places", F.lit(1), F.col("length"))).otherwise(F.concat(F.expr("slice(places, 1, cut - 1)"), F.expr("slice(places, cut + 1, length + 1 - cut)")))
-    return ordered.select("id", "doc", "no", "n", _size_class(F.col("n")).alias("size"), sketch("slice(places, 1, cut - 1)").alias("s1"), sketch("slice(places, cut + 1, n + 1 - cut)").alias("s2"), prefix.alias("prefix"))
+    ordered = lines.select("id", "doc", "no", n.alias("n"), length.alias("length"), F.sort_array(F.concat(placed, F.array(*(F.lit(q) for q in quarters)))).alias("places"))
+    ordered = ordered.withColumns({f"c{k}": F.array_position("places", F.lit(q)).cast("int") for k, q in enumerate(quarters, 1)})
+    parts = ["slice(places, 1, c1 - 1)", "slice(places, c1 + 1, c2 - c1 - 1)", "slice(places, c2 + 1, c3 - c2 - 1)", "slice(places, c3 + 1, n + 3 - c3)"]
+    sketches = (F.expr(f"aggregate({part}, 0L, (a, x) -> a ^ shiftleft(1L, x))").alias(f"s{k}") for k, part in enumerate(parts, 1))
+    prefix = F.expr(f"if(c1 > length, slice(places, 1, length), slice(concat({', '.join(parts)}), 1, length))")
+    return ordered.select("id", "doc", "no", "n", _size_class(F.col("n")).alias("size"), *sketches, prefix.alias("prefix"))
 
 
 def _allowed(total: Column, apart: Column, least: Column, percent: int) -> Column:
@@ -105,56 +110,66 @@ def _allowed(total: Column, apart: Column, least: Column, percent: int) -> Colum
     return (apart * (100 + percent) <= total * (100 - percent)) & (least * (100 + percent) >= total * percent)
 
 
-def _joined(shorter: DataFrame, longer: DataFrame, percent: int, wanted: Column) -> DataFrame:
-    """(later, earlier, apart): ids of the candidates among rows with one key, and how many bits of their sketches differ for a thousand words."""
-    sent = lambda df, side: df.select("key", *(F.col(c).alias(f"{side}{c}") for c in ("id", "doc", "no", "held", "s1", "s2")))
+def _apart(*sides: tuple[str, str]) -> Column:
+    """How many bits of these sketches differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in sides))
+
+
+def _joined(shorter: DataFrame, longer: DataFrame, percent: int) -> DataFrame:
+    """(one, other, apart): ids of the candidates among rows with one key, and how many bits of their sketches differ for a thousand words."""
+    # the halves of a sketch of 128 bits first, so that what is 0 lies together
+    sent = lambda df, side: df.select("key", *(F.col(c).alias(f"{side}{c}") for c in ("id", "doc", "held", "s1", "s3", "s2", "s4")))
     parts = {"n": "cast(shiftright({}, 32) as int)", "at": "cast(shiftright({} & 4294967295L, 1) as int)", "done": "({} & 1L) = 1L"}
     joined = sent(shorter, "a_").join(sent(longer, "b_").hint("merge"), "key").withColumns({f"{side}{name}": F.expr(of.format(f"{side}held")) for side in ("a_", "b_") for name, of in parts.items()})
-    total = F.col("a_n") + F.col("b_n")
-    apart = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
+    total, apart = F.col("a_n") + F.col("b_n"), _apart(*((f"a_s{k}", f"b_s{k}") for k in range(1, 5)))
     passed = joined.where(_allowed(total, apart, F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")), percent))
-    first = F.struct("a_doc", "a_no", "a_id") < F.struct("b_doc", "b_no", "b_id")
-    passed = passed.where(wanted).where(~F.when(first, F.col("b_done")).otherwise(F.col("a_done")))
-    one = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return passed.select(one("b_id", "a_id").alias("later"), one("a_id", "b_id").alias("earlier"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
+    upward = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    surely = lambda x, y: F.col(f"{y}_done") & (F.col(f"{x}_done") | F.coalesce(F.col(f"{x}_doc") < F.col(f"{y}_doc"), F.lit(False)))
+    passed = passed.where(upward).where(~(surely("a", "b") | surely("b", "a")))
+    return passed.select(F.col("a_id").alias("one"), F.col("b_id").alias("other"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
 
 #: n, a word's place in the line, and whether the line is done, in one number
 _HELD = "shiftleft(cast(n as long), 32) | shiftleft(cast(at as long), 1) | cast(done as long)"
+#: The sketches of a line for pairs of its key's class of lengths.
+_SENT = {f"s{k}": f"if(size >= {LONG}, s{k}, {'0L' if k % 2 == 0 else f's{k} ^ s{k + 1}'})" for k in range(1, 5)}
 
 
 def _pivot_pairs(heads: DataFrame, percent: int) -> DataFrame:
     """(later, earlier, apart): the candidates of which the earlier is among the first lines of a word of both prefixes and their class of lengths; for some of their words."""
-    hashed = F.transform("prefix", lambda token, at: F.struct(F.xxhash64(token).alias("hash"), at.alias("at")))
-    rows = heads.select("id", "doc", "no", "n", "s1", "s2", "size", F.inline(F.slice(F.sort_array(hashed), 1, SAMPLE)))
-    rows = rows.select("id", "doc", "no", "n", "at", "s1", "s2", F.xxhash64("hash", "size").alias("key"))
+    low = (1 << _AT_BITS) - 1  # a place beyond it changes the word's key, and the pair is left to the rounds
+    hashed = F.transform("prefix", lambda token, at: F.xxhash64(token).bitwiseAND(F.lit(~low)).bitwiseOR(at.cast("long")))
+    rows = heads.selectExpr("id", "doc", "no", "n", "s1 ^ s2 AS s1", "s3 ^ s4 AS s3", "size", "prefix").select("*", F.explode(F.slice(F.sort_array(hashed), 1, SAMPLE)).alias("word"))
+    rows = rows.select("id", "doc", "no", "n", F.expr(f"cast(word & {low}L as int)").alias("at"), "s1", "s3", F.xxhash64(F.shiftright("word", _AT_BITS), "size").alias("key"))
     before = Window.partitionBy("key").orderBy("doc", "no", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    firsts = [F.nth_value(F.struct("id", "n", "at", "s1", "s2"), i).over(before) for i in range(1, PIVOTS + 1)]
-    met = rows.select("id", "n", "at", "s1", "s2", F.array(*firsts).alias("firsts")).where(F.col("firsts")[0]["id"] != F.col("id"))
-    met = met.select("id", "n", "at", "s1", "s2", F.explode("firsts").alias("p")).where(F.col("p.id") != F.col("id"))
-    total = F.col("n") + F.col("p.n")
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p.s2")))
+    firsts = [F.nth_value(F.struct("id", "n", "at", "s1", "s3"), i).over(before) for i in range(1, PIVOTS + 1)]
+    met = rows.select("id", "n", "at", "s1", "s3", F.array(*firsts).alias("firsts")).where(F.col("firsts")[0]["id"] != F.col("id"))
+    met = met.select("id", "n", "at", "s1", "s3", F.explode("firsts").alias("p")).where(F.col("p.id") != F.col("id"))
+    total, apart = F.col("n") + F.col("p.n"), _apart(("s1", "p.s1"), ("s3", "p.s3"))
     passed = met.where(_allowed(total, apart, F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")), percent))
     return passed.select(F.col("id").alias("later"), F.col("p.id").alias("earlier"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
 
 def _pairs(heads: DataFrame, part: int, parts: int, percent: int) -> DataFrame:
-    """The candidates that share a prefix word of this part of all words, but for those of which the later line is ``done``.
+    """(one, other, apart): the candidates that share a prefix word of this part of all words, but for those whose later line is ``done``, where the documents tell it, or both are.
 
     A word of a line meets those of longer lines in the line's own class of
     lengths and in the classes above that the place of the word allows.
     """
     above = next(i for i in range(200) if (4 / 3) ** i >= 100 / percent)
     starts = {f"start{i}": _class_start(f"size + {i}") for i in range(1, above + 1)}
-    rows = heads.withColumns(starts).select("id", "doc", "no", "n", "s1", "s2", "size", "done", *starts, F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(parts)) == part)
-    rows = rows.withColumn("held", F.expr(_HELD))
+    held = ["id", "doc", "n", "s1", "s2", "s3", "s4", "size", "done"]
+    here = lambda df: df.where(F.pmod("token", F.lit(parts)) == part).withColumn("held", F.expr(_HELD))
+    rows = here(heads.select(*held, F.posexplode("prefix").alias("at", "token")))
+    # as the shorter line: only words whose place allows a line of the same length
+    least = F.expr(f"slice(prefix, 1, cast(n - ceil({2 * percent} * n / {100 + percent}) + 1 as int))")
+    shorter = here(heads.withColumns(starts).select(*held, *starts, F.posexplode(least).alias("at", "token")))
     longest = F.expr(f"cast((n - at) * {100 + percent} div {percent} as int) - n")
     more = reduce(Column.__add__, ((longest >= F.col(c)).cast("int") for c in starts), F.lit(1))
     classes = F.slice(F.array(*(F.col("size") + i for i in range(above + 1))), F.lit(1), more)
-    shorter = rows.where(longest >= F.col("n")).withColumn("size", F.explode_outer(classes))
-    keyed = lambda df: df.withColumn("key", F.xxhash64("token", "size"))
-    upward = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
-    return _joined(keyed(shorter), keyed(rows), percent, upward)
+    shorter = shorter.where(longest >= F.col("n")).withColumn("size", F.explode_outer(classes))
+    keyed = lambda df: df.select("id", "doc", "held", F.xxhash64("token", "size").alias("key"), *(F.expr(of).alias(c) for c, of in _SENT.items()))
+    return _joined(keyed(shorter), keyed(rows), percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,19 +180,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("later"), "later").join(side("earlier"), "earlier").where(matched).select("later").distinct()
 
 
-def _matched(pairs: DataFrame, lines: DataFrame, percent: int, last: bool = False) -> DataFrame:
-    """(id, doc, no, of) of the later lines of pairs that match on their full sets; ``last`` says that nothing reads ``lines`` afterwards.
+def _in_order(pairs: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
+    """(later, earlier, apart) of the pairs (one, other, apart) whose later line is not ``done``."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.struct("doc", "no", "id").alias(f"{c}_name"))
+    named = pairs.join(joinable(side("one")), "one").join(joinable(side("other")), "other")
+    first = F.col("one_name") < F.col("other_name")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return named.select(pick("other", "one").alias("later"), pick("one", "other").alias("earlier"), "apart").join(joinable(done.select(F.col("id").alias("later"))), "later", "left_anti")
+
+
+def _matched(pairs: DataFrame, lines: DataFrame, percent: int, done: DataFrame | None = None) -> DataFrame:
+    """(id, doc, no, of) of the later lines of pairs that match on their full sets.
 
-    Most candidates match, so each later line is first compared with the
-    earlier one of the nearest sketch, and only where these differ with others.
+    With ``done`` the pairs come in no order, those whose later line is done are
+    dropped, and nothing reads ``lines`` afterwards. Most candidates match, so
+    each later line is first compared with the earlier one of the nearest
+    sketch, and only where these differ with others.
     """
     pairs = keep(pairs, "pairs")
     if pairs.isEmpty():
         return lines.select("id", *LINE).limit(0)
-    wanted = keep(pairs.select(F.col("later").alias("id")).union(pairs.select(F.col("earlier").alias("id"))).distinct(), "wanted")
+    a, b = pairs.columns[:2]
+    wanted = keep(pairs.select(F.col(a).alias("id")).union(pairs.select(F.col(b).alias("id"))).distinct(), "wanted")
     sets = keep(lines.select("id", *LINE, "tokens").join(joinable(wanted), "id", "left_semi"), "sets")
-    if last:
+    if done is not None:
         discard(lines)
+        pairs = keep(_in_order(pairs, sets, done), "ordered")
     one = keep(_verified(pairs.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier")), sets, percent), "one")
     more = _verified(pairs.join(joinable(one), "later", "left_anti").select("later", "earlier"), sets, percent)
     return keep(sets.select("id", *LINE).join(one.union(more).withColumnRenamed("later", "id"), "id", "left_semi"), "matched")
@@ -203,7 +231,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = heads.join(joinable(done), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     rounds = [keep(_pairs(marked, part, ROUNDS, percent), "pairs") for part in range(ROUNDS)]
     discard(heads)
-    more = _matched(reduce(DataFrame.union, rounds).distinct(), lines, percent, last=True)
+    more = _matched(reduce(DataFrame.union, rounds).distinct(), lines, percent, done)
     return repeated.where("not same").select(*LINE).union(near.select(*LINE)).union(more.select(*LINE)).distinct()
 
 

@@ -131,6 +131,25 @@ def test_near_copies_do_not_make_all_their_pairs(spark, monkeypatch):
     assert sum(made) < 12 * n, made
 
 
+def test_long_unrelated_lines_make_no_pairs(spark, monkeypatch):
+    from cadence.llm import line_dedup
+
+    made, keep = [], line_dedup.keep
+
+    def counted(df, name, **options):
+        kept = keep(df, name, **options)
+        if name == "pairs":
+            made.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{k}" for k in rng.permutation(1500)[:250])) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace("w1", "x1", 3)) for i in range(5)]  # near copies are found among them
+    assert {r.doc_id: r.removed for r in removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute_lines(rows) == {100 + i: [0] for i in range(5)}
+    assert sum(made[1:]) < 60, made
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(3)
     words = [f"v{i}" for i in range(40)]
