@@ -25,13 +25,11 @@ CLASS_BITS = 15
 #: Of the lines that share a word of their prefixes, the first PIVOTS are compared with all others before any others are, so that a group of near
 #: copies does not make all its pairs; the SAMPLE words of the least hashes, which near copies mostly share, are enough for that.
 PIVOTS, SAMPLE = 3, 4
-#: Prefixes are joined in so many rounds of words, so that their rows don't all lie on disk at once.
-ROUNDS = 6
+#: Prefixes are joined in so many rounds of words, for short lines and for long ones, so that their rows don't all lie on disk at once.
+ROUNDS = 3
 #: From this class of lengths on (128 words) pairs are compared by all 256 bits of their sketches: 128 bits are as good as full there, and
 #: unrelated lines would pass.
 LONG = 16
-#: The pivots' rows hold a word's place in this many low bits of its hash.
-_AT_BITS = 20
 #: What names a line, in the order in which lines come: its document's id, its number there, and the hash of the document's text.
 LINE = ["doc", "no", "of"]
 _SIGN = 1 << (CLASS_BITS - 1)
@@ -80,9 +78,10 @@ def _size_class(n: Column) -> Column:
     return 2 * digits + F.when(F.substring(F.bin(n.cast("long")), 2, 1) == "1", 1).otherwise(0)
 
 
-def _class_start(size: str) -> Column:
+def _class_start(size: Column) -> Column:
     """The least length of a class."""
-    return F.expr(f"cast(ceil(pow(2.0D, ({size}) div 2 - 1) * if(({size}) % 2 = 1, 1.5D, 1.0D)) as int)")
+    half = F.shiftrightunsigned(size, 1)
+    return F.shiftrightunsigned(F.call_function("shiftleft", 2 + size.bitwiseAND(F.lit(1)), half) + 3, 2)
 
 
 def prefixes(lines: DataFrame, percent: int) -> DataFrame:
@@ -94,14 +93,15 @@ def prefixes(lines: DataFrame, percent: int) -> DataFrame:
     adds candidates and never loses one, as both keep a place of their own.
     """
     order, quarters = class_order(lines)
-    placed = F.transform("tokens", lambda h: F.shiftright(h, 32).cast("int").bitwiseXOR(F.get(order, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"))))
+    # never null, as Spark sorts arrays that may hold nulls as objects
+    placed = F.transform("tokens", lambda h: F.coalesce(F.shiftright(h, 32).cast("int").bitwiseXOR(F.get(order, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"))), F.lit(0)))
     n = F.size("tokens")
     length = (n - F.ceil(n * percent / 100) + 1).cast("int")
     ordered = lines.select("id", "doc", "no", n.alias("n"), length.alias("length"), F.sort_array(F.concat(placed, F.array(*(F.lit(q) for q in quarters)))).alias("places"))
     ordered = ordered.withColumns({f"c{k}": F.array_position("places", F.lit(q)).cast("int") for k, q in enumerate(quarters, 1)})
     parts = ["slice(places, 1, c1 - 1)", "slice(places, c1 + 1, c2 - c1 - 1)", "slice(places, c2 + 1, c3 - c2 - 1)", "slice(places, c3 + 1, n + 3 - c3)"]
     sketches = (F.expr(f"aggregate({part}, 0L, (a, x) -> a ^ shiftleft(1L, x))").alias(f"s{k}") for k, part in enumerate(parts, 1))
-    prefix = F.expr(f"if(c1 > length, slice(places, 1, length), slice(concat({', '.join(parts)}), 1, length))")
+    prefix = F.expr(f"CASE WHEN c1 > length THEN slice(places, 1, length) WHEN c2 > length + 1 THEN concat({parts[0]}, slice(places, c1 + 1, length + 1 - c1)) ELSE slice(concat({', '.join(parts)}), 1, length) END")
     return ordered.select("id", "doc", "no", "n", _size_class(F.col("n")).alias("size"), *sketches, prefix.alias("prefix"))
 
 
@@ -115,32 +115,32 @@ def _apart(*sides: tuple[str, str]) -> Column:
     return reduce(Column.__add__, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in sides))
 
 
-def _joined(shorter: DataFrame, longer: DataFrame, percent: int) -> DataFrame:
-    """(one, other, apart): ids of the candidates among rows with one key, and how many bits of their sketches differ for a thousand words."""
-    # the halves of a sketch of 128 bits first, so that what is 0 lies together
-    sent = lambda df, side: df.select("key", *(F.col(c).alias(f"{side}{c}") for c in ("id", "doc", "held", "s1", "s3", "s2", "s4")))
+def _joined(rows: DataFrame, sketches: list[str], percent: int) -> DataFrame:
+    """(one, other, apart): ids of the candidates among rows with one key, and how many bits of their sketches differ for a thousand words.
+
+    Both sides are the same columns of the same rows, and every condition needs both, so that the rows are shuffled once.
+    """
+    side = lambda x: rows.select("key", *(F.col(c).alias(f"{x}{c}") for c in ("id", "doc", "held", *sketches)))
     parts = {"n": "cast(shiftright({}, 32) as int)", "at": "cast(shiftright({} & 4294967295L, 1) as int)", "done": "({} & 1L) = 1L"}
-    joined = sent(shorter, "a_").join(sent(longer, "b_").hint("merge"), "key").withColumns({f"{side}{name}": F.expr(of.format(f"{side}held")) for side in ("a_", "b_") for name, of in parts.items()})
-    total, apart = F.col("a_n") + F.col("b_n"), _apart(*((f"a_s{k}", f"b_s{k}") for k in range(1, 5)))
-    passed = joined.where(_allowed(total, apart, F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")), percent))
-    upward = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    joined = side("a_").join(side("b_").hint("merge"), "key").withColumns({f"{x}{name}": F.expr(of.format(f"{x}held")) for x in ("a_", "b_") for name, of in parts.items()})
+    total, apart = F.col("a_n") + F.col("b_n"), _apart(*((f"a_{c}", f"b_{c}") for c in sketches))
     surely = lambda x, y: F.col(f"{y}_done") & (F.col(f"{x}_done") | F.coalesce(F.col(f"{x}_doc") < F.col(f"{y}_doc"), F.lit(False)))
-    passed = passed.where(upward).where(~(surely("a", "b") | surely("b", "a")))
+    passed = joined.where(F.col("a_id") < F.col("b_id")).where(_allowed(total, apart, F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")), percent))
+    passed = passed.where(~(surely("a", "b") | surely("b", "a")))
     return passed.select(F.col("a_id").alias("one"), F.col("b_id").alias("other"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
 
 #: n, a word's place in the line, and whether the line is done, in one number
 _HELD = "shiftleft(cast(n as long), 32) | shiftleft(cast(at as long), 1) | cast(done as long)"
-#: The sketches of a line for pairs of its key's class of lengths.
-_SENT = {f"s{k}": f"if(size >= {LONG}, s{k}, {'0L' if k % 2 == 0 else f's{k} ^ s{k + 1}'})" for k in range(1, 5)}
 
 
 def _pivot_pairs(heads: DataFrame, percent: int) -> DataFrame:
     """(later, earlier, apart): the candidates of which the earlier is among the first lines of a word of both prefixes and their class of lengths; for some of their words."""
-    low = (1 << _AT_BITS) - 1  # a place beyond it changes the word's key, and the pair is left to the rounds
-    hashed = F.transform("prefix", lambda token, at: F.xxhash64(token).bitwiseAND(F.lit(~low)).bitwiseOR(at.cast("long")))
+    # the lower bits of a place are those of the word's hash; with them a word goes by where it stands
+    hashed = F.transform("prefix", lambda token, at: F.coalesce(F.shiftleft(token.cast("long"), 32 + CLASS_BITS).bitwiseOR(at.cast("long")), F.lit(0)))
     rows = heads.selectExpr("id", "doc", "no", "n", "s1 ^ s2 AS s1", "s3 ^ s4 AS s3", "size", "prefix").select("*", F.explode(F.slice(F.sort_array(hashed), 1, SAMPLE)).alias("word"))
-    rows = rows.select("id", "doc", "no", "n", F.expr(f"cast(word & {low}L as int)").alias("at"), "s1", "s3", F.xxhash64(F.shiftright("word", _AT_BITS), "size").alias("key"))
+    rows = rows.withColumn("at", F.expr("cast(word & 2147483647L as int)"))
+    rows = rows.select("id", "doc", "no", "n", "at", "s1", "s3", F.xxhash64(F.get("prefix", F.col("at")), "size").alias("key"))
     before = Window.partitionBy("key").orderBy("doc", "no", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     firsts = [F.nth_value(F.struct("id", "n", "at", "s1", "s3"), i).over(before) for i in range(1, PIVOTS + 1)]
     met = rows.select("id", "n", "at", "s1", "s3", F.array(*firsts).alias("firsts")).where(F.col("firsts")[0]["id"] != F.col("id"))
@@ -150,26 +150,22 @@ def _pivot_pairs(heads: DataFrame, percent: int) -> DataFrame:
     return passed.select(F.col("id").alias("later"), F.col("p.id").alias("earlier"), (apart * 1000 / total).cast("int").alias("apart")).distinct()
 
 
-def _pairs(heads: DataFrame, part: int, parts: int, percent: int) -> DataFrame:
-    """(one, other, apart): the candidates that share a prefix word of this part of all words, but for those whose later line is ``done``, where the documents tell it, or both are.
+def _pairs(heads: DataFrame, long: bool, part: int, parts: int, percent: int) -> DataFrame:
+    """(one, other, apart): the candidates that share a prefix word of this part of all words, the longer line being a long one or not, but for those whose later line is ``done``, where the documents tell it, or both are.
 
-    A word of a line meets those of longer lines in the line's own class of
-    lengths and in the classes above that the place of the word allows.
+    Lines meet by word and class of lengths. Each word of a line makes a row for the line's
+    own class, and one for each class above that the place of the word allows a longer line to have.
     """
     above = next(i for i in range(200) if (4 / 3) ** i >= 100 / percent)
-    starts = {f"start{i}": _class_start(f"size + {i}") for i in range(1, above + 1)}
-    held = ["id", "doc", "n", "s1", "s2", "s3", "s4", "size", "done"]
-    here = lambda df: df.where(F.pmod("token", F.lit(parts)) == part).withColumn("held", F.expr(_HELD))
-    rows = here(heads.select(*held, F.posexplode("prefix").alias("at", "token")))
-    # as the shorter line: only words whose place allows a line of the same length
-    least = F.expr(f"slice(prefix, 1, cast(n - ceil({2 * percent} * n / {100 + percent}) + 1 as int))")
-    shorter = here(heads.withColumns(starts).select(*held, *starts, F.posexplode(least).alias("at", "token")))
+    lines = heads.where(F.col("size") >= LONG - above) if long else heads.where(F.col("size") < LONG)
+    sketches = ["s1", "s2", "s3", "s4"] if long else ["s1 ^ s2 AS s1", "s3 ^ s4 AS s3"]
+    rows = lines.selectExpr("id", "doc", "n", *sketches, "size", "done", "posexplode(prefix) AS (at, token)").where(F.pmod("token", F.lit(parts)) == part)
     longest = F.expr(f"cast((n - at) * {100 + percent} div {percent} as int) - n")
-    more = reduce(Column.__add__, ((longest >= F.col(c)).cast("int") for c in starts), F.lit(1))
-    classes = F.slice(F.array(*(F.col("size") + i for i in range(above + 1))), F.lit(1), more)
-    shorter = shorter.where(longest >= F.col("n")).withColumn("size", F.explode_outer(classes))
-    keyed = lambda df: df.select("id", "doc", "held", F.xxhash64("token", "size").alias("key"), *(F.expr(of).alias(c) for c, of in _SENT.items()))
-    return _joined(keyed(shorter), keyed(rows), percent)
+    more = reduce(Column.__add__, ((longest >= _class_start(F.col("size") + i)).cast("int") for i in range(1, above + 1)), F.lit(1))
+    rows = rows.withColumn("held", F.expr(_HELD)).withColumn("size", F.explode(F.slice(F.array(*(F.col("size") + i for i in range(above + 1))), F.lit(1), more)))
+    rows = rows.where(F.col("size") >= LONG if long else F.col("size") < LONG)
+    names = [x.split()[-1] for x in sketches]
+    return _joined(rows.select("id", "doc", "held", *names, F.xxhash64("token", "size").alias("key")), names, percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +225,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = _matched(_pivot_pairs(heads, percent), lines, percent)
     done = near.select("id", F.lit(True).alias("done"))
     marked = heads.join(joinable(done), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    rounds = [keep(_pairs(marked, part, ROUNDS, percent), "pairs") for part in range(ROUNDS)]
+    rounds = [keep(_pairs(marked, long, part, ROUNDS, percent), "pairs") for long in (False, True) for part in range(ROUNDS)]
     discard(heads)
     more = _matched(reduce(DataFrame.union, rounds).distinct(), lines, percent, done)
     return repeated.where("not same").select(*LINE).union(near.select(*LINE)).union(more.select(*LINE)).distinct()
